@@ -32,6 +32,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def at(arr: Column, i) -> Column:
+    """NULL-tolerant ``element_at`` (1-based; negative counts from the end; map keys too)."""
+    return F.try_element_at(arr, F.lit(i) if isinstance(i, (int, str)) else i)
+
+
 def let(value: Column, fn) -> Column:
     """Bind ``value`` once and use it many times inside ``fn`` (a lambda variable).
 
@@ -39,7 +44,7 @@ def let(value: Column, fn) -> Column:
     nested URL logic would grow exponentially.  A one-element ``transform`` evaluates
     the value once per row and keeps the plan linear in size.
     """
-    return F.element_at(F.transform(F.array(value), fn), 1)
+    return at(F.transform(F.array(value), fn), 1)
 
 
 def _clean(c: Column) -> Column:
@@ -100,7 +105,7 @@ def _fold_dots(segs: Column) -> Column:
         .when(s == ".", acc)
         .otherwise(F.concat(acc, F.array(s))),
     )
-    resolved = F.when(F.element_at(segs, -1).isin(".", ".."), F.concat(resolved, F.array(F.lit("")))).otherwise(
+    resolved = F.when(at(segs, -1).isin(".", ".."), F.concat(resolved, F.array(F.lit("")))).otherwise(
         resolved
     )
     joined = F.array_join(resolved, "/")
@@ -126,7 +131,7 @@ def _join_parts(b: Column, h: Column, href: Column) -> Column:
     netloc = F.when(scheme.isin(USES_NETLOC), b.netloc).otherwise(h.netloc)
 
     def rel_segments(bparts):
-        bdir = F.when(F.element_at(bparts, -1) != "", F.slice(bparts, 1, F.size(bparts) - 1)).otherwise(bparts)
+        bdir = F.when(at(bparts, -1) != "", F.slice(bparts, 1, F.size(bparts) - 1)).otherwise(bparts)
         return let(
             F.concat(bdir, F.split(h.path, "/")),
             lambda rel: F.when(
@@ -264,7 +269,7 @@ def slug(url) -> Column:
     p = F.regexp_replace(p, r"^\d{4}/\d{2}/\d{2}/", "")
     p = F.regexp_replace(p, r"/+$", "")
     p = F.regexp_replace(p, r"\.(html|php|asp)$", "")
-    return F.element_at(F.split(p, "/"), -1)
+    return at(F.split(p, "/"), -1)
 
 
 def site_folder(url) -> Column:
@@ -275,7 +280,7 @@ def site_folder(url) -> Column:
 def mirror_path(url) -> Column:
     """Page path inside the site's HTML folder (query and host not part of it)."""
     p = _strip_slashes(url_split(url).path)
-    last = F.element_at(F.split(p, "/"), -1)
+    last = at(F.split(p, "/"), -1)
     with_ext = F.when(last.contains("."), p).otherwise(F.concat(p, F.lit(".html")))
     return F.when(p == "", F.concat(site_folder(url), F.lit("_index.html"))).otherwise(with_ext)
 
@@ -301,7 +306,7 @@ def markdown_path(url, slug_col=None, preserve_hierarchy: bool = True) -> Column
     """Slug (else last segment, else 'index'), .html/.php/.asp dropped, sanitised, '.md'."""
     url = _col(url)
     p = _strip_slashes(url_split(url).path)
-    last = F.when(p == "", F.lit("index")).otherwise(F.element_at(F.split(p, "/"), -1))
+    last = F.when(p == "", F.lit("index")).otherwise(at(F.split(p, "/"), -1))
     name = last if slug_col is None else F.when(F.coalesce(_col(slug_col), F.lit("")) != "", _col(slug_col)).otherwise(last)
     name = sanitize_filename(F.regexp_replace(name, r"\.(html|php|asp)$", ""))
     name = F.when(name.endswith(".md"), name).otherwise(F.concat(name, F.lit(".md")))
@@ -316,7 +321,7 @@ def record_filename(url, i) -> Column:
     """U18: '{netloc}_{last segment or index}.json' with every '.' → '_', long names cut with the index."""
     s = url_split(url)
     p = _strip_slashes(s.path)
-    last = F.when(p == "", F.lit("index")).otherwise(F.element_at(F.split(p, "/"), -1))
+    last = F.when(p == "", F.lit("index")).otherwise(at(F.split(p, "/"), -1))
     f = F.replace(F.concat(s.netloc, F.lit("_"), last, F.lit(".json")), F.lit("."), F.lit("_"))
     return F.when(F.length(f) > 100, F.concat(F.substring(f, 1, 95), F.lit("_"), _col(i).cast("string"), F.lit(".json"))).otherwise(f)
 
@@ -333,7 +338,7 @@ def _norm_parts(path: Column) -> Column:
         parts,
         F.array().cast("array<string>"),
         lambda acc, s: F.when(
-            (s == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."),
+            (s == "..") & (F.size(acc) > 0) & (at(acc, -1) != ".."),
             F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
         ).otherwise(F.concat(acc, F.array(s))),
     )
