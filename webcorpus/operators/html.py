@@ -140,10 +140,25 @@ def _parse_udf(html: pd.Series) -> pd.Series:
     return html.map(parse_html)
 
 
-def parse_pages(df: DataFrame, html_col: str = "html", out: str = "nodes", drop_html: bool = True) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Give a Python-heavy stage at least one task per core.
+
+    A scan yields one task per file split; a large table on a cluster already has
+    thousands, but a few big files (or one row group) would leave the parse on a few
+    cores.  Only then is the input re-hashed (on ``key`` when given, so it is
+    deterministic on retry); otherwise the plan is unchanged."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key and key in df.columns else df.repartition(cores)
+
+
+def parse_pages(df: DataFrame, html_col: str = "html", out: str = "nodes", drop_html: bool = True,
+                spread_key: str | None = "page_id") -> DataFrame:
     """H1: add the ``nodes`` column; by default the raw html column is dropped
     right after (it is the widest column and nothing downstream needs it)."""
-    res = df.withColumn(out, _parse_udf(F.col(html_col)))
+    res = spread(df, spread_key).withColumn(out, _parse_udf(F.col(html_col)))
     return res.drop(html_col) if drop_html and html_col != out else res
 
 
@@ -202,15 +217,22 @@ def any_of(*sels):
     return sel
 
 
-def under(ancestor, sel):
-    """Descendant combinator ``ancestor sel``: an interval test against the (few)
-    nodes matching ``ancestor``; no quadratic ancestor walk."""
+class under:
+    """Descendant combinator ``ancestor sel``: an interval test against the (few) nodes
+    matching ``ancestor``.  ``select_all`` computes those spans once per document, so the
+    cost is O(nodes × matches), not an ancestor walk per node."""
 
-    def desc(nodes, n):
-        spans = F.filter(nodes, lambda m: ancestor(nodes, m))
-        return sel(nodes, n) & F.exists(spans, lambda m: (m.idx < n.idx) & (n.idx <= m.end))
+    def __init__(self, ancestor, sel):
+        self.ancestor, self.sel = ancestor, sel
 
-    return desc
+    def spans(self, nodes: Column) -> Column:
+        return F.filter(nodes, lambda m: self.ancestor(nodes, m))
+
+    def with_spans(self, nodes: Column, spans: Column, n: Column) -> Column:
+        return self.sel(nodes, n) & F.exists(spans, lambda m: (m.idx < n.idx) & (n.idx <= m.end))
+
+    def __call__(self, nodes, n):
+        return self.with_spans(nodes, self.spans(nodes), n)
 
 
 def is_element(n: Column) -> Column:
@@ -219,6 +241,8 @@ def is_element(n: Column) -> Column:
 
 def select_all(nodes: Column, sel) -> Column:
     """All element nodes matching ``sel`` in document order."""
+    if isinstance(sel, under):
+        return let(sel.spans(nodes), lambda sp: F.filter(nodes, lambda n: is_element(n) & sel.with_spans(nodes, sp, n)))
     return F.filter(nodes, lambda n: is_element(n) & sel(nodes, n))
 
 
