@@ -34,8 +34,13 @@ def extract_links(parsed: DataFrame, url_col: str = "url", nodes_col: str = "nod
     Columns: page_id, src_url, pos, href, url (href joined to the page url), text
     ("(No text)" when empty, first 100 characters), internal (same site, www. ignored).
     """
-    kept = F.filter(anchors(F.col(nodes_col)), lambda a: (a.href != "") & ~a.href.startswith("#"))
-    rows = parsed.select("page_id", F.col(url_col).alias("src_url"), F.explode(kept).alias("a"))
+    return links_from_anchors(parsed.select("page_id", url_col, anchors(F.col(nodes_col)).alias("anchors")), url_col)
+
+
+def links_from_anchors(df: DataFrame, url_col: str = "url", anchors_col: str = "anchors") -> DataFrame:
+    """H3 from a precomputed ``anchors`` array (see ``anchors``)."""
+    kept = F.filter(F.col(anchors_col), lambda a: (a.href != "") & ~a.href.startswith("#"))
+    rows = df.select("page_id", F.col(url_col).alias("src_url"), F.explode(kept).alias("a"))
     text = F.when(F.col("a.text") == "", F.lit("(No text)")).otherwise(F.col("a.text"))
     return rows.select(
         "page_id",
@@ -52,14 +57,18 @@ def links_from_pages(pages: DataFrame) -> DataFrame:
     return extract_links(parse_pages(pages.select("page_id", "url", "html")))
 
 
-def page_summary(parsed: DataFrame) -> DataFrame:
-    """H2: title (``<title>`` string or 'No Title') and meta description (or 'No description')."""
-    nodes = F.col("nodes")
+def summary_columns(nodes: Column) -> list[Column]:
+    """H2 columns: title and description."""
     title_node = select_first(nodes, tag("title"))
     desc_node = select_first(nodes, lambda ns, n: tag("meta")(ns, n) & attr_eq("name", "description")(ns, n))
     title = F.when(title_node.isNull(), F.lit("No Title")).otherwise(string_of(nodes, title_node))
     desc = F.coalesce(at(desc_node.attrs, F.lit("content")), F.lit("No description"))
-    return parsed.select("page_id", "url", title.alias("title"), desc.alias("description"))
+    return [title.alias("title"), desc.alias("description")]
+
+
+def page_summary(parsed: DataFrame) -> DataFrame:
+    """H2: title (``<title>`` string or 'No Title') and meta description (or 'No description')."""
+    return parsed.select("page_id", "url", *summary_columns(F.col("nodes")))
 
 
 def crawl_links(links: DataFrame, scope: str = "origin", start_url: str | None = None,

@@ -104,25 +104,37 @@ fx_markdown AS (
 )"""
 
 
-def fx_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sitemap XML document per host, listing that host's page urls.
+SITEMAP_MAX_URLS = 50_000  # the sitemap protocol's per-file limit
+
 
-    ``collect_list`` per host is bounded by one host's url count, which is exactly
-    what one sitemap file holds (the sitemap protocol caps a file at 50,000 urls;
-    a host above that would need an index, see ``sitemap.expand_index``)."""
-    pages = load(spark, sf_dir, "pages").select("url")
+def fx_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemap XML files listing every page url: (host, sitemap_url, xml).
+
+    A host's urls are hashed into ceil(n / 50,000) files, so no file (and no
+    ``collect_list`` group) exceeds the protocol's limit, however big one host is."""
+    pages = load(spark, sf_dir, "pages").select("url").withColumn("host", F.split("url", "/").getItem(2))
+    per_host = pages.groupBy("host").agg(F.count("*").alias("n"))
+    chunks = F.ceil(F.col("n") / F.lit(SITEMAP_MAX_URLS)).cast("bigint")
+    keyed = pages.join(per_host, "host").withColumn("chunk", F.pmod(F.xxhash64("url"), chunks))
     locs = F.transform(
         F.array_sort(F.collect_list("url")),
         lambda u: F.concat(F.lit("<url><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>")),
     )
-    return (
-        pages.withColumn("host", F.split("url", "/").getItem(2))
-        .groupBy("host")
-        .agg(
-            F.concat(
-                F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
-                F.array_join(locs, ""),
-                F.lit("</urlset>"),
-            ).alias("xml")
-        )
-    )
+    return keyed.groupBy("host", "chunk").agg(
+        F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(locs, ""),
+                 F.lit("</urlset>")).alias("xml")
+    ).select("host", F.concat(F.lit("https://"), F.col("host"), F.lit("/sitemap-"), F.col("chunk").cast("string"),
+                              F.lit(".xml")).alias("sitemap_url"), "xml")
+
+
+def fx_sitemap_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sitemap index per host over that host's sitemap files, plus the files themselves:
+    (host, sitemap_url, xml); roots are 'https://{host}/sitemap_index.xml'."""
+    maps = fx_sitemaps(spark, sf_dir)
+    locs = F.transform(F.array_sort(F.collect_list("sitemap_url")),
+                       lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>")))
+    index = maps.groupBy("host").agg(
+        F.concat(F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
+                 F.array_join(locs, ""), F.lit("</sitemapindex>")).alias("xml")
+    ).select("host", F.concat(F.lit("https://"), F.col("host"), F.lit("/sitemap_index.xml")).alias("sitemap_url"), "xml")
+    return maps.unionByName(index)
