@@ -65,7 +65,7 @@ def q_sitemap_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SM.expand_sitemaps(sm.select("sitemap_url", "xml"), roots, max_pages=2**31 - 1).select("root", "url")
 
 
-EXCLUDE = [r"\\?utm_source=", r"/(fr|de)/", r"#top$"]
+EXCLUDE = [r"\?utm_source=", r"/(fr|de)/", r"#top$"]
 
 
 @register(
