@@ -125,6 +125,8 @@ def render_markdown(html, base_url=None, boilerplate=True, main_content=True, im
             return n["text"] if pre else re.sub(r"\s+", " ", n["text"])
         if t == "#data":
             return ""
+        if t in _BLOCK and not pre:
+            return "\n\n" + block(i) + "\n\n"
         inner = "".join(inline(k, pre or t == "pre") for k in kids[i])
         a = n["attrs"] or {}
         if t in ("b", "strong"):
