@@ -67,7 +67,7 @@ def crawl_edges(info: DataFrame, start_url: str, scope: str = "origin", drop_fra
 
 def crawl(pages: DataFrame, start_url: str, max_pages: int = 1000, scope: str = "origin",
           drop_fragment: bool = True, exclude: list[str] | None = None, edge_partitions: int | None = None,
-          keep_failed: bool = False) -> DataFrame:
+          keep_failed: bool = False, broadcast_rows: int = 200_000) -> DataFrame:
     """BFS from ``start_url`` over ``pages(page_id, url, html)``.
 
     Returns the visited HTML pages (``keep_failed`` also returns the visits that found no
@@ -84,7 +84,10 @@ def crawl(pages: DataFrame, start_url: str, max_pages: int = 1000, scope: str =
     # the "fetch": url key → smallest page id with that key
     keys = (pages.select(U.url_key(F.col("url")).alias("key"), "page_id").groupBy("key")
             .agg(F.min("page_id").alias("page_id")).repartition(nparts, "key").checkpoint())
+    # each edge's target is looked up in the corpus once, here, instead of once per level
     edges = crawl_edges(info, start_url, scope, drop_fragment, exclude)
+    edges = (edges.withColumn("key", U.url_key(F.col("target")))
+             .join(keys.withColumnRenamed("page_id", "target_page_id"), "key", "left").drop("key"))
     edges = edges.repartition(nparts, "page_id").checkpoint()
     summary = info.select("page_id", "title", "description")
 
@@ -109,12 +112,16 @@ def crawl(pages: DataFrame, start_url: str, max_pages: int = 1000, scope: str =
         if used >= max_pages:
             break
         visited = _union(parts)
-        cand = (level.where(F.col("page_id").isNotNull()).select("page_id", F.col("path").alias("ppath"))
-                .join(edges, "page_id")
+        # sizes are known exactly here, so small sides are broadcast on that proof
+        lv = level.where(F.col("page_id").isNotNull()).select("page_id", F.col("path").alias("ppath"))
+        lv = F.broadcast(lv) if n <= broadcast_rows else lv
+        vis = F.broadcast(visited.select("url")) if used <= broadcast_rows else visited.select("url")
+        cand = (lv.join(edges, "page_id")
                 .groupBy(F.col("target").alias("url"))
-                .agg(F.min(F.concat("ppath", F.array(F.col("pos")))).alias("path")))
+                .agg(F.min(F.concat("ppath", F.array(F.col("pos")))).alias("path"),
+                     F.min("target_page_id").alias("page_id")))
         depth += 1
-        level = fetch(cand.join(visited.select("url"), "url", "left_anti"), depth)
+        level = cand.join(vis, "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if len(parts) % 16 == 0:  # keep the union plan short
             parts = [_union(parts).checkpoint()]
     visited = _union(parts) if parts else level.limit(0)
