@@ -17,7 +17,8 @@ from ..functions import urls as U
 def url_item(c) -> F.Column:
     """A URL list item that is either a JSON string or an object with a 'url' field."""
     v = c if isinstance(c, F.Column) else F.col(c)
-    return F.coalesce(F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$.url", "string"))
+    as_string = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.coalesce(as_string, F.try_variant_get(v, "$.url", "string"))
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
