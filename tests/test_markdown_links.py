@@ -77,6 +77,12 @@ def test_renderer_golden():
     assert out["images"] == [["https://s.com/i/a.png?v=1", "a.png"], ["https://s.com/j/a.png", "a_1.png"]]
 
 
+def test_renderer_media_paths():
+    html = "<article><a href='/files/r.PDF?x=1'>doc</a> <a href='https://other.org/f.pdf'>ext</a></article>"
+    body = render_markdown(html, "https://www.s.com/p", True, True, "images", "media")["body"]
+    assert "[doc](<media/files/r.PDF>)" in body and "[ext](<https://other.org/f.pdf>)" in body
+
+
 DOCS = [
     ("pages/a/one.md", "---\ntitle: One\noriginal_url: https://s.com/one\n---\n[two](https://s.com/two?x=1) "
                        "[lit](/two) [miss](/nope) [ext](https://o.org/) ![i](./images/a.png) [md](../b/x.md) [top](#t)"),

@@ -37,8 +37,10 @@ def _pairs(n=1500, seed=7):
 def test_url_join_matches_urljoin(spark):
     pairs = _pairs()
     df = spark.createDataFrame(pairs, "base string, href string")
-    got = df.select("base", "href", U.url_join("base", "href").alias("j")).collect()
-    bad = [(r.base, r.href, r.j, urljoin(r.base, r.href)) for r in got if r.j != urljoin(r.base, r.href)]
+    got = df.select("base", "href", U.url_join("base", "href").alias("j"),
+                    U.url_join(F.col("base"), F.col("href")).alias("c")).collect()
+    bad = [(r.base, r.href, r.j, r.c, urljoin(r.base, r.href)) for r in got
+           if r.j != urljoin(r.base, r.href) or r.c != r.j]
     assert not bad, bad[:10]
 
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import urls_sql as S
+
 # Scheme lists of Python's urllib.parse (uses_relative, uses_netloc).
 USES_RELATIVE = [
     "", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
@@ -54,6 +56,8 @@ def _clean(c: Column) -> Column:
 
 def url_split(c) -> Column:
     """struct<scheme, netloc, path, query, fragment>; never fails, NULL in → NULL fields."""
+    if isinstance(c, str):
+        return F.expr(S.url_split(S.ident(c)))
     def parts(u):
         return let(
             F.regexp_replace(u, _SCHEME_RE, ""),
@@ -114,6 +118,8 @@ def _fold_dots(segs: Column) -> Column:
 
 def url_join(base, href) -> Column:
     """``urllib.parse.urljoin(base, href)`` as a native expression."""
+    if isinstance(base, str) and isinstance(href, str):
+        return F.expr(S.url_join(S.ident(base), S.ident(href), USES_RELATIVE, USES_NETLOC))
     base, href = _col(base), _col(href)
     core = let(
         F.struct(url_split(base).alias("b"), url_split(href).alias("h")),
@@ -178,6 +184,8 @@ def normalize_url(url, base=None) -> Column:
 
 def get_domain(url) -> Column:
     """U4: the netloc (userinfo and port kept)."""
+    if isinstance(url, str):
+        return F.expr(S.get_domain(S.ident(url)))
     return url_split(url).netloc
 
 
@@ -188,6 +196,8 @@ def same_domain_exact(a, b) -> Column:
 
 def site_key(url) -> Column:
     """The netloc with every 'www.' removed (the reference's site identity)."""
+    if isinstance(url, str):
+        return F.expr(S.site_key(S.ident(url)))
     return F.replace(get_domain(url), F.lit("www."), F.lit(""))
 
 
@@ -198,6 +208,8 @@ def same_site(a, b) -> Column:
 
 def origin(url) -> Column:
     """scheme://netloc of a URL."""
+    if isinstance(url, str):
+        return F.expr(S.origin(S.ident(url)))
     s = url_split(url)
     return F.concat(s.scheme, F.lit("://"), s.netloc)
 
@@ -215,12 +227,16 @@ def to_relative(url, base) -> Column:
 
 def url_key(url) -> Column:
     """Scheme://netloc+path (query and fragment dropped)."""
+    if isinstance(url, str):
+        return F.expr(S.url_key(S.ident(url)))
     s = url_split(url)
     return F.concat(s.scheme, F.lit("://"), s.netloc, s.path)
 
 
 def strip_query(url) -> Column:
     """U8: only when a query is present → scheme://netloc+path (fragment goes with it)."""
+    if isinstance(url, str):
+        return F.expr(S.strip_query(S.ident(url)))
     return F.when(url_split(url).query != "", url_key(url)).otherwise(_col(url))
 
 
@@ -230,8 +246,8 @@ def drop_fragment(url) -> Column:
 
 def url_to_filename(url, extension: str = ".html") -> Column:
     """netloc+path with / . ? & = space % → '_'; long names shortened with an md5 tag."""
-    url = _col(url)
     s = url_split(url)
+    url = _col(url)
     p = F.translate(F.replace(F.concat(s.netloc, s.path), F.lit("://"), F.lit("_")), "/.?&= %", "_______")
     p = F.when(
         F.length(p) > 200, F.concat(F.substring(p, 1, 100), F.lit("_"), F.substring(F.md5(url), 1, 16))
@@ -297,14 +313,12 @@ def metadata_path(mpath) -> Column:
 
 def media_path(url) -> Column:
     """U16: media file path; an empty path gets 'media_<xxhash64(url)>'."""
-    url = _col(url)
     p = _strip_slashes(url_split(url).path)
-    return F.when(p == "", F.concat(F.lit("media_"), F.xxhash64(url).cast("string"))).otherwise(p)
+    return F.when(p == "", F.concat(F.lit("media_"), F.xxhash64(_col(url)).cast("string"))).otherwise(p)
 
 
 def markdown_path(url, slug_col=None, preserve_hierarchy: bool = True) -> Column:
     """Slug (else last segment, else 'index'), .html/.php/.asp dropped, sanitised, '.md'."""
-    url = _col(url)
     p = _strip_slashes(url_split(url).path)
     last = F.when(p == "", F.lit("index")).otherwise(at(F.split(p, "/"), -1))
     name = last if slug_col is None else F.when(F.coalesce(_col(slug_col), F.lit("")) != "", _col(slug_col)).otherwise(last)

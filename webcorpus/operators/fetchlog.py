@@ -96,7 +96,7 @@ def status_report(log: DataFrame, with_map: bool = False) -> DataFrame:
     """A2 (+A9, A13): per site: urls requested, responses, successes, skipped redirects,
     errors, bytes; optionally the code→count map (built from per-code counts, so the map
     is bounded by the number of distinct codes, not by the log)."""
-    site = U.get_domain(F.col("url"))
+    site = U.get_domain("url")
     per = log.withColumn("site", site)
     out = per.groupBy("site").agg(
         F.countDistinct("url").alias("urls"),
@@ -123,7 +123,7 @@ def throughput(log: DataFrame, bucket_rows: int = 1_000_000, every: int = 10) ->
     seconds since the site's first response, requests/s and KB/s (0 when no time has
     passed).  ``report_point`` marks every ``every``-th request (the reference's progress
     line) without dropping rows."""
-    site = log.withColumn("site", U.get_domain(F.col("url")))
+    site = log.withColumn("site", U.get_domain("url"))
     run = running_sums(
         site,
         ["site"],
@@ -165,7 +165,7 @@ def effective_delay(log: DataFrame, policy: RetryPolicy = DEFAULT_POLICY, bucket
     """
     err = F.col("error") if "error" in log.columns else None
     bump = is_retryable(F.col("status_code"), F.col("attempt"), policy) | is_rate_limited(F.col("status_code"), err)
-    site = log.withColumn("site", U.get_domain(F.col("url"))).withColumn("backoff", bump)
+    site = log.withColumn("site", U.get_domain("url")).withColumn("backoff", bump)
     run = running_sums(
         site, ["site"], ["seq"], F.floor(F.col("seq") / F.lit(bucket_rows)),
         {"backoffs": F.col("backoff").cast("bigint")},
@@ -214,7 +214,7 @@ def path_collisions(log: DataFrame) -> DataFrame:
     'downloaded', every later claim of the same (site, path) is 'skipped' (Q16 keys by site)."""
     ok = html_only(log).where((F.col("status_code") >= 200) & (F.col("status_code") < 300))
     keyed = ok.select(
-        "seq", "url", U.site_folder(F.col("url")).alias("site"), U.mirror_path(F.col("url")).alias("mirror_path")
+        "seq", "url", U.site_folder("url").alias("site"), U.mirror_path("url").alias("mirror_path")
     )
     marked = first_wins(keyed, ["site", "mirror_path"], F.col("seq"), "is_first")
     return marked.select(

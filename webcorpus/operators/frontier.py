@@ -58,7 +58,7 @@ def crawl_edges(info: DataFrame, start_url: str, scope: str = "origin", drop_fra
     href = F.col("href")
     e = links.where(~href.startswith("#") & ~href.startswith("javascript:"))
     e = e.where(_in_scope(F.col("url"), start_url, scope))
-    target = U.strip_query(F.col("url"))
+    target = U.strip_query("url")
     if drop_fragment:
         target = U.drop_fragment(target)
     e = e.select("page_id", "pos", target.alias("target"))
@@ -82,18 +82,18 @@ def crawl(pages: DataFrame, start_url: str, max_pages: int = 1000, scope: str =
     info = info.checkpoint()
     nparts = edge_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the "fetch": url key → smallest page id with that key
-    keys = (pages.select(U.url_key(F.col("url")).alias("key"), "page_id").groupBy("key")
+    keys = (pages.select(U.url_key("url").alias("key"), "page_id").groupBy("key")
             .agg(F.min("page_id").alias("page_id")).repartition(nparts, "key").checkpoint())
     # each edge's target is looked up in the corpus once, here, instead of once per level
     edges = crawl_edges(info, start_url, scope, drop_fragment, exclude)
-    edges = (edges.withColumn("key", U.url_key(F.col("target")))
+    edges = (edges.withColumn("key", U.url_key("target"))
              .join(keys.withColumnRenamed("page_id", "target_page_id"), "key", "left").drop("key"))
     edges = edges.repartition(nparts, "page_id").checkpoint()
     summary = info.select("page_id", "title", "description")
 
     def fetch(df: DataFrame, depth: int) -> DataFrame:
         """The visit: look the url's key up in the corpus (a missing page is a failed visit)."""
-        return (df.withColumn("key", U.url_key(F.col("url"))).join(keys, "key", "left").drop("key")
+        return (df.withColumn("key", U.url_key("url")).join(keys, "key", "left").drop("key")
                 .withColumn("depth", F.lit(depth)).checkpoint())
 
     level = fetch(spark.createDataFrame([(start_url, [])], "url string, path array<int>"), 0)

@@ -31,7 +31,7 @@ def pages_map(docs: DataFrame, resolve: bool = True) -> DataFrame:
         F.col("original_url").isNotNull() & (F.col("original_url") != ""))
     if resolve:
         m = m.withColumn("original_url", _unquote(F.col("original_url")))
-    key = U.url_key(F.col("original_url")) if resolve else F.col("original_url")
+    key = U.url_key("original_url") if resolve else F.col("original_url")
     return m.withColumn("key", key).groupBy("key").agg(
         F.max_by("original_url", "path").alias("original_url"), F.max("path").alias("target_path"))
 

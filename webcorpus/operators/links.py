@@ -47,9 +47,9 @@ def links_from_anchors(df: DataFrame, url_col: str = "url", anchors_col: str = "
         "src_url",
         F.col("a.pos").alias("pos"),
         F.col("a.href").alias("href"),
-        U.url_join(F.col("src_url"), F.col("a.href")).alias("url"),
+        U.url_join("src_url", "a.href").alias("url"),
         F.left(text, F.lit(100)).alias("text"),
-    ).withColumn("internal", U.same_site(F.col("url"), F.col("src_url")))
+    ).withColumn("internal", U.same_site("url", "src_url"))
 
 
 def links_from_pages(pages: DataFrame) -> DataFrame:
@@ -83,10 +83,10 @@ def crawl_links(links: DataFrame, scope: str = "origin", start_url: str | None =
     out = links.where(~href.startswith("#") & ~href.startswith("javascript:"))
     base = F.lit(start_url) if start_url is not None else F.col("src_url")
     if scope == "origin":
-        out = out.where(U.origin(F.col("url")) == U.origin(base))
+        out = out.where(U.origin("url") == U.origin(base))
     elif scope == "prefix":
         out = out.where(F.col("url").startswith(U.origin(base)))
-    target = U.strip_query(F.col("url"))
+    target = U.strip_query("url")
     if drop_fragment:
         target = U.drop_fragment(target)
     out = out.withColumn("target", target)
@@ -96,7 +96,7 @@ def crawl_links(links: DataFrame, scope: str = "origin", start_url: str | None =
 
 def page_keys(pages: DataFrame) -> DataFrame:
     """Distinct url keys (U9) of the corpus with the smallest page_id per key."""
-    return pages.select(U.url_key(F.col("url")).alias("key"), "page_id").groupBy("key").agg(
+    return pages.select(U.url_key("url").alias("key"), "page_id").groupBy("key").agg(
         F.min("page_id").alias("target_page_id")
     )
 
@@ -107,7 +107,7 @@ def link_graph(links: DataFrame, pages: DataFrame) -> DataFrame:
     Edges are first reduced to (page, target key) counts, so a target that a third of
     all pages link to becomes one row per linking page before the shuffle-join.
     """
-    edges = links.select("page_id", U.url_key(F.col("url")).alias("key")).groupBy("page_id", "key").agg(
+    edges = links.select("page_id", U.url_key("url").alias("key")).groupBy("page_id", "key").agg(
         F.count("*").alias("n")
     )
     keyed = edges.join(page_keys(pages), "key", "left")
@@ -142,7 +142,7 @@ def link_report(pages: DataFrame) -> DataFrame:
     page, and dangling (internal but not in the corpus)."""
     links = links_from_pages(pages)
     per_target = (
-        links.select(U.get_domain(F.col("src_url")).alias("site"), U.url_key(F.col("url")).alias("key"), "internal")
+        links.select(U.get_domain("src_url").alias("site"), U.url_key("url").alias("key"), "internal")
         .groupBy("site", "key", "internal")
         .agg(F.count("*").alias("n"))
     )
@@ -155,7 +155,7 @@ def link_report(pages: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("in_corpus"), F.col("n")).otherwise(0)).alias("resolved_links"),
         F.sum(F.when(F.col("internal") & F.col("in_corpus").isNull(), F.col("n")).otherwise(0)).alias("dangling_links"),
     )
-    site_pages = pages.select(U.get_domain(F.col("url")).alias("site")).groupBy("site").agg(
+    site_pages = pages.select(U.get_domain("url").alias("site")).groupBy("site").agg(
         F.count("*").alias("pages")
     )
     return site_pages.join(per_site, "site", "left").select(

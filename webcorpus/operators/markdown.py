@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions import urls as U
 from ..functions.urls import at, let
 from .html import parse_html, spread
+from .media import DOCUMENT_EXTENSIONS
 
 # Subtrees removed before rendering (H6a), the boilerplate list (H6b) and
 # the main-content preference order (H7).
@@ -70,7 +71,24 @@ def _children(nodes):
     return kids, roots
 
 
-def render_markdown(html, base_url=None, boilerplate=True, main_content=True, image_dir=None):
+def _local_media(url, base_url, media_dir):
+    """A same-site document link → its local media path (U16 layout) under ``media_dir``."""
+    from urllib.parse import urlsplit
+
+    if not media_dir or not url:
+        return None
+    u = urlsplit(url)
+    ext = u.path.rsplit("/", 1)[-1]
+    ext = ext[ext.rfind("."):].lower() if "." in ext.lstrip(".") else ""
+    if ext not in DOCUMENT_EXTENSIONS:
+        return None
+    if base_url and u.netloc.replace("www.", "") != urlsplit(base_url).netloc.replace("www.", ""):
+        return None
+    path = u.path.strip("/")
+    return f"{media_dir}/{path}" if path else None
+
+
+def render_markdown(html, base_url=None, boilerplate=True, main_content=True, image_dir=None, media_dir=None):
     """Our Markdown dialect: ATX headings, **bold**, _italic_, `code`, fenced pre, '*' bullets,
     numbered lists, '>' quotes, [text](<url>) links, ![alt](url) images, pipe tables, no wrapping."""
     nodes = parse_html(html)
@@ -138,7 +156,9 @@ def render_markdown(html, base_url=None, boilerplate=True, main_content=True, im
         if t == "br":
             return "  \n"
         if t == "a" and "href" in a:
-            return f"[{inner.strip()}](<{join(a['href'])}>)"
+            target = join(a["href"])
+            target = _local_media(target, base_url, media_dir) or target
+            return f"[{inner.strip()}](<{target}>)"
         if t == "img":
             src = join(a.get("src", ""))
             if image_dir and src:
@@ -215,10 +235,10 @@ RENDER_TYPE = T.StructType([
 ])
 
 
-def _render_udf(boilerplate: bool, main_content: bool, image_dir: str | None):
+def _render_udf(boilerplate: bool, main_content: bool, image_dir: str | None, media_dir: str | None = None):
     @F.pandas_udf(RENDER_TYPE)
     def render(html: pd.Series, base: pd.Series) -> pd.DataFrame:
-        out = [render_markdown(h, b, boilerplate, main_content, image_dir) for h, b in zip(html, base)]
+        out = [render_markdown(h, b, boilerplate, main_content, image_dir, media_dir) for h, b in zip(html, base)]
         return pd.DataFrame({
             "body": [o["body"] if o else None for o in out],
             "images": [o["images"] if o else None for o in out],
@@ -228,10 +248,10 @@ def _render_udf(boilerplate: bool, main_content: bool, image_dir: str | None):
 
 
 def to_markdown(pages: DataFrame, absolutize: bool = True, boilerplate: bool = True, main_content: bool = True,
-                image_dir: str | None = "images") -> DataFrame:
+                image_dir: str | None = "images", media_dir: str | None = None) -> DataFrame:
     """M1 (+H6 clean, H7 main content, H8 image rewrite, H9 absolute links): adds ``body``
     (Markdown) and ``images`` (array<struct<url, name>>: the page's image map)."""
-    udf = _render_udf(boilerplate, main_content, image_dir)
+    udf = _render_udf(boilerplate, main_content, image_dir, media_dir)
     base = F.col("url") if absolutize else F.lit(None).cast("string")
     r = spread(pages).withColumn("_r", udf(F.col("html"), base))
     return r.drop("html").withColumn("body", F.col("_r.body")).withColumn(

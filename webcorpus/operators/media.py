@@ -84,10 +84,10 @@ def media_status(media: DataFrame) -> DataFrame:
     Two grouped minima joined back (partial aggregation, so hot keys cost one row per task)."""
     m = media.select(
         "*",
-        U.same_site(F.col("url"), F.col("src_url")).alias("same_site"),
-        U.url_key(F.col("url")).alias("url_key"),
-        U.site_folder(F.col("url")).alias("site"),
-        U.media_path(F.col("url")).alias("file_path"),
+        U.same_site("url", "src_url").alias("same_site"),
+        U.url_key("url").alias("url_key"),
+        U.site_folder("url").alias("site"),
+        U.media_path("url").alias("file_path"),
         F.struct("page_id", "pos").alias("_ord"),
     )
     local = m.where("same_site")

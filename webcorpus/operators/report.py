@@ -35,7 +35,7 @@ def table_of_contents(results: DataFrame, root: str = "") -> DataFrame:
     ok = results.where(conversion_ok(results) & F.col("markdown_path").isNotNull() & (F.col("markdown_path") != ""))
     rel = F.regexp_replace(F.col("markdown_path"), "^" + root, "") if root else F.col("markdown_path")
     files = ok.select(
-        U.get_domain(F.col("url")).alias("site"),
+        U.get_domain("url").alias("site"),
         rel.alias("path"),
         F.coalesce(F.col("title"), F.regexp_extract(rel, r"([^/]*)$", 1)).alias("title"),
     ).withColumn("dirs", F.filter(F.split(U.dirname(F.col("path")), "/"), lambda d: (d != "") & (d != ".")))
@@ -66,7 +66,7 @@ def site_index(results: DataFrame, when: Column | None = None) -> DataFrame:
     when = when if when is not None else F.current_date()
     toc = table_of_contents(results).select("site", F.concat(F.lit("1"), F.col("sort_key")).alias("sort_key"), "line")
     sites = results.where(F.col("url").isNotNull() & (F.col("url") != "")).select(
-        U.get_domain(F.col("url")).alias("site")).distinct()
+        U.get_domain("url").alias("site")).distinct()
     title = F.when(F.col("site") != "", F.concat(F.col("site"), F.lit(" Content Archive"))).otherwise(
         F.lit("Website Content Archive"))
     head = sites.select("site", F.posexplode(F.array(

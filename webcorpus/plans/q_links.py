@@ -92,7 +92,7 @@ FROM pages
 def q_url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U1, U4, U7, U8, U9, U13, site key."""
     p = load(spark, sf_dir, "pages").select("page_id", "url")
-    s = U.url_split(F.col("url"))
+    s = U.url_split("url")
     return p.select(
         "page_id",
         "url",

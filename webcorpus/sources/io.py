@@ -91,5 +91,5 @@ def with_sidecars(pages: DataFrame, sidecars: DataFrame, base_url: str | None =
     """Pages ⟕ sidecar metadata on the file stem; the base URL for link resolution is the
     given one, else scheme://netloc of the sidecar's url."""
     j = pages.join(sidecars, "stem", "left")
-    base = F.lit(base_url) if base_url else F.when(F.col("url").isNotNull(), U.origin(F.col("url")))
+    base = F.lit(base_url) if base_url else F.when(F.col("url").isNotNull(), U.origin("url"))
     return j.withColumn("base_url", base)

@@ -20,7 +20,7 @@ def write_urls(df: DataFrame, path: str, run_id: str) -> None:
 
 def write_pages(pages: DataFrame, path: str) -> None:
     """K2: fetched pages with their mirror path, partitioned by site (Q16: site + path is the key)."""
-    (pages.withColumn("site", U.site_folder(F.col("url"))).withColumn("mirror_path", U.mirror_path(F.col("url")))
+    (pages.withColumn("site", U.site_folder("url")).withColumn("mirror_path", U.mirror_path("url"))
      .write.mode("overwrite").partitionBy("site").parquet(path))
 
 
@@ -33,7 +33,7 @@ def page_metadata(log: DataFrame, links: DataFrame, media_items: DataFrame, medi
     m = media_summary.join(media_items, "page_id", "left").select(
         "page_id", F.struct(F.col("total").cast("int").alias("total"), F.col("downloaded").cast("int").alias("downloaded"),
                             F.coalesce("items", F.array()).alias("items")).alias("media"))
-    mp = U.mirror_path(F.col("url"))
+    mp = U.mirror_path("url")
     return (log.join(link_lists, "page_id", "left").join(m, "page_id", "left")
             .withColumn("download_path", mp).withColumn("metadata_path", U.metadata_path(mp)))
 

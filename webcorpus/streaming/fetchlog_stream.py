@@ -50,7 +50,7 @@ def throughput_windowed(log: DataFrame, window: str = "1 hour", slide: str | Non
                         delay: str = "10 minutes") -> DataFrame:
     """R2: requests, bytes, requests/s and KB/s per tumbling (or sliding) window and site."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    agg = (log.withWatermark("ts", delay).withColumn("site", U.get_domain(F.col("url")))
+    agg = (log.withWatermark("ts", delay).withColumn("site", U.get_domain("url"))
            .groupBy(w.alias("w"), "site")
            .agg(F.count("*").alias("requests"), F.sum("size_bytes").alias("bytes")))
     secs = F.unix_seconds(F.col("w.end")) - F.unix_seconds(F.col("w.start"))
@@ -61,13 +61,13 @@ def throughput_windowed(log: DataFrame, window: str = "1 hour", slide: str | Non
 
 def dedup_urls(log: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The first event per url key within the watermark delay."""
-    return (log.withColumn("url_key", U.url_key(F.col("url"))).withWatermark("ts", delay)
+    return (log.withColumn("url_key", U.url_key("url")).withWatermark("ts", delay)
             .dropDuplicatesWithinWatermark(["url_key"]))
 
 
 def host_sessions(log: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """Fetch sessions per host (a new session after ``gap`` without requests)."""
-    return (log.withWatermark("ts", delay).withColumn("host", U.get_domain(F.col("url")))
+    return (log.withWatermark("ts", delay).withColumn("host", U.get_domain("url"))
             .groupBy("host", F.session_window("ts", gap).alias("s"))
             .agg(F.count("*").alias("requests"), F.sum("size_bytes").alias("bytes"))
             .select("host", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
@@ -100,7 +100,7 @@ def backoff_state(log: DataFrame, policy: RetryPolicy = DEFAULT_POLICY) -> DataF
     """Per-site adaptive delay as keyed state (applyInPandasWithState): the count of
     back-off events so far is the state; each event's delay is the W6 closed form.  Events
     of one micro-batch are applied in seq order (files must arrive in order, see tests)."""
-    keyed = log.withColumn("site", U.get_domain(F.col("url"))).select("site", "seq", "status_code", "attempt")
+    keyed = log.withColumn("site", U.get_domain("url")).select("site", "seq", "status_code", "attempt")
     return keyed.groupBy("site").applyInPandasWithState(
         _backoff_fn(policy), BACKOFF_OUT, BACKOFF_STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -125,14 +125,14 @@ def incremental_links(pages_stream: DataFrame, out_path: str, name: str = "page_
     spark = pages_stream.sparkSession
 
     def batch(df: DataFrame, epoch: int) -> None:
-        new = df.withColumn("src_key", U.url_key(F.col("url")))
+        new = df.withColumn("src_key", U.url_key("url"))
         try:
             done = spark.read.parquet(out_path).select("src_key").distinct()
             new = new.join(done, "src_key", "left_anti")
         except Exception:  # first batch: no output yet
             pass
         links = links_from_pages(new.select("page_id", "url", "html"))
-        links.withColumn("src_key", U.url_key(F.col("src_url"))).withColumn("epoch", F.lit(epoch)).write.mode(
+        links.withColumn("src_key", U.url_key("src_url")).withColumn("epoch", F.lit(epoch)).write.mode(
             "append").parquet(out_path)
 
     q = (pages_stream.writeStream.foreachBatch(batch)
