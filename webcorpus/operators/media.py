@@ -90,11 +90,11 @@ def media_status(media: DataFrame) -> DataFrame:
         U.media_path("url").alias("file_path"),
         F.struct("page_id", "pos").alias("_ord"),
     )
-    local = m.where("same_site")
-    key_first = local.groupBy("url_key").agg(F.min("_ord").alias("_key_first"))
-    # the first use of every key, then the first key per (site, file)
-    firsts = local.join(key_first, "url_key").where(F.col("_ord") == F.col("_key_first"))
-    path_first = firsts.groupBy("site", "file_path").agg(F.min("_ord").alias("_path_first"))
+    # a key fixes its (site, file), so the first use of a file is the minimum over its keys'
+    # first uses: the second aggregate runs on the (small) per-key table, not on the rows
+    key_first = m.where("same_site").groupBy("url_key", "site", "file_path").agg(F.min("_ord").alias("_key_first"))
+    path_first = key_first.groupBy("site", "file_path").agg(F.min("_key_first").alias("_path_first"))
+    key_first = key_first.select("url_key", "_key_first")
     status = (
         F.when(~F.col("same_site"), F.lit(None).cast("string"))
         .when(F.col("_ord") > F.col("_key_first"), F.lit("exists"))
