@@ -109,19 +109,15 @@ def fix_links(docs: DataFrame, resolve: bool = True) -> DataFrame:
 
 def validation_summary(docs: DataFrame, resolve: bool = True) -> DataFrame:
     """A7 as (metric, value) rows: pages mapped, files with internal links, external,
-    fixed and broken links.  Each metric is one global aggregate; no join between them."""
+    fixed and broken links: one aggregate over the map, one over the validated links."""
+    from .report import metrics
+
     v = validate_links(docs, resolve)
-    mapped = pages_map(docs, resolve).agg(F.lit("pages_mapped").alias("metric"), F.count("*").alias("value"))
-    parts = [mapped] + [
-        v.agg(F.lit(name).alias("metric"), expr.alias("value"))
-        for name, expr in (
-            ("files_with_internal_links", F.count_distinct(F.when(F.col("kind") == "internal", F.col("path")))),
-            ("external_links", F.count_if(F.col("kind") == "external")),
-            ("fixed_links", F.count_if(F.col("status") == "fixed")),
-            ("broken_links", F.count_if(F.col("status") == "broken")),
-        )
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    mapped = metrics(pages_map(docs, resolve), {"pages_mapped": F.count("*")})
+    counts = metrics(v, {
+        "files_with_internal_links": F.count_distinct(F.when(F.col("kind") == "internal", F.col("path"))),
+        "external_links": F.count_if(F.col("kind") == "external"),
+        "fixed_links": F.count_if(F.col("status") == "fixed"),
+        "broken_links": F.count_if(F.col("status") == "broken"),
+    })
+    return mapped.unionByName(counts)

@@ -101,20 +101,29 @@ def page_records(docs: DataFrame) -> DataFrame:
     )
 
 
+def metrics(df: DataFrame, exprs: dict) -> DataFrame:
+    """One global aggregate computing several counters, unpivoted to (metric, value) rows:
+    a single pass over ``df`` however many counters are asked for."""
+    agg = df.agg(*[e.cast("bigint").alias(f"m{i}") for i, e in enumerate(exprs.values())])
+    pairs = ", ".join(f"'{name}', m{i}" for i, name in enumerate(exprs))
+    return agg.selectExpr(f"stack({len(exprs)}, {pairs}) AS (metric, value)")
+
+
 def download_report(discovered: DataFrame, downloads: DataFrame, conversions: DataFrame,
                     validation: DataFrame) -> DataFrame:
-    """The eight counters as (metric, value) rows, each its own global aggregate."""
+    """The eight counters as (metric, value) rows; one aggregate per input table."""
     conv_ok = conversion_ok(conversions)
+    done = F.coalesce(F.col("downloaded"), F.lit(False))
     parts = [
-        discovered.agg(F.lit("crawled_urls").alias("metric"), F.count("*").alias("value")),
-        downloads.agg(F.lit("downloaded_pages").alias("metric"), F.count_if(F.coalesce("downloaded", F.lit(False))).alias("value")),
-        downloads.agg(F.lit("failed_downloads").alias("metric"), F.count_if(~F.coalesce("downloaded", F.lit(False))).alias("value")),
-        conversions.agg(F.lit("converted_pages").alias("metric"), F.count_if(conv_ok).alias("value")),
-        conversions.agg(F.lit("failed_conversions").alias("metric"), F.count_if(~conv_ok).alias("value")),
-        conversions.agg(F.lit("downloaded_images").alias("metric"),
-                        F.coalesce(F.sum(F.when(conv_ok, F.size("images")).otherwise(0)), F.lit(0)).cast("bigint").alias("value")),
-        validation.agg(F.lit("fixed_links").alias("metric"), F.count_if(F.col("status") == "fixed").alias("value")),
-        validation.agg(F.lit("broken_links").alias("metric"), F.count_if(F.col("status") == "broken").alias("value")),
+        metrics(discovered, {"crawled_urls": F.count("*")}),
+        metrics(downloads, {"downloaded_pages": F.count_if(done), "failed_downloads": F.count_if(~done)}),
+        metrics(conversions, {
+            "converted_pages": F.count_if(conv_ok),
+            "failed_conversions": F.count_if(~conv_ok),
+            "downloaded_images": F.coalesce(F.sum(F.when(conv_ok, F.size("images")).otherwise(0)), F.lit(0)),
+        }),
+        metrics(validation, {"fixed_links": F.count_if(F.col("status") == "fixed"),
+                             "broken_links": F.count_if(F.col("status") == "broken")}),
     ]
     out = parts[0]
     for p in parts[1:]:
