@@ -133,7 +133,8 @@ def throughput(log: DataFrame, bucket_rows: int = 1_000_000, every: int = 10) ->
         count_col="cum_requests",
     )
     start = site.groupBy("site").agg(F.min("ts").alias("_t0"))
-    elapsed = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp"))) / 1e6
+    # wall-clock difference (no session time zone involved, so no DST shifts)
+    elapsed = F.expr("timestampdiff(MICROSECOND, _t0, ts)") / 1e6
     return (
         run.join(start, "site")
         .withColumn("elapsed_s", elapsed)
