@@ -70,3 +70,19 @@ def test_metadata_golden(spark):
     n = rows[3]
     assert n.title == "Only H1" and n.date_published == "2020-12-31" and n.excerpt == "tiny"
     assert n.tags == [] and n.categories == [] and n.slug == "x"
+
+
+def test_main_content_and_cleaning(spark):
+    from webcorpus.operators.html import main_content_root, main_text
+    docs = [
+        (1, "u", "<body><nav>n</nav><div class='content'>A <span hidden>h</span><div class='ad'>x</div>B"
+                 "<script>s</script></div><main>M</main></body>"),
+        (2, "u", "<body><div class='sidebar'><article>inside removed</article></div><p>plain <i>text</i></p></body>"),
+        (3, "u", "<p>no body</p>"),
+    ]
+    df = parse_pages(spark.createDataFrame(docs, "page_id long, url string, html string"))
+    got = {r.page_id: (r.root, r.text) for r in df.select(
+        "page_id", main_content_root(F.col("nodes")).tag.alias("root"), main_text(F.col("nodes")).alias("text")).collect()}
+    assert got[1] == ("div", "A B")
+    assert got[2] == ("body", "plain text")
+    assert got[3] == (None, "no body")

@@ -287,3 +287,62 @@ def py_strip(c: Column) -> Column:
 def collapse_ws(c: Column) -> Column:
     """Python ``' '.join(s.split())``."""
     return py_strip(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
+
+
+# ---------------------------------------------------------------------------
+# H6 / H7 on the parsed tree (the renderer applies the same rules in Python)
+# ---------------------------------------------------------------------------
+
+def removal_roots(nodes: Column, boilerplate: bool = True) -> Column:
+    """H6: element nodes whose subtree is dropped before rendering: script, style, iframe,
+    inline display:none, [hidden]; with ``boilerplate`` also noscript/header/footer/nav
+    tags, the boilerplate classes and the related-posts id."""
+    from .markdown import ALWAYS_REMOVED_TAGS, BOILERPLATE_CLASSES, BOILERPLATE_IDS, BOILERPLATE_TAGS
+
+    tags = BOILERPLATE_TAGS if boilerplate else ALWAYS_REMOVED_TAGS
+
+    def sel(ns, n):
+        cond = (n.tag.isin(tags) | F.map_contains_key(n.attrs, "hidden")
+                | F.coalesce(at(n.attrs, "style").contains("display:none"), F.lit(False)))
+        if boilerplate:
+            cond = (cond | F.coalesce(at(n.attrs, "id").isin(BOILERPLATE_IDS), F.lit(False))
+                    | F.arrays_overlap(n.classes, F.array(*[F.lit(c) for c in BOILERPLATE_CLASSES])))
+        return cond
+
+    return select_all(nodes, sel)
+
+
+def main_content_root(nodes: Column, boilerplate: bool = True) -> Column:
+    """H7: the first non-removed node matching the preference list (article, .post-content,
+    .entry-content, .content, main, .main-content, .article-content, .post, #content), else
+    <body>, else NULL (the whole document)."""
+    from .markdown import MAIN_CONTENT
+
+    def pick(spans):
+        def kept(sel):
+            return lambda ns, n: sel(ns, n) & ~F.exists(spans, lambda r: (r.idx <= n.idx) & (n.idx <= r.end))
+
+        cands = []
+        for kind, value in MAIN_CONTENT:
+            base = tag(value) if kind == "tag" else cls(value) if kind == "class" else el_id(value)
+            cands.append(select_first(nodes, kept(base)))
+        cands.append(select_first(nodes, tag("body")))
+        return F.coalesce(*cands)
+
+    return let(removal_roots(nodes, boilerplate), pick)
+
+
+def main_text(nodes: Column, boilerplate: bool = True) -> Column:
+    """Character data of the main content without removed subtrees (get_text semantics)."""
+    def text(v):
+        root, spans = v.root, v.spans
+        inside = F.filter(
+            nodes,
+            lambda m: (m.tag == "#text")
+            & (root.isNull() | ((m.idx > root.idx) & (m.idx <= root.end)))
+            & ~F.exists(spans, lambda r: (r.idx <= m.idx) & (m.idx <= r.end)),
+        )
+        return F.array_join(F.transform(inside, lambda m: m.text), "")
+
+    return let(F.struct(main_content_root(nodes, boilerplate).alias("root"),
+                        removal_roots(nodes, boilerplate).alias("spans")), text)

@@ -181,3 +181,25 @@ def q_correction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ = U
+
+
+@register(
+    "main_content",
+    f"""WITH {FX_PAGES_SQL},
+a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS art FROM fx_pages),
+t AS (SELECT page_id, {S.unescape("regexp_replace(art, '<[^>]*>', '', 'g')")} AS txt FROM a)
+SELECT page_id, 'article' AS root_tag,
+       CAST(len(list_filter(regexp_split_to_array(txt, '{_WS}'), lambda x: x <> '')) AS INTEGER) AS words
+FROM t""",
+)
+def q_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H6 + H7 on the parsed tree: main-content root and its word count without boilerplate."""
+    from ..operators.html import main_content_root, main_text, parse_pages
+
+    parsed = parse_pages(fx_pages(spark, sf_dir))
+    nodes = F.col("nodes")
+    return parsed.select(
+        "page_id",
+        main_content_root(nodes).tag.alias("root_tag"),
+        MD.word_count(main_text(nodes)).alias("words"),
+    )
