@@ -398,7 +398,8 @@ def correction_requests(docs: DataFrame, templates: DataFrame, type_col: str, te
 
     Templates are a handful of rows: their type names are read (bounded by ``max_templates``)
     and the table is broadcast only within that bound."""
-    t = templates.select(F.lower("type").alias("_t"), F.col("template").alias("_tpl"))
+    # one template per (case-folded) type, like a dict
+    t = templates.groupBy(F.lower("type").alias("_t")).agg(F.max("template").alias("_tpl"))
     known = [r._t for r in t.select("_t").distinct().limit(max_templates + 1).collect()]
     if len(known) > max_templates:
         raise ValueError("too many templates to resolve on the driver; join them as a table instead")

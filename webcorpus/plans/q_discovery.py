@@ -36,7 +36,8 @@ def q_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1 (+H4, F2, F4, U8, J7, E4, T1): BFS over the whole corpus from its first page, links
     across hosts followed (scope 'any'); the budget is set above any reachable count."""
     pages = fx_pages(spark, sf_dir)
-    start = load(spark, sf_dir, "pages").orderBy("page_id").select("url").first()[0]
+    # the seed: url of the smallest page id (a partial aggregate, one row to the driver)
+    start = load(spark, sf_dir, "pages").agg(F.min_by("url", "page_id").alias("u")).first()[0]
     out = FR.crawl(pages, start, max_pages=2**62, scope="any")
     return out.drop("order")
 
