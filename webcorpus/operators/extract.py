@@ -2,6 +2,8 @@
 
 JSON-LD is parsed by Spark itself (``try_parse_json`` → VARIANT) and read with
 ``try_variant_get``; selectors are interval tests on the pre-order tree.  No UDF.
+Each field is generated as SQL text (``nodes_sql``) and handed to the JVM in one
+``F.expr``; the functions take column names.
 """
 
 from __future__ import annotations
@@ -10,10 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.urls import at, let
-from .html import (
-    all_of, attr_eq, cls, get_text, has_attr, is_element, py_strip, collapse_ws, select_all, select_first, tag, under,
-)
+from ..functions import urls_sql as US
+from ..functions.urls_sql import _v, let, lit
+from . import nodes_sql as N
 
 # JSON-LD types read, title separators, date formats (in order), page paths.
 ARTICLE_TYPES = ["Article", "BlogPosting", "WebPage"]
@@ -31,225 +32,259 @@ CATEGORY_CLASSES = ["cat-links", "category-links", "categories", "post-categorie
 TAG_CLASSES = ["tag-links", "tags", "post-tags", "entry-tags", "article-tags"]
 IMAGE_CLASSES = ["post-thumbnail", "featured-image", "entry-featured-image", "post-featured-image"]
 
+AT_TYPE = "$['@type']"
+
+
+def dt_attr(el: str) -> str:
+    return f"try_element_at({el}.attrs, 'datetime')"
+
+
+ISO_RE = r"^(\d{4}-\d{2}-\d{2})([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?$"
+
+
+def _q(name: str) -> str:
+    return US.ident(name)
+
 
 def _sel(pair):
     outer, inner = pair
     if inner is None:
-        return cls(outer)
-    inner_sel = cls(inner[1:]) if inner.startswith(".") else tag(inner)
-    return under(cls(outer), inner_sel)
-
-
-def _nz(c: Column) -> Column:
-    """NULL for '' (so coalesce moves on, as Python's `if not x`)."""
-    return F.when(c != "", c)
+        return N.cls(outer)
+    inner_sel = N.cls(inner[1:]) if inner.startswith(".") else N.tag(inner)
+    return N.under(N.cls(outer), inner_sel)
 
 
-def _meta(nodes: Column, attr: str, value: str) -> Column:
-    """content of the first <meta attr=value> ('' when the tag has no content)."""
-    return let(select_first(nodes, all_of(tag("meta"), attr_eq(attr, value))),
-               lambda m: F.when(m.isNotNull(), F.coalesce(at(m.attrs, "content"), F.lit(""))))
+def _meta(nodes: str, attr: str, value: str) -> str:
+    """content of the first <meta attr=value> ('' when the tag has no content), NULL without the tag."""
+    return let(N.select_first(nodes, N.all_of(N.tag("meta"), N.attr_eq(attr, value))),
+               lambda m: f"CASE WHEN {m} IS NOT NULL THEN coalesce(try_element_at({m}.attrs, 'content'), '') END")
 
 
-def json_ld(nodes: Column) -> Column:
+def json_ld_sql(nodes: str) -> str:
     """array<variant> of JSON-LD items: every script[type=application/ld+json], arrays
     flattened, unparsable scripts skipped."""
-    scripts = select_all(nodes, all_of(tag("script"), attr_eq("type", "application/ld+json")))
-    texts = F.transform(scripts, lambda s: F.array_join(
-        F.transform(F.filter(nodes, lambda m: m.parent == s.idx), lambda m: m.text), ""))
-    parsed = F.filter(F.transform(texts, lambda t: F.try_parse_json(t)), lambda v: v.isNotNull())
-    items = F.transform(
-        parsed,
-        lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v)),
-    )
-    return F.filter(F.flatten(items), lambda v: v.isNotNull())
+    scripts = N.select_all(nodes, N.all_of(N.tag("script"), N.attr_eq("type", "application/ld+json")))
+    s, m, m2, t, v, w, x = (_v(p) for p in ("s", "m", "m", "t", "v", "w", "x"))
+    texts = (f"transform({scripts}, {s} -> array_join(transform(filter({nodes}, {m} -> {m}.parent = {s}.idx), "
+             f"{m2} -> {m2}.text), ''))")
+    parsed = f"filter(transform({texts}, {t} -> try_parse_json({t})), {v} -> {v} IS NOT NULL)"
+    items = f"transform({parsed}, {w} -> coalesce(try_variant_get({w}, '$', 'array<variant>'), array({w})))"
+    return f"filter(flatten({items}), {x} -> {x} IS NOT NULL)"
 
 
-def _articles(ld: Column) -> Column:
-    return F.filter(ld, lambda v: F.try_variant_get(v, "$['@type']", "string").isin(ARTICLE_TYPES))
+def _articles(ld: str) -> str:
+    v = _v("v")
+    types = ", ".join(lit(a) for a in ARTICLE_TYPES)
+    return f"filter({ld}, {v} -> try_variant_get({v}, {lit(AT_TYPE)}, 'string') IN ({types}))"
 
 
-def _ld_first(ld: Column, path: str) -> Column:
-    """First article item with a non-empty string at ``path``."""
-    vals = F.transform(_articles(ld), lambda v: F.try_variant_get(v, path, "string"))
-    return at(F.filter(vals, lambda s: s.isNotNull() & (s != "")), 1)
+def _ld_first(ld: str, path: str) -> str:
+    v, s = _v("v"), _v("s")
+    vals = f"transform({_articles(ld)}, {v} -> try_variant_get({v}, {lit(path)}, 'string'))"
+    return f"try_element_at(filter({vals}, {s} -> {s} IS NOT NULL AND {s} != ''), 1)"
 
 
-def meta_title(nodes: Column, ld: Column) -> Column:
+def title_sql(nodes: str, ld: str) -> str:
     """JSON-LD headline → og:title → twitter:title → <title> (cut at separators) → h1."""
-    t = select_first(nodes, tag("title"))
-    title_text = let(t, lambda x: py_strip(get_text(nodes, x)))
+    t = N.select_first(nodes, N.tag("title"))
+    title_text = let(t, lambda x: N.py_strip(N.get_text(nodes, x)))
+
     def cut(sep):
-        return lambda x: F.when(x.contains(sep), py_strip(F.split(x, r"\Q" + sep + r"\E", 2).getItem(0))).otherwise(x)
+        return lambda x: (f"CASE WHEN contains({x}, {lit(sep)}) THEN "
+                          f"{N.py_strip(f'split_part({x}, {lit(sep)}, 1)')} ELSE {x} END")
 
     for sep in TITLE_SEPARATORS:
         title_text = let(title_text, cut(sep))
-    h1 = select_first(nodes, tag("h1"))
-    return F.coalesce(
-        _nz(_ld_first(ld, "$.headline")),
-        _nz(_meta(nodes, "property", "og:title")),
-        _nz(_meta(nodes, "name", "twitter:title")),
-        _nz(title_text),
-        let(h1, lambda x: _nz(py_strip(get_text(nodes, x)))),
-        F.lit(""),
-    )
-
-
-def _format_date(raw: Column) -> Column:
-    """ISO (date of the wall clock, offset ignored) or one of four formats → yyyy-MM-dd; else raw."""
-    return let(raw, _format_date_bound)
+    h1 = N.select_first(nodes, N.tag("h1"))
+    return (f"coalesce({N.nz(_ld_first(ld, '$.headline'))}, {N.nz(_meta(nodes, 'property', 'og:title'))}, "
+            f"{N.nz(_meta(nodes, 'name', 'twitter:title'))}, {N.nz(title_text)}, {N.text_of(nodes, h1)}, '')")
+
 
+def format_date_sql(raw: str) -> str:
+    """ISO (date of the wall clock, offset ignored) or one of four formats → yyyy-MM-dd; else raw."""
+    def body(r):
+        iso_date = f"try_to_date(regexp_extract({r}, {lit(ISO_RE)}, 1), 'yyyy-MM-dd')"
+        formats = ", ".join(f"try_to_date({r}, {lit(f)})" for f in DATE_FORMATS)
+        parsed = f"coalesce(CASE WHEN {r} RLIKE {lit(ISO_RE)} THEN {iso_date} END, {formats})"
+        return f"CASE WHEN {r} = '' THEN {r} ELSE coalesce(date_format({parsed}, 'yyyy-MM-dd'), {r}) END"
 
-def _format_date_bound(raw: Column) -> Column:
-    iso = r"^(\d{4}-\d{2}-\d{2})([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?$"
-    iso_date = F.try_to_date(F.regexp_extract(raw, iso, 1), "yyyy-MM-dd")
-    parsed = F.coalesce(F.when(raw.rlike(iso), iso_date), *[F.try_to_date(raw, f) for f in DATE_FORMATS])
-    return F.when(raw == "", raw).otherwise(F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), raw))
+    return let(raw, body)
 
 
-def meta_date(nodes: Column, ld: Column, modified: bool = False) -> Column:
+def date_sql(nodes: str, ld: str, modified: bool = False) -> str:
     """JSON-LD → three metas → first time[datetime] → six class selectors; formatted."""
     key = "dateModified" if modified else "datePublished"
     metas = ([("property", "article:modified_time"), ("itemprop", "dateModified"), ("name", "dateModified")]
              if modified else
              [("property", "article:published_time"), ("itemprop", "datePublished"), ("name", "datePublished")])
-    times = F.filter(select_all(nodes, tag("time")), lambda n: F.coalesce(at(n.attrs, "datetime"), F.lit("")) != "")
-    cands = [_nz(_ld_first(ld, f"$.{key}"))] + [_nz(_meta(nodes, a, v)) for a, v in metas]
-    cands.append(at(F.transform(times, lambda n: at(n.attrs, "datetime")), 1))
+    n = _v("n")
+    times = N.select_all(nodes, lambda x: f"{N.tag('time')(x)} AND coalesce(try_element_at({x}.attrs, 'datetime'), '') != ''")
+    cands = [N.nz(_ld_first(ld, f"$.{key}"))] + [N.nz(_meta(nodes, a, v)) for a, v in metas]
+    cands.append(f"try_element_at(transform({times}, {n} -> try_element_at({n}.attrs, 'datetime')), 1)")
+
+    def by_class(el):
+        return (f"CASE WHEN {el} IS NOT NULL THEN coalesce({N.nz(dt_attr(el))}, "
+                f"{N.py_strip(N.get_text(nodes, el))}) END")
+
     for pair in DATE_SELECTORS:
-        cands.append(let(select_first(nodes, _sel(pair)), lambda el: F.when(
-            el.isNotNull(), F.coalesce(_nz(at(el.attrs, "datetime")), py_strip(get_text(nodes, el))))))
-    return _format_date(F.coalesce(*cands, F.lit("")))
+        cands.append(let(N.select_first(nodes, _sel(pair)), by_class))
+    return format_date_sql(f"coalesce({', '.join(cands)}, '')")
 
 
-def meta_author(nodes: Column, ld: Column) -> Column:
+def author_sql(nodes: str, ld: str) -> str:
     """JSON-LD author (object name or string) → meta author → five selectors → a[rel=author]."""
-    arts = _articles(ld)
-    with_author = F.filter(arts, lambda v: F.coalesce(
-        F.try_variant_get(v, "$.author.name", "string"), F.try_variant_get(v, "$.author", "string")).isNotNull())
-    ld_author = let(at(with_author, 1), lambda first: F.coalesce(
-        F.try_variant_get(first, "$.author.name", "string"), F.try_variant_get(first, "$.author", "string")))
-    cands = [_nz(ld_author), _nz(_meta(nodes, "name", "author"))]
-    def text_of(el):
-        return F.when(el.isNotNull(), _nz(py_strip(get_text(nodes, el))))
-
-    for pair in AUTHOR_SELECTORS:
-        cands.append(let(select_first(nodes, _sel(pair)), text_of))
-    cands.append(let(select_first(nodes, all_of(tag("a"), attr_eq("rel", "author"))), text_of))
-    a = let(F.coalesce(*cands, F.lit("")), lambda x: py_strip(F.regexp_replace(x, r"(?iU)^by\s+", "")))
-    a = let(a, lambda x: py_strip(F.regexp_replace(x, r"(?iU)^posted by\s+", "")))
-    return F.regexp_replace(a, r"[.,;:]+$", "")
-
-
-def meta_excerpt(nodes: Column) -> Column:
+    v = _v("v")
+
+    def name_or_str(x):
+        return f"coalesce(try_variant_get({x}, '$.author.name', 'string'), try_variant_get({x}, '$.author', 'string'))"
+
+    with_author = f"filter({_articles(ld)}, {v} -> {name_or_str(v)} IS NOT NULL)"
+    ld_author = let(f"try_element_at({with_author}, 1)", name_or_str)
+    cands = [N.nz(ld_author), N.nz(_meta(nodes, "name", "author"))]
+    cands += [N.text_of(nodes, N.select_first(nodes, _sel(p))) for p in AUTHOR_SELECTORS]
+    cands.append(N.text_of(nodes, N.select_first(nodes, N.all_of(N.tag("a"), N.attr_eq("rel", "author")))))
+    a = let(f"coalesce({', '.join(cands)}, '')",
+            lambda x: N.py_strip(f"regexp_replace({x}, {lit('(?iU)^by' + N.PY_WS + '+')}, '')"))
+    a = let(a, lambda x: N.py_strip(f"regexp_replace({x}, {lit('(?iU)^posted by' + N.PY_WS + '+')}, '')"))
+    return f"regexp_replace({a}, {lit('[.,;:]+$')}, '')"
+
+
+def excerpt_sql(nodes: str) -> str:
     """Meta description; while shorter than 10: og → twitter → six class selectors;
     whitespace collapsed, > 300 characters cut to 297 + '...'."""
-    e = F.coalesce(_meta(nodes, "name", "description"), F.lit(""))
-    def upgrade(cand):
-        return lambda v: F.when((F.length(v.e) < 10) & v.c.isNotNull(), v.c).otherwise(v.e)
+    def upgrade(v):
+        return f"CASE WHEN length({v}.e) < 10 AND {v}.c IS NOT NULL THEN {v}.c ELSE {v}.e END"
+
+    def found_text(el):
+        return f"CASE WHEN {el} IS NOT NULL THEN {N.py_strip(N.get_text(nodes, el))} END"
 
+    e = f"coalesce({_meta(nodes, 'name', 'description')}, '')"
     for attr, val in (("property", "og:description"), ("name", "twitter:description")):
-        e = let(F.struct(e.alias("e"), _meta(nodes, attr, val).alias("c")), upgrade(None))
-    found = F.coalesce(*[
-        let(select_first(nodes, cls(c)), lambda el: F.when(el.isNotNull(), py_strip(get_text(nodes, el))))
-        for c in EXCERPT_CLASSES
-    ])
-    e = let(F.struct(e.alias("e"), found.alias("c")), upgrade(None))
-    return let(collapse_ws(e), lambda x: F.when(F.length(x) > 300, F.concat(F.substring(x, 1, 297), F.lit("...")))
-               .otherwise(x))
+        e = let(f"named_struct('e', {e}, 'c', {_meta(nodes, attr, val)})", upgrade)
+    found = ", ".join(let(N.select_first(nodes, N.cls(c)), found_text) for c in EXCERPT_CLASSES)
+    e = let(f"named_struct('e', {e}, 'c', coalesce({found}))", upgrade)
+    return let(N.collapse_ws(e), lambda x: f"CASE WHEN length({x}) > 300 THEN concat(substring({x}, 1, 297), '...') "
+                                           f"ELSE {x} END")
 
 
-def _anchor_texts(nodes: Column, classes: list[str]) -> Column:
-    """Stripped texts of `a` under each class, selector by selector, in document order."""
-    return F.concat(*[
-        F.transform(select_all(nodes, under(cls(c), tag("a"))), lambda n: py_strip(get_text(nodes, n)))
-        for c in classes
-    ])
+def _anchor_texts(nodes: str, classes: list[str]) -> str:
+    parts = []
+    for c in classes:
+        n = _v("n")
+        parts.append(f"transform({N.select_all(nodes, N.under(N.cls(c), N.tag('a')))}, "
+                     f"{n} -> {N.py_strip(N.get_text(nodes, n))})")
+    return f"concat({', '.join(parts)})"
 
 
-def meta_categories(nodes: Column, ld: Column) -> Column:
+def categories_sql(nodes: str, ld: str) -> str:
     """JSON-LD articleSection (list or string, kept as is) else anchors under five classes, distinct."""
-    sections = F.flatten(F.transform(_articles(ld), lambda v: F.coalesce(
-        F.try_variant_get(v, "$.articleSection", "array<string>"),
-        F.when(F.try_variant_get(v, "$.articleSection", "string").isNotNull(),
-               F.array(F.try_variant_get(v, "$.articleSection", "string"))),
-        F.array().cast("array<string>"))))
-    sections = F.filter(sections, lambda s: s.isNotNull() & (s != ""))
-    from_html = F.array_distinct(F.filter(_anchor_texts(nodes, CATEGORY_CLASSES), lambda s: s != ""))
-    return F.when(F.size(sections) > 0, sections).otherwise(from_html)
+    v, s, t = _v("v"), _v("s"), _v("t")
+    one = f"try_variant_get({v}, '$.articleSection', 'string')"
+    sections = (f"flatten(transform({_articles(ld)}, {v} -> coalesce("
+                f"try_variant_get({v}, '$.articleSection', 'array<string>'), "
+                f"CASE WHEN {one} IS NOT NULL THEN array({one}) END, cast(array() AS array<string>))))")
+    sections = f"filter({sections}, {s} -> {s} IS NOT NULL AND {s} != '')"
+    from_html = f"array_distinct(filter({_anchor_texts(nodes, CATEGORY_CLASSES)}, {t} -> {t} != ''))"
+    return let(sections, lambda x: f"CASE WHEN size({x}) > 0 THEN {x} ELSE {from_html} END")
 
 
-def meta_tags(nodes: Column) -> Column:
+def tags_sql(nodes: str) -> str:
     """Anchors under five tag classes; leading '#' stripped, then case-insensitive
     distinct keeping the first spelling (Q18: strip before the duplicate test)."""
-    texts = F.filter(
-        F.transform(_anchor_texts(nodes, TAG_CLASSES), lambda s: F.regexp_replace(s, r"^#+", "")),
-        lambda s: s != "",
-    )
-    return F.aggregate(
-        texts,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(F.exists(acc, lambda t: F.lower(t) == F.lower(s)), acc).otherwise(
-            F.concat(acc, F.array(s))),
-    )
-
-
-def meta_image(nodes: Column, ld: Column, url: Column) -> Column:
+    s, t, acc, x, y = (_v(p) for p in ("s", "t", "acc", "x", "y"))
+    texts = (f"filter(transform({_anchor_texts(nodes, TAG_CLASSES)}, {s} -> regexp_replace({s}, '^#+', '')), "
+             f"{t} -> {t} != '')")
+    return (f"aggregate({texts}, cast(array() AS array<string>), ({acc}, {x}) -> "
+            f"CASE WHEN exists({acc}, {y} -> lower({y}) = lower({x})) THEN {acc} ELSE concat({acc}, array({x})) END)")
+
+
+def image_sql(nodes: str, ld: str, url: str) -> str:
     """Og:image → twitter:image → JSON-LD image (object url or string) → four selectors;
     made absolute against the page url."""
-    arts = F.filter(_articles(ld), lambda v: F.coalesce(
-        F.try_variant_get(v, "$.image.url", "string"), F.try_variant_get(v, "$.image", "string")).isNotNull())
-    ld_img = let(at(arts, 1), lambda first: F.coalesce(
-        F.try_variant_get(first, "$.image.url", "string"), F.try_variant_get(first, "$.image", "string")))
-    imgs = [select_first(nodes, under(cls(c), all_of(tag("img"), has_attr("src")))) for c in IMAGE_CLASSES]
-    img = F.coalesce(
-        _nz(_meta(nodes, "property", "og:image")),
-        _nz(_meta(nodes, "name", "twitter:image")),
-        _nz(ld_img),
-        *[let(i, lambda x: F.when(x.isNotNull(), at(x.attrs, "src"))) for i in imgs],
-        F.lit(""),
-    )
-    return let(img, lambda x: F.when((x == "") | x.startswith("http://") | x.startswith("https://"), x).otherwise(
-        U.url_join(url, x)))
-
-
-def content_type(nodes: Column, url: Column) -> Column:
+    v = _v("v")
+
+    def url_or_str(x):
+        return f"coalesce(try_variant_get({x}, '$.image.url', 'string'), try_variant_get({x}, '$.image', 'string'))"
+
+    def src_of(x):
+        return f"CASE WHEN {x} IS NOT NULL THEN try_element_at({x}.attrs, 'src') END"
+
+    arts = f"filter({_articles(ld)}, {v} -> {url_or_str(v)} IS NOT NULL)"
+    ld_img = let(f"try_element_at({arts}, 1)", url_or_str)
+    imgs = [let(N.select_first(nodes, N.under(N.cls(c), N.all_of(N.tag("img"), N.has_attr("src")))), src_of)
+            for c in IMAGE_CLASSES]
+    img = (f"coalesce({N.nz(_meta(nodes, 'property', 'og:image'))}, {N.nz(_meta(nodes, 'name', 'twitter:image'))}, "
+           f"{N.nz(ld_img)}, {', '.join(imgs)}, '')")
+    return let(img, lambda x: (f"CASE WHEN {x} = '' OR startswith({x}, 'http://') OR startswith({x}, 'https://') "
+                               f"THEN {x} ELSE {US.url_join(url, x, U.USES_RELATIVE, U.USES_NETLOC)} END"))
+
+
+def content_type_sql(nodes: str, url: str) -> str:
     """H19: 'page' for the five page paths; else body classes (substring tests): page / post /
     archive; default 'post'."""
-    path = F.lower(U.url_split(url).path)  # one split, bound below
-    classes = let(select_first(nodes, tag("body")), lambda body: F.coalesce(F.array_join(body.classes, " "), F.lit("")))
-    by_path = None
-    for p in PAGE_PATHS:
-        by_path = path.contains(p) if by_path is None else (by_path | path.contains(p))
-    by_class = let(classes, lambda c: F.when(c.contains("page") & c.contains("single-page"), F.lit("page"))
-                   .when(c.contains("post") & c.contains("single-post"), F.lit("post"))
-                   .when(c.contains("archive"), F.lit("archive"))
-                   .otherwise(F.lit("post")))
-    return F.when(by_path, F.lit("page")).otherwise(by_class)
+    path = f"lower({US.url_split(url)}.path)"
+    by_path = let(path, lambda p: " OR ".join(f"contains({p}, {lit(x)})" for x in PAGE_PATHS))
+    classes = let(N.select_first(nodes, N.tag("body")), lambda b: f"coalesce(array_join({b}.classes, ' '), '')")
+    by_class = let(classes, lambda c: (
+        f"CASE WHEN contains({c}, 'page') AND contains({c}, 'single-page') THEN 'page' "
+        f"WHEN contains({c}, 'post') AND contains({c}, 'single-post') THEN 'post' "
+        f"WHEN contains({c}, 'archive') THEN 'archive' ELSE 'post' END"))
+    return f"CASE WHEN {by_path} THEN 'page' ELSE {by_class} END"
+
+
+def json_ld(nodes: str = "nodes") -> Column:
+    return F.expr(json_ld_sql(_q(nodes)))
+
+
+def meta_title(nodes: str = "nodes", ld: str = "_ld") -> Column:
+    return F.expr(title_sql(_q(nodes), _q(ld)))
+
+
+def meta_date(nodes: str = "nodes", ld: str = "_ld", modified: bool = False) -> Column:
+    return F.expr(date_sql(_q(nodes), _q(ld), modified))
+
+
+def meta_author(nodes: str = "nodes", ld: str = "_ld") -> Column:
+    return F.expr(author_sql(_q(nodes), _q(ld)))
+
+
+def meta_excerpt(nodes: str = "nodes") -> Column:
+    return F.expr(excerpt_sql(_q(nodes)))
+
+
+def meta_categories(nodes: str = "nodes", ld: str = "_ld") -> Column:
+    return F.expr(categories_sql(_q(nodes), _q(ld)))
+
+
+def meta_tags(nodes: str = "nodes") -> Column:
+    return F.expr(tags_sql(_q(nodes)))
+
+
+def meta_image(nodes: str = "nodes", ld: str = "_ld", url: str = "url") -> Column:
+    return F.expr(image_sql(_q(nodes), _q(ld), _q(url)))
+
+
+def content_type(nodes: str = "nodes", url: str = "url") -> Column:
+    return F.expr(content_type_sql(_q(nodes), _q(url)))
 
 
 def extract_metadata(parsed: DataFrame, with_timestamp: bool = True) -> DataFrame:
     """The article metadata record per page (empty strings / lists as defaults)."""
-    nodes, url = F.col("nodes"), F.col("url")
-    with_ld = parsed.withColumn("_ld", json_ld(nodes))
-    ld = F.col("_ld")
+    with_ld = parsed.withColumn("_ld", json_ld("nodes"))
     cols = [
         "page_id",
         "url",
-        meta_title(nodes, ld).alias("title"),
-        meta_excerpt(nodes).alias("excerpt"),
-        meta_date(nodes, ld, False).alias("date_published"),
-        meta_date(nodes, ld, True).alias("date_modified"),
-        meta_author(nodes, ld).alias("author"),
-        meta_categories(nodes, ld).alias("categories"),
-        meta_tags(nodes).alias("tags"),
-        meta_image(nodes, ld, url).alias("featured_image"),
-        content_type(nodes, url).alias("content_type"),
-        F.coalesce(U.slug(url), F.lit("")).alias("slug"),
+        meta_title().alias("title"),
+        meta_excerpt().alias("excerpt"),
+        meta_date(modified=False).alias("date_published"),
+        meta_date(modified=True).alias("date_modified"),
+        meta_author().alias("author"),
+        meta_categories().alias("categories"),
+        meta_tags().alias("tags"),
+        meta_image().alias("featured_image"),
+        content_type().alias("content_type"),
+        F.coalesce(U.slug("url"), F.lit("")).alias("slug"),
     ]
     if with_timestamp:
         cols.append((F.unix_micros(F.current_timestamp()) / 1e6).alias("extracted_timestamp"))
     return with_ld.select(*cols)
-
-
-_ = (is_element,)
