@@ -110,3 +110,16 @@ def test_fetchlog_labels_and_reports(spark):
                    "    - [Z](d/e/z.md)"]
     idx = [r.line for r in R.site_index(res).orderBy("sort_key").collect()]
     assert idx[0] == "# s.com Content Archive" and idx[6:12] == toc
+
+
+def test_media_refs_all_kinds(spark):
+    from webcorpus.operators.html import parse_pages
+    html = ("<link rel='preload stylesheet' href='/s.css'><script src='/a.js'></script><script>inline()</script>"
+            "<img src=''><img src='i.png'><a href='/d/r.PDF?x=1'>d</a><a href='/x.html'>x</a>"
+            "<video src='/v.mp4'></video><audio src='//cdn.o.org/a.mp3'></audio><source src='s.webm'>")
+    df = parse_pages(spark.createDataFrame([(1, "https://h.com/p/q", html)], "page_id long, url string, html string"))
+    got = [(r.pos, r.kind, r.url) for r in M.extract_media(df).orderBy("pos").collect()]
+    assert got == [(0, "img", "https://h.com/p/i.png"), (1, "stylesheet", "https://h.com/s.css"),
+                   (2, "script", "https://h.com/a.js"), (3, "document", "https://h.com/d/r.PDF?x=1"),
+                   (4, "video", "https://h.com/v.mp4"), (5, "audio", "https://cdn.o.org/a.mp3"),
+                   (6, "source", "https://h.com/p/s.webm")]

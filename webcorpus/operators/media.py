@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from .html import attr_word, has_attr, select_all, tag
+from ..functions import urls_sql as US
+from ..functions.urls_sql import _v, lit
+from . import nodes_sql as N
 
 # Document extensions treated as media, allowed image extensions, max image size.
 DOCUMENT_EXTENSIONS = [".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar"]
@@ -34,45 +36,46 @@ def allowed_image(url, size=None) -> Column:
     return ok
 
 
-def _refs(nodes: Column, sel, attr: str, kind: str) -> Column:
-    found = select_all(nodes, lambda ns, n: sel(ns, n) & has_attr(attr)(ns, n))
-    return F.filter(
-        F.transform(found, lambda n: F.struct(F.lit(kind).alias("kind"), U.at(n.attrs, attr).alias("ref"))),
-        lambda r: r.ref != "",
-    )
+def _ext_sql(u: str) -> str:
+    base = f"regexp_extract(try_element_at(split({u}, {lit(chr(92) + '?')}, 2), 1), {lit('([^/]*)$')}, 1)"
+    return f"lower(regexp_extract({base}, {lit(r'(?s)^\.*[^.].*(\.[^.]*)$')}, 1))"
 
 
-def media_refs(nodes: Column, base: Column) -> Column:
-    """H5: array<struct<pos, kind, url>> in the reference's order: img[src], stylesheet links,
-    script[src], document anchors, then video, audio and source[src]; duplicates kept."""
-    docs = F.filter(
-        F.transform(
-            _refs(nodes, tag("a"), "href", "document"),
-            lambda r: F.struct(r.kind.alias("kind"), U.url_join(base, r.ref).alias("ref")),
-        ),
-        lambda r: is_document(r.ref),
-    )
-    parts = [
-        _refs(nodes, tag("img"), "src", "img"),
-        _refs(nodes, lambda ns, n: tag("link")(ns, n) & attr_word("rel", "stylesheet")(ns, n), "href", "stylesheet"),
-        _refs(nodes, tag("script"), "src", "script"),
-        docs,
-        _refs(nodes, tag("video"), "src", "video"),
-        _refs(nodes, tag("audio"), "src", "audio"),
-        _refs(nodes, tag("source"), "src", "source"),
-    ]
-    return F.transform(
-        F.concat(*parts),
-        lambda r, i: F.struct(
-            i.alias("pos"), r.kind.alias("kind"),
-            F.when(r.kind == "document", r.ref).otherwise(U.url_join(base, r.ref)).alias("url"),
-        ),
-    )
+def media_refs_sql(nodes: str, base: str) -> str:
+    """H5 as SQL text: array<struct<pos, kind, url>> in the reference's order: img[src],
+    stylesheet links, script[src], document anchors, then video, audio and source[src];
+    duplicates kept."""
+    def refs(sel, attr: str, kind: str) -> str:
+        found = N.select_all(nodes, lambda n: f"({sel(n)}) AND {N.has_attr(attr)(n)}")
+        n, r = _v("n"), _v("r")
+        return (f"filter(transform({found}, {n} -> named_struct('kind', {lit(kind)}, "
+                f"'ref', try_element_at({n}.attrs, {lit(attr)}))), {r} -> {r}.ref != '')")
+
+    def stylesheet(n: str) -> str:
+        return (f"{n}.tag = 'link' AND coalesce(array_contains(split(trim(try_element_at({n}.attrs, 'rel')), "
+                f"{lit(chr(92) + 's+')}), 'stylesheet'), false)")
+
+    d, d2 = _v("d"), _v("d")
+    joined = US.url_join(base, f"{d}.ref", U.USES_RELATIVE, U.USES_NETLOC)
+    docs = (f"filter(transform({refs(N.tag('a'), 'href', 'document')}, {d} -> named_struct('kind', {d}.kind, "
+            f"'ref', {joined})), {d2} -> {_ext_sql(f'{d2}.ref')} IN ({', '.join(lit(e) for e in DOCUMENT_EXTENSIONS)}))")
+    parts = [refs(N.tag("img"), "src", "img"), refs(stylesheet, "href", "stylesheet"),
+             refs(N.tag("script"), "src", "script"), docs, refs(N.tag("video"), "src", "video"),
+             refs(N.tag("audio"), "src", "audio"), refs(N.tag("source"), "src", "source")]
+    r, i = _v("r"), _v("i")
+    url = US.url_join(base, f"{r}.ref", U.USES_RELATIVE, U.USES_NETLOC)
+    return (f"transform(concat({', '.join(parts)}), ({r}, {i}) -> named_struct('pos', {i}, 'kind', {r}.kind, "
+            f"'url', CASE WHEN {r}.kind = 'document' THEN {r}.ref ELSE {url} END))")
+
+
+def media_refs(nodes: str = "nodes", base: str = "url") -> Column:
+    """H5 (column names in, Column out)."""
+    return F.expr(media_refs_sql(US.ident(nodes), US.ident(base)))
 
 
 def extract_media(parsed: DataFrame) -> DataFrame:
     """One row per media reference: page_id, src_url, pos, kind, url."""
-    rows = parsed.select("page_id", F.col("url").alias("src_url"), F.explode(media_refs(F.col("nodes"), F.col("url"))).alias("m"))
+    rows = parsed.select("page_id", F.col("url").alias("src_url"), F.explode(media_refs("nodes", "url")).alias("m"))
     return rows.select("page_id", "src_url", "m.pos", "m.kind", "m.url")
 
 
