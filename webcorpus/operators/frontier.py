@@ -78,7 +78,7 @@ def crawl(pages: DataFrame, start_url: str, max_pages: int = 1000, scope: str =
     checkpoint_dir(spark)
     # one parse: per page its title/description and anchors, checkpointed (small next to html)
     parsed = parse_pages(pages.select("page_id", "url", "html"))
-    info = parsed.select("page_id", "url", *summary_columns(F.col("nodes")), anchors(F.col("nodes")).alias("anchors"))
+    info = parsed.select("page_id", "url", *summary_columns(F.col("nodes")), anchors("nodes").alias("anchors"))
     info = info.checkpoint()
     nparts = edge_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the "fetch": url key → smallest page id with that key

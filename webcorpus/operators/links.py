@@ -16,8 +16,17 @@ from ..functions.urls import at
 from .html import attr_eq, get_text, has_attr, parse_pages, py_strip, select_all, select_first, string_of, tag
 
 
-def anchors(nodes: Column) -> Column:
-    """array<struct<pos, href, text>>: every ``a[href]`` in document order; text is the stripped get_text."""
+def anchors(nodes) -> Column:
+    """array<struct<pos, href, text>>: every ``a[href]`` in document order; text is the stripped get_text.
+    ``nodes`` is a column name (emitted as SQL text, parsed once) or a Column."""
+    if isinstance(nodes, str):
+        from ..functions.urls_sql import _v, ident
+        from . import nodes_sql as N
+
+        a, i, ns = _v("a"), _v("i"), ident(nodes)
+        found = N.select_all(ns, N.all_of(N.tag("a"), N.has_attr("href")))
+        return F.expr(f"transform({found}, ({a}, {i}) -> named_struct('pos', {i}, 'href', "
+                      f"try_element_at({a}.attrs, 'href'), 'text', {N.py_strip(N.get_text(ns, a))}))")
     return F.transform(
         select_all(nodes, lambda ns, n: tag("a")(ns, n) & has_attr("href")(ns, n)),
         lambda a, i: F.struct(
@@ -34,7 +43,7 @@ def extract_links(parsed: DataFrame, url_col: str = "url", nodes_col: str = "nod
     Columns: page_id, src_url, pos, href, url (href joined to the page url), text
     ("(No text)" when empty, first 100 characters), internal (same site, www. ignored).
     """
-    return links_from_anchors(parsed.select("page_id", url_col, anchors(F.col(nodes_col)).alias("anchors")), url_col)
+    return links_from_anchors(parsed.select("page_id", url_col, anchors(nodes_col).alias("anchors")), url_col)
 
 
 def links_from_anchors(df: DataFrame, url_col: str = "url", anchors_col: str = "anchors") -> DataFrame:
