@@ -55,9 +55,14 @@ def media_refs_sql(nodes: str, base: str) -> str:
         return (f"{n}.tag = 'link' AND coalesce(array_contains(split(trim(try_element_at({n}.attrs, 'rel')), "
                 f"{lit(chr(92) + 's+')}), 'stylesheet'), false)")
 
-    d, d2 = _v("d"), _v("d")
+    d, d2, c = _v("d"), _v("d"), _v("c")
     joined = US.url_join(base, f"{d}.ref", U.USES_RELATIVE, U.USES_NETLOC)
-    docs = (f"filter(transform({refs(N.tag('a'), 'href', 'document')}, {d} -> named_struct('kind', {d}.kind, "
+    # only hrefs that can name a document are resolved: the extension of the joined url comes
+    # from the href's own last segment, unless the href has no path ('?…', '#…') and inherits the base's
+    ext_any = "|".join(e[1:] for e in DOCUMENT_EXTENSIONS)
+    maybe = (f"filter({refs(N.tag('a'), 'href', 'document')}, {c} -> lower({c}.ref) RLIKE {lit(chr(92) + '.(' + ext_any + ')')} "
+             f"OR startswith({c}.ref, '?') OR startswith({c}.ref, '#'))")
+    docs = (f"filter(transform({maybe}, {d} -> named_struct('kind', {d}.kind, "
             f"'ref', {joined})), {d2} -> {_ext_sql(f'{d2}.ref')} IN ({', '.join(lit(e) for e in DOCUMENT_EXTENSIONS)}))")
     parts = [refs(N.tag("img"), "src", "img"), refs(stylesheet, "href", "stylesheet"),
              refs(N.tag("script"), "src", "script"), docs, refs(N.tag("video"), "src", "video"),
