@@ -8,6 +8,7 @@ the lookup are pre-aggregated before they are shuffled.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,7 +120,8 @@ def link_graph(links: DataFrame, pages: DataFrame) -> DataFrame:
     edges = links.select("page_id", U.url_key("url").alias("key")).groupBy("page_id", "key").agg(
         F.count("*").alias("n")
     )
-    keyed = edges.join(page_keys(pages), "key", "left")
+    # read by the out- and the in-degree branch: computed (and the pages parsed) once
+    keyed = edges.join(page_keys(pages), "key", "left").persist(StorageLevel.MEMORY_AND_DISK)
     out_deg = keyed.groupBy("page_id").agg(
         F.sum("n").alias("out_links"),
         F.count("*").alias("out_targets"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ def media_status(media: DataFrame) -> DataFrame:
         U.site_folder("url").alias("site"),
         U.media_path("url").alias("file_path"),
         F.struct("page_id", "pos").alias("_ord"),
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)  # read by three branches: parse the pages once
     # a key fixes its (site, file), so the first use of a file is the minimum over its keys'
     # first uses: the second aggregate runs on the (small) per-key table, not on the rows
     key_first = m.where("same_site").groupBy("url_key", "site", "file_path").agg(F.min("_ord").alias("_key_first"))
