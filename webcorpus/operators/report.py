@@ -7,6 +7,7 @@ with a third of the corpus must not become one value in one task.  ``write_lines
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,6 +135,7 @@ def download_report(discovered: DataFrame, downloads: DataFrame, conversions: Da
 def first_errors(errors: DataFrame, order: list[str], line: Column, section: str, k: int = 10) -> DataFrame:
     """The first ``k`` entries of an error list (as report lines) and, when there are more,
     an '... and N more' line; skew-safe global top-k plus one global count."""
+    errors = errors.persist(StorageLevel.MEMORY_AND_DISK)  # read by the top-k and the count
     top = top_k_per_group(errors.withColumn("_line", line), [], order, k, rank_col="rank")
     lines = top.select(F.lit(section).alias("section"), "rank", F.col("_line").alias("line"))
     more = errors.agg(F.count("*").alias("n")).where(F.col("n") > k).select(
