@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls as U
 from ..operators import fetchlog as FL
 from ..sources.fixtures import FX_FETCH_LOG_SQL, fx_fetch_log
 from . import sqlfrag as S
@@ -196,5 +195,3 @@ def q_response_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         FL.status_label("status_code").alias("label"),
     )
 
-
-_ = U  # URL helpers are used through the operators

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls as U
 from ..operators import linkcheck as LC
 from ..operators import markdown as MD
 from ..sources.fixtures import FX_MARKDOWN_SQL, FX_PAGES_SQL, fx_markdown, fx_pages
@@ -180,8 +179,6 @@ def q_correction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MD.correction_requests(docs, templates, "kind", "text").select("doc_id", "kind", "prompt")
 
 
-_ = U
-
 
 @register(
     "main_content",

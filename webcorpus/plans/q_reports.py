@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls as U
 from ..operators import fetchlog as FL
 from ..operators import linkcheck as LC
 from ..operators import report as R
@@ -119,5 +118,3 @@ def q_error_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = R.first_errors(v, ["path", "pos"], line, "Broken Links")
     return out.select("section", F.col("rank").cast("int").alias("rank"), "line")
 
-
-_ = U
