@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions import urls_sql as US
 from .markdown import MD_LINK_RE, md_links, parse_front_matter
 
 
@@ -49,8 +50,12 @@ def find_links(docs: DataFrame, resolve: bool = True) -> DataFrame:
     )
     if resolve:
         kind = kind.when(url.startswith("#"), F.lit("anchor"))
-    kind = kind.when(is_external(url), F.lit("external")).otherwise(F.lit("internal"))
-    key = (U.url_key(U.url_join(F.coalesce(F.col("doc_url"), F.lit("")), _unquote(url))) if resolve else url)
+    kind = kind.when(is_external("l.url"), F.lit("external")).otherwise(F.lit("internal"))
+    if resolve:
+        rows = rows.withColumn("_base", F.coalesce(F.col("doc_url"), F.lit(""))).withColumn("_href", _unquote(url))
+        key = F.expr(US.url_key(US.url_join("`_base`", "`_href`", U.USES_RELATIVE, U.USES_NETLOC)))
+    else:
+        key = url
     return rows.select("path", F.col("l.pos").alias("pos"), F.col("l.text").alias("text"), url.alias("url"),
                        kind.alias("kind"), key.alias("key"))
 
