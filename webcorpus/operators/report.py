@@ -65,6 +65,7 @@ def site_index(results: DataFrame, when: Column | None = None) -> DataFrame:
     """README lines per site: heading from the site's first url (by url order), intro,
     the table of contents, footer with the generation date."""
     when = when if when is not None else F.current_date()
+    # The index's heading, intro and footer wording.
     toc = table_of_contents(results).select("site", F.concat(F.lit("1"), F.col("sort_key")).alias("sort_key"), "line")
     sites = results.where(F.col("url").isNotNull() & (F.col("url") != "")).select(
         U.get_domain("url").alias("site")).distinct()

@@ -113,6 +113,7 @@ UNION ALL SELECT 'Broken Links', 11, '- ... and ' || CAST(n - 10 AS VARCHAR) ||
 def q_error_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First ten broken links and the '... and N more' line."""
     v = LC.validate_links(fx_markdown(spark, sf_dir)).where(F.col("status") == "broken")
+    # The report's broken-link line format.
     line = F.concat(F.lit("- In **"), F.col("path"), F.lit("**: `"), F.col("url"), F.lit('` (Text: "'),
                     F.col("text"), F.lit('")'))
     out = R.first_errors(v, ["path", "pos"], line, "Broken Links")
