@@ -46,3 +46,22 @@ def test_throughput_windowed_stream(spark):
            .agg(F.count("*").alias("n")).where(F.col("w.end") <= F.lit(wm) - F.expr("INTERVAL 10 MINUTES")))
     assert sorted((r.window_start, r.site, r.requests) for r in got) == sorted(
         (r.w.start, r.site, r.n) for r in exp.collect())
+
+
+def test_status_map_and_page_metadata(spark):
+    from webcorpus.operators import media as M
+    from webcorpus.operators.links import links_from_pages
+    from webcorpus.sources import sinks as K
+    from webcorpus.sources.fixtures import fx_pages
+
+    log = fx_fetch_log(spark, "/root/testdata/sf0.001")
+    rep = FL.status_report(log, with_map=True).collect()
+    for r in rep:
+        assert sum(r.status_codes.values()) == r.responses
+    pages = fx_pages(spark, "/root/testdata/sf0.001")
+    from webcorpus.operators.html import parse_pages
+    st = M.media_status(M.extract_media(parse_pages(pages)))
+    meta = K.page_metadata(pages.select("page_id", "url"), links_from_pages(pages), M.media_items(st),
+                           M.media_summary(st)).orderBy("page_id").first()
+    assert meta.download_path and meta.metadata_path.endswith("_meta.json")
+    assert meta.media.total == 2 and len(meta.links) >= 2 and meta.links[0].pos == 0
