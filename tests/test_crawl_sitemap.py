@@ -98,3 +98,21 @@ def test_fixture_pages_counts():
     n = pq.read_metadata(f"{SF}/pages.parquet").num_rows
     assert n == 50
     _ = F
+
+
+def test_scope_rules(spark):
+    df = spark.createDataFrame([("https://a.com/x",), ("https://a.com.evil.org/y",), ("http://a.com/z",)], "url string")
+    got = {s: [r.url for r in df.where(FR._in_scope(F.col("url"), "https://a.com/start", s)).collect()]
+           for s in ("origin", "prefix", "any")}
+    assert got["origin"] == ["https://a.com/x"]
+    assert got["prefix"] == ["https://a.com/x", "https://a.com.evil.org/y"]  # the reference's prefix quirk (Q4)
+    assert len(got["any"]) == 3
+
+
+def test_crawl_origin_scope_and_failed_visits(spark):
+    pages_df = fx_pages(spark, SF)
+    start = sorted((r.page_id, r.url) for r in pages_df.select("page_id", "url").collect())[0][1]
+    ok = FR.crawl(pages_df, start, max_pages=50, scope="origin").collect()
+    allv = FR.crawl(pages_df, start, max_pages=50, scope="origin", keep_failed=True).collect()
+    assert [r.url for r in ok] == [start]  # same-origin nav links are not in the corpus
+    assert len(allv) > 1 and all(r.status_code is None for r in allv if r.url != start)
