@@ -8,27 +8,29 @@ event id); it is not a sampling filter: every row of the source tables is kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import load
 
 
+def _next_ids(pages: DataFrame) -> DataFrame:
+    """page_id → (7 · page_id + 1) mod n, n as an uncorrelated scalar subquery (computed once)."""
+    n = pages.select(F.count("*")).scalar()
+    return pages.withColumn("next_id", (F.col("page_id") * 7 + 1) % n)
+
+
 def fx_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages plus, inside <article>: a link to page (7i+1) mod n, a PDF link and an image."""
-    load(spark, sf_dir, "pages").createOrReplaceTempView("wc_src_pages")
-    return spark.sql(
-        """
-        SELECT p.page_id, p.url,
-               replace(p.html, '</article>',
-                 concat('<a href="', replace(q.url, '&', '&amp;'), '">next</a><a href="/files/',
-                        CAST(p.page_id % 9 AS STRING), '.pdf">doc</a><img src="/img/', CAST(p.page_id % 20 AS STRING),
-                        '.png?v=', CAST(p.page_id % 3 AS STRING), '"></article>')) AS html
-        FROM (SELECT page_id, url, html, (page_id * 7 + 1) % (SELECT count(*) FROM wc_src_pages) AS next_id
-              FROM wc_src_pages) p
-        JOIN (SELECT page_id, url FROM wc_src_pages) q ON q.page_id = p.next_id
-        """
+    pages = load(spark, sf_dir, "pages")
+    q = pages.select(F.col("page_id").alias("next_id"), F.col("url").alias("q_url"))
+    p = _next_ids(pages).join(q, "next_id")
+    extra = F.concat(
+        F.lit('<a href="'), F.replace(F.col("q_url"), F.lit("&"), F.lit("&amp;")), F.lit('">next</a><a href="/files/'),
+        (F.col("page_id") % 9).cast("string"), F.lit('.pdf">doc</a><img src="/img/'), (F.col("page_id") % 20).cast("string"),
+        F.lit(".png?v="), (F.col("page_id") % 3).cast("string"), F.lit('"></article>'),
     )
+    return p.select("page_id", "url", F.replace(F.col("html"), F.lit("</article>"), extra).alias("html"))
 
 
 FX_PAGES_SQL = """
@@ -45,21 +47,23 @@ fx_pages AS (
 
 def fx_fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fetch log: one row per event, url of page (user_id mod n), status from the event type."""
-    load(spark, sf_dir, "events").createOrReplaceTempView("wc_src_events")
-    load(spark, sf_dir, "pages").createOrReplaceTempView("wc_src_pages")
-    return spark.sql(
-        """
-        SELECT e.event_id AS seq, e.ts, p.url,
-               CAST(CASE WHEN e.event_type = 'error' THEN
-                      CASE e.event_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 429 WHEN 2 THEN 500 WHEN 3 THEN 502 ELSE 503 END
-                    WHEN e.event_type = 'signup' THEN 301 ELSE 200 END AS INT) AS status_code,
-               CAST(floor(abs(e.value) * 1000) AS BIGINT) AS size_bytes,
-               CASE WHEN e.event_type = 'purchase' THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END
-                 AS content_type,
-               CAST(row_number() OVER (PARTITION BY p.url ORDER BY e.ts, e.event_id) AS INT) AS attempt
-        FROM (SELECT *, user_id % (SELECT count(*) FROM wc_src_pages) AS pid FROM wc_src_events) e
-        JOIN (SELECT page_id, url FROM wc_src_pages) p ON p.page_id = e.pid
-        """
+    pages = load(spark, sf_dir, "pages")
+    n = pages.select(F.count("*")).scalar()
+    events = load(spark, sf_dir, "events").withColumn("pid", F.col("user_id") % n)
+    e = events.join(pages.select(F.col("page_id").alias("pid"), "url"), "pid")
+    status = (
+        F.when(F.col("event_type") == "error",
+               F.when(F.col("event_id") % 5 == 0, 404).when(F.col("event_id") % 5 == 1, 429)
+               .when(F.col("event_id") % 5 == 2, 500).when(F.col("event_id") % 5 == 3, 502).otherwise(503))
+        .when(F.col("event_type") == "signup", 301).otherwise(200)
+    )
+    attempt = F.row_number().over(Window.partitionBy("url").orderBy("ts", "event_id"))
+    return e.select(
+        F.col("event_id").alias("seq"), "ts", "url", status.cast("int").alias("status_code"),
+        F.floor(F.abs(F.col("value")) * 1000).cast("bigint").alias("size_bytes"),
+        F.when(F.col("event_type") == "purchase", F.lit("application/pdf"))
+        .otherwise(F.lit("text/html; charset=utf-8")).alias("content_type"),
+        attempt.cast("int").alias("attempt"),
     )
 
 
@@ -79,18 +83,18 @@ fx_fetch_log AS (
 
 def fx_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown documents with front matter and five kinds of link, one per page."""
-    load(spark, sf_dir, "pages").createOrReplaceTempView("wc_src_pages")
-    return spark.sql(
-        """
-        SELECT concat('pages/', CAST(p.page_id % 4 AS STRING), '/', CAST(p.page_id AS STRING), '.md') AS path,
-               concat('---', chr(10), 'title: t', CAST(p.page_id AS STRING), chr(10), 'original_url: ', p.url, chr(10),
-                      '---', chr(10), chr(10), '[next](', q.url, ') [home](/) ![i](./images/1.png) [ext](https://other.example/',
-                      CAST(p.page_id AS STRING), ') [self](#top)') AS content
-        FROM (SELECT page_id, url, (page_id * 7 + 1) % (SELECT count(*) FROM wc_src_pages) AS next_id
-              FROM wc_src_pages) p
-        JOIN (SELECT page_id, url FROM wc_src_pages) q ON q.page_id = p.next_id
-        """
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    q = pages.select(F.col("page_id").alias("next_id"), F.col("url").alias("q_url"))
+    p = _next_ids(pages).join(q, "next_id")
+    pid = F.col("page_id").cast("string")
+    nl = F.lit("\n")
+    content = F.concat(
+        F.lit("---"), nl, F.lit("title: t"), pid, nl, F.lit("original_url: "), F.col("url"), nl, F.lit("---"), nl, nl,
+        F.lit("[next]("), F.col("q_url"), F.lit(") [home](/) ![i](./images/1.png) [ext](https://other.example/"), pid,
+        F.lit(") [self](#top)"),
     )
+    path = F.concat(F.lit("pages/"), (F.col("page_id") % 4).cast("string"), F.lit("/"), pid, F.lit(".md"))
+    return p.select(path.alias("path"), content.alias("content"))
 
 
 FX_MARKDOWN_SQL = """
