@@ -45,7 +45,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- 10: mixing
 
 _MIX_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS w FROM d GROUP BY source),
 c AS (SELECT *, 3.0::DOUBLE * source_size AS cap,
         coalesce(sum(3.0::DOUBLE * source_size) OVER b, 0) AS cap_before, coalesce(sum(w) OVER b, 0) AS w_before
