@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.sources.tables import load
 
-from . import language_id, mixing, quality_classifier, quality_rules
+from . import language_id, mixing, quality_classifier, quality_rules, toxicity
 from .catalog import register
 from .common import remainder
 
@@ -67,3 +67,14 @@ FROM r
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mixed_sizes(load(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).cast("long").alias("taken"))
+
+
+# ---------------------------------------------------------------- 6: toxicity
+
+
+@register("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = remainder("doc_id", 5)
+    labels = load(spark, sf_dir, "labels").filter(f"{fold} != 0")
+    scored = toxicity.score(load(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", F.expr(f"{fold} = 0").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
