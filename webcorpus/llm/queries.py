@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 from webcorpus.sources.tables import load
 
-from . import language_id, mixing, quality_classifier, quality_rules, toxicity
+from . import language_id, mixing, packing, quality_classifier, quality_rules, token_files, toxicity
 from .catalog import register
 from .common import remainder
 
+
+
+def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
+    """Content of a public tokenizer file; it goes to the executors with the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
 # ---------------------------------------------------------------- 2: quality rules
 
 
@@ -78,3 +88,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = load(spark, sf_dir, "labels").filter(f"{fold} != 0")
     scored = toxicity.score(load(spark, sf_dir, "documents"), labels)
     return scored.select("doc_id", F.expr(f"{fold} = 0").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# ---------------------------------------------------------------- 5 and 7: packing, token files
+
+
+@register("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut(packing.pieces(load(spark, sf_dir, "documents"), tokenizer_json()), "pack-pieces")
+    return packing.assign(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@register("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_files.write_and_read(load(spark, sf_dir, "documents"), tokenizer_json())
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
