@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.sources.tables import load
 
-from . import language_id, mixing, packing, quality_classifier, quality_rules, token_files, toxicity
+from . import language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, token_files, toxicity
 from .catalog import register
 from .common import remainder
 
@@ -103,3 +103,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_files.write_and_read(load(spark, sf_dir, "documents"), tokenizer_json())
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+# ---------------------------------------------------------------- 4: n-gram Jaccard join
+
+
+@register("op4_ngram_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(load(spark, sf_dir, "documents"))
