@@ -30,12 +30,24 @@ LEAST_HASHES = 2
 #: An n-gram counts as frequent from this many occurrences, and from 2^-20 of all (so there are at most 2^20 of them).
 FREQUENT, FREQUENT_SHARE = 16, 1 << 20
 SLICE = 2 << 20
+#: Hash buckets of ``narrowed``: at most so many numbers are broadcast.
+BUCKETS = 1 << 20
 
 
 def enough(overlap, a, b, percent: int):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
+def narrowed(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be in ``keys``, found before any shuffle.
+
+    Keys are reduced to BUCKETS hash buckets, so what is broadcast is bounded whatever the number of keys; with many
+    more keys than buckets it only saves less. A join on the key itself has to follow.
+    """
+    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+    return df.withColumn("__bucket", bucket).join(F.broadcast(keys.select(bucket.alias("__bucket")).distinct()), "__bucket", "left_semi").drop("__bucket")
+
+
 def set_table(documents: DataFrame, n: int) -> DataFrame:
     """doc_id, size of the shingle set, its 128-bit fingerprint (k1, k2) and its least hashes; map-only."""
 
@@ -90,7 +102,8 @@ def _copies(documents: DataFrame, classes: DataFrame, n: int, percent: int) -> D
     counts = keys.groupBy("i", "h").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCUMENTS))
     members = keys.join(counts, ["i", "h"]).select("rep", F.struct("i", "h", F.pmod(F.xxhash64("rep", "i"), "blocks").alias("b")).alias("key"))
     wanted = members.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("key").alias("keys"))  # at most LEAST_HASHES
-    rows = documents.join(wanted, "doc_id").select("doc_id", "text", F.explode("keys").alias("key")).select("doc_id", "text", "key.*")
+    wanted = cut(wanted, "join-blocks")
+    rows = narrowed(documents, "doc_id", wanted).join(wanted, "doc_id").select("doc_id", "text", F.explode("keys").alias("key")).select("doc_id", "text", "key.*")
 
     def run(table: pa.Table) -> pa.Table:
         ids, at = np.unique(table["doc_id"].to_numpy(), return_index=True)
@@ -101,10 +114,10 @@ def _copies(documents: DataFrame, classes: DataFrame, n: int, percent: int) -> D
     return rows.groupBy("i", "h", "b").applyInArrow(run, "a long, b long")
 
 
-def frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(documents: DataFrame, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent n-grams and their (under)estimated counts: those that repeat within slices of the input.
 
-    At most FREQUENT_SHARE rows reach the driver: an n-gram must have that share of all occurrences at least.
+    At most FREQUENT_SHARE rows reach the driver: an n-gram must have that share of all ``total`` occurrences at least.
     """
 
     def run(batches):
@@ -113,18 +126,17 @@ def frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             some = counts > 2
             yield pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(counts[some])], ["gram", "n"])
 
-    total = texts.select(F.sum(F.size("least") * F.col("size"))).first()[0] or 0
-    least = max(FREQUENT, -(-int(total) // LEAST_HASHES // FREQUENT_SHARE))
-    found = texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    least = max(FREQUENT, -(-total // FREQUENT_SHARE))
+    found = documents.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     rows = found.toPandas()
     grams, counts = rows["gram"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     order = np.argsort(grams)
     return grams[order], counts[order]
 
 
-def _postings(texts: DataFrame, n: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """gram, doc_id, component, size and place of the first n-grams of each set, rare ones first."""
-    shared = texts.sparkSession.sparkContext.broadcast(common)
+def first_parts(documents: DataFrame, n: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id and the first n-grams of its set, rare ones first; map-only."""
+    shared = documents.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         grams, counts = shared.value
@@ -137,28 +149,24 @@ def _postings(texts: DataFrame, n: int, percent: int, common: tuple[np.ndarray,
                     often = np.where(grams[at] == s, counts[at], 0)
                     s = s[np.lexsort((s, often))]
                 out.append(s[:k])
-            sizes = np.array([len(x) for x in out])
-            rows = np.repeat(np.arange(len(out)), sizes)
-            flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat.view(np.int64)), batch.column("doc_id").take(take), batch.column("component").take(take), batch.column("size").take(take), pa.array(place, pa.int32())],
-                ["gram", "doc_id", "component", "size", "place"],
-            )
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *out])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], ["doc_id", "grams"])
 
-    return texts.select("doc_id", "text", "component", "size").mapInArrow(run, "gram long, doc_id long, component long, size long, place int")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
 
 
 def _rest(documents: DataFrame, classes: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
     """Step 2: all links (a, b) between classes of different components of step 1 (``found``: id, component)."""
     labelled = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    labelled = labelled.select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"), "size", "least")
-    texts = documents.join(labelled, "doc_id")
-    postings = cut(_postings(texts, n, percent, frequent(texts, n)), "join-postings")
+    labelled = labelled.select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"), "size")
+    total = int(classes.agg(F.sum("size")).first()[0] or 0)
+    parts = first_parts(documents, n, percent, frequent(documents, n, total)).join(labelled, "doc_id")
+    postings = cut(parts.select("doc_id", "component", "size", F.posexplode("grams").alias("place", "gram")), "join-postings")
     per = postings.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
     per = per.select("gram", F.ceil(F.col("n") / BLOCK_POSTINGS).cast("int").alias("blocks"))
-    live = cut(postings.join(per, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "join-live")
+    per = cut(per, "join-grams")
+    live = cut(narrowed(postings, "gram", per).join(per, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "join-live")
     upper = F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j")
     lower = F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i")
     x = live.select("gram", F.col("block").alias("i"), upper, F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("place").alias("pa"))
@@ -174,28 +182,48 @@ def _rest(documents: DataFrame, classes: DataFrame, found: DataFrame, n: int, pe
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least(F.col("sa") - F.col("pa") - 1, F.col("sb") - F.col("pb") - 1).alias("after"), bound.alias("bound"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.min("after").alias("after"), F.max("bound").alias("bound"))
     pairs = cut(pairs.filter("overlap + after >= bound").select("a", "b"), "join-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    for bits in (16, 64):  # folded n-grams give a bound on the overlap at a quarter of the bytes
+        pairs = _verified(documents, pairs, n, percent, bits)
+        pairs = cut(pairs, "join-pairs") if bits < 64 else pairs
+    return pairs
+
+
+def _verified(documents: DataFrame, pairs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
+    """Pairs (a, b) whose sets reach the bound, with n-grams folded to ``bits`` bits (64: exactly).
+
+    Folded sets are compared as multisets, whose overlap is never less than that of the sets.
+    """
+    kind = {16: np.uint16, 64: np.uint64}[bits]
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "join-ids")
 
     def grams(batches):
         for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(text_of(batch), n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.sort(s.astype(kind)).tobytes() for s in sets], pa.binary())], ["doc_id", "grams"])
 
-    sets = documents.join(wanted, "doc_id").mapInArrow(grams, "doc_id long, grams binary").dropDuplicates(["doc_id"])
-    sets = cut(sets, "join-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
+    found = narrowed(documents, "doc_id", wanted).join(wanted, "doc_id").mapInArrow(grams, "doc_id long, grams binary")
+    found = cut(found, "join-sets")
+    both = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb")), "b")
 
     def verify(batches):
         for batch in batches:
             keep = []
             for ga, gb in zip(batch.column("ga"), batch.column("gb"), strict=True):
-                s, t = np.frombuffer(ga.as_buffer(), np.uint64), np.frombuffer(gb.as_buffer(), np.uint64)
-                keep.append(enough(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), percent))
+                s, t = np.frombuffer(ga.as_buffer(), kind), np.frombuffer(gb.as_buffer(), kind)
+                both = np.sort(np.concatenate([_numbered(s), _numbered(t)])) if bits < 64 else np.sort(np.concatenate([s, t]))
+                keep.append(enough(int((both[1:] == both[:-1]).sum()), len(s), len(t), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long")
 
 
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """Sorted values to numbers that also tell first, second, ... occurrences apart."""
+    heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    nth = np.arange(len(values)) - np.repeat(heads, np.diff(np.append(heads, len(values))))
+    return values.astype(np.int64) + (nth.astype(np.int64) << 16)
+
+
 def join(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (least doc_id with the same set) and component_id.
 
