@@ -26,7 +26,7 @@ from .shingles import fingerprint, least_hashes, shingle_sets
 
 #: Documents in a block of step 1, and postings in a block of step 2.
 BLOCK_DOCUMENTS, BLOCK_POSTINGS = 1000, 500
-LEAST_HASHES = 2
+LEAST_HASHES = 4
 #: An n-gram counts as frequent from this many occurrences, and from 2^-20 of all (so there are at most 2^20 of them).
 FREQUENT, FREQUENT_SHARE = 16, 1 << 20
 SLICE = 2 << 20
@@ -96,13 +96,17 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
     return links
 
 
-def _copies(documents: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Step 1: links (a, b) inside blocks of classes that agree in a least hash."""
+def _blocks(classes: DataFrame) -> DataFrame:
+    """doc_id and keys (i, h, b): the blocks of each class that agrees in a least hash with others."""
     keys = classes.select("rep", F.posexplode("least").alias("i", "h"))
     counts = keys.groupBy("i", "h").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCUMENTS))
     members = keys.join(counts, ["i", "h"]).select("rep", F.struct("i", "h", F.pmod(F.xxhash64("rep", "i"), "blocks").alias("b")).alias("key"))
     wanted = members.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("key").alias("keys"))  # at most LEAST_HASHES
-    wanted = cut(wanted, "join-blocks")
+    return cut(wanted, "join-blocks")
+
+
+def _copies(documents: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
+    """Step 1: links (a, b) inside blocks (``wanted``); every pair of a block is connected by them or is no link."""
     rows = narrowed(documents, "doc_id", wanted).join(wanted, "doc_id").select("doc_id", "text", F.explode("keys").alias("key")).select("doc_id", "text", "key.*")
 
     def run(table: pa.Table) -> pa.Table:
@@ -156,7 +160,7 @@ def first_parts(documents: DataFrame, n: int, percent: int, common: tuple[np.nda
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
 
 
-def _rest(documents: DataFrame, classes: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
+def _rest(documents: DataFrame, classes: DataFrame, blocks: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
     """Step 2: all links (a, b) between classes of different components of step 1 (``found``: id, component)."""
     labelled = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     labelled = labelled.select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"), "size")
@@ -165,16 +169,17 @@ def _rest(documents: DataFrame, classes: DataFrame, found: DataFrame, n: int, pe
     postings = cut(parts.select("doc_id", "component", "size", F.posexplode("grams").alias("place", "gram")), "join-postings")
     per = postings.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
     per = per.select("gram", F.ceil(F.col("n") / BLOCK_POSTINGS).cast("int").alias("blocks"))
-    per = cut(per, "join-grams")
-    live = cut(narrowed(postings, "gram", per).join(per, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "join-live")
+    live = cut(postings.join(per, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "join-live")
+    tags = blocks.select("doc_id", F.transform("keys", lambda k: F.xxhash64(k["i"], k["h"], k["b"])).alias("tags"))
+    live = live.join(tags, "doc_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<long>")))
     upper = F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j")
     lower = F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i")
-    x = live.select("gram", F.col("block").alias("i"), upper, F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("place").alias("pa"))
-    y = live.select("gram", lower, F.col("block").alias("j"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("place").alias("pb"))
-    # sizes: 100 * min >= percent * max; places: 1 + what follows in the shorter rest reaches the overlap that sizes ask for
+    x = live.select("gram", F.col("block").alias("i"), upper, F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("place").alias("pa"), F.col("tags").alias("ta"))
+    y = live.select("gram", lower, F.col("block").alias("j"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("place").alias("pb"), F.col("tags").alias("tb"))
+    # pairs that met in a block of step 1 are settled; sizes: 100 * min >= percent * max; places: 1 + what follows in the shorter rest reaches the overlap that sizes ask for
     bound = F.ceil(percent * (F.col("sa") + F.col("sb")) / F.lit(100 + percent))
     pairs = x.join(y, ["gram", "i", "j"]).filter(
-        (F.col("ca") != F.col("cb")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b")))
+        (F.col("ca") != F.col("cb")) & ~F.arrays_overlap("ta", "tb") & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b")))
         & (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
         & (1 + F.least(F.col("sa") - F.col("pa") - 1, F.col("sb") - F.col("pb") - 1) >= bound)
     )
@@ -236,9 +241,10 @@ def join(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     sets = cut(set_table(documents, n), "join-sets")
     some = sets.filter("size > 0 AND doc_id IS NOT NULL")
     classes = cut(some.groupBy("size", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("least").alias("least")), "join-classes")
-    first = cut(_copies(documents, classes, n, percent), "join-links")
+    blocks = _blocks(classes)
+    first = cut(_copies(documents, blocks, n, percent), "join-links")
     early = cut(components(first), "join-early")
-    rest = cut(_rest(documents, classes, early, n, percent), "join-links")
+    rest = cut(_rest(documents, classes, blocks, early, n, percent), "join-links")
     # what is left: components of the components that step 2 links
     label = early.select(F.col("id").alias("x"), "component")
     lift = lambda df, c: df.join(label.select(F.col("x").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(c, F.coalesce(f"c{c}", c)).drop(f"c{c}")
