@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.sources.tables import load
 
-from . import language_id, mixing, ngram_join, packing, quality_classifier, quality_rules, token_files, toxicity
+from . import language_id, mixing, ngram_join, one_bit_search, packing, quality_classifier, quality_rules, token_files, toxicity, url_filters
 from .catalog import register
 from .common import remainder
 
@@ -111,3 +111,66 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_ngram_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(load(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- 3: nearest neighbours
+
+
+@register("op3_one_bit_search")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return one_bit_search.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+# ---------------------------------------------------------------- 1: URL filters
+
+#: Days after 2023-01-01 and switches of captures and list entries, from digits of an md5: both engines have it.
+_HASH = {"spark": "CAST(conv(substr(md5(concat('{salt}', {x})), 1, 7), 16, 10) AS BIGINT)", "duckdb": "CAST('0x' || substr(md5(concat('{salt}', {x})), 1, 7) AS BIGINT)"}
+
+
+def _hash(engine: str, salt: str, x: str) -> str:
+    return _HASH[engine].format(salt=salt, x=x)
+
+
+def _lists_sql(engine: str) -> str:
+    """CTEs captures (capture_id, url, host, day) and entries (list, pattern, action, day) over the table ``pages``."""
+    h = lambda salt, x: _hash(engine, salt, x)
+    host, path = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1))", r"regexp_extract(url, '^[a-zA-Z]+://[^/?#]+/([^/?#]+)', 1)"
+    if engine == "spark":
+        host, path = host.replace("\\", "\\\\"), path.replace("\\", "\\\\")
+    return f"""captures AS (SELECT page_id AS capture_id, url, {host} AS host, {path} AS step, {h("fetch", "CAST(page_id AS STRING)")} % 730 AS day FROM pages),
+hosts AS (SELECT host, {h("host", "host")} AS x FROM captures WHERE host <> '' GROUP BY host),
+steps AS (SELECT concat(host, '/', step) AS pattern, {h("step", "concat(host, '/', step)")} AS x FROM captures WHERE host <> '' AND step <> '' GROUP BY host, step),
+entries AS (
+  SELECT 'malware' AS list, host AS pattern, 'add' AS action, x % 600 AS day FROM hosts WHERE x % 4 = 0
+  UNION ALL SELECT 'malware', host, 'remove', x % 600 + 90 FROM hosts WHERE x % 8 = 0
+  UNION ALL SELECT 'malware', host, 'add', x % 600 + 150 FROM hosts WHERE x % 16 = 0
+  UNION ALL SELECT 'adult', pattern, 'add', x % 700 FROM steps WHERE x % 3 = 0
+  UNION ALL SELECT 'adult', pattern, 'remove', x % 700 + 200 FROM steps WHERE x % 6 = 0)"""
+
+
+_FILTER_SQL = f"""
+WITH {_lists_sql("duckdb").replace("AS STRING", "AS VARCHAR")},
+turns AS (SELECT list, pattern, day, action, lag(action, 1, 'remove') OVER (PARTITION BY list, pattern ORDER BY day) AS was FROM entries),
+kept AS (SELECT list, pattern, action, day AS since, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS til FROM turns WHERE action <> was),
+hits AS (
+  SELECT c.capture_id, k.list, k.pattern, k.since FROM captures c JOIN kept k ON k.action = 'add' AND c.day >= k.since AND (k.til IS NULL OR c.day < k.til)
+    AND CASE WHEN k.list = 'malware' THEN k.pattern = c.host OR ends_with(c.host, '.' || k.pattern) ELSE k.pattern = concat(c.host, '/', c.step) END),
+best AS (SELECT capture_id, count(*) AS n, min(struct_pack(a := list, b := pattern, c := since)) AS f FROM hits GROUP BY capture_id)
+SELECT p.page_id, n IS NOT NULL AS blocked, CAST(coalesce(n, 0) AS BIGINT) AS n_active, f.a AS list, f.b AS pattern, coalesce(CAST(f.c AS BIGINT), -1) AS since
+FROM pages p LEFT JOIN best ON p.page_id = best.capture_id
+"""
+
+
+@register("op1_url_filters", _FILTER_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are all pages, fetched on a day that their id gives; the dated lists are derived from their hosts and paths."""
+    pages, lists = load(spark, sf_dir, "pages").select("page_id", "url"), _lists_sql("spark")
+    captures = _derived(pages, lists, "SELECT capture_id, url, day AS fetched FROM captures")
+    entries = _derived(pages, lists, "SELECT list, pattern, action, day AS at FROM entries")
+    found = url_filters.evaluate(captures, entries)
+    return found.select(F.col("capture_id").alias("page_id"), "blocked", "n_active", "list", "pattern", F.coalesce("since", F.lit(-1)).cast("long").alias("since"))
+
+
+def _derived(pages: DataFrame, ctes: str, select: str) -> DataFrame:
+    return pages.sparkSession.sql(f"WITH pages AS (SELECT * FROM {{table}}), {ctes} {select}", table=pages)
