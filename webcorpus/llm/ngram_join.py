@@ -176,17 +176,20 @@ def _rest(documents: DataFrame, classes: DataFrame, blocks: DataFrame, found: Da
     lower = F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i")
     x = live.select("gram", F.col("block").alias("i"), upper, F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("place").alias("pa"), F.col("tags").alias("ta"))
     y = live.select("gram", lower, F.col("block").alias("j"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("place").alias("pb"), F.col("tags").alias("tb"))
-    # pairs that met in a block of step 1 are settled; sizes: 100 * min >= percent * max; places: 1 + what follows in the shorter rest reaches the overlap that sizes ask for
-    bound = F.ceil(percent * (F.col("sa") + F.col("sb")) / F.lit(100 + percent))
+    # pairs that met in a block of step 1 are settled; sizes: 100 * min >= percent * max
     pairs = x.join(y, ["gram", "i", "j"]).filter(
         (F.col("ca") != F.col("cb")) & ~F.arrays_overlap("ta", "tb") & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b")))
         & (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
-        & (1 + F.least(F.col("sa") - F.col("pa") - 1, F.col("sb") - F.col("pb") - 1) >= bound)
     )
-    # accumulated overlap of the two parts, and the most that can follow after the last shared place
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least(F.col("sa") - F.col("pa") - 1, F.col("sb") - F.col("pb") - 1).alias("after"), bound.alias("bound"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.min("after").alias("after"), F.max("bound").alias("bound"))
-    pairs = cut(pairs.filter("overlap + after >= bound").select("a", "b"), "join-pairs")
+    # overlap of the two parts, and the most that can follow: what lies beyond the last shared place of either set, and
+    # beyond the part that ends first (n-grams up to there are counted in full); which part that is, is not known
+    beyond = lambda size: F.ceil(percent * F.col(size) / F.lit(100)) - 1
+    pairs = pairs.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least(F.col("sa") - F.col("pa") - 1, F.col("sb") - F.col("pb") - 1).alias("after"),
+        F.greatest(beyond("sa"), beyond("sb")).alias("beyond"), F.ceil(percent * (F.col("sa") + F.col("sb")) / F.lit(100 + percent)).alias("bound"),
+    )
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.min("after").alias("after"), F.max("beyond").alias("beyond"), F.max("bound").alias("bound"))
+    pairs = cut(pairs.filter("overlap + least(after, beyond) >= bound").select("a", "b"), "join-pairs")
     for bits in (16, 64):  # folded n-grams give a bound on the overlap at a quarter of the bytes
         pairs = _verified(documents, pairs, n, percent, bits)
         pairs = cut(pairs, "join-pairs") if bits < 64 else pairs
