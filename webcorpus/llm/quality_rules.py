@@ -37,7 +37,7 @@ def _repeat_words(w: Column) -> Column:
         def covered(s: Column) -> Column:
             same = lambda k: F.coalesce(F.get(s, k)["h"] == F.get(s, k - 1)["h"], F.lit(False)) | F.coalesce(F.get(s, k)["h"] == F.get(s, k + 1)["h"], F.lit(False))
             places = F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), same), lambda k: F.get(s, k)["i"]))
-            return let(places, lambda p: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1))), F.lit(3).cast("long"), lambda acc, k: acc + F.coalesce(F.least(F.lit(3), F.get(p, k) - F.get(p, k - 1)), F.lit(0))))
+            return let(places, lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), F.lit(3).cast("long"), lambda acc, k: acc + F.least(F.lit(3), F.get(p, k) - F.get(p, k - 1))))
 
         paired = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(let(paired, covered))
