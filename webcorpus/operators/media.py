@@ -140,11 +140,13 @@ def media_items(status: DataFrame) -> DataFrame:
 
 def content_dedup(df: DataFrame, key: str, content: str) -> DataFrame:
     """Exact-content dedup: sha256 of the body; the smallest key per hash is the original,
-    the others point to it.  Grouped min + join (the hash shuffle carries 32 bytes, not bodies)."""
+    the others point to it; rows without content are one group.  Grouped min + join (the hash shuffle carries 32 bytes, not bodies)."""
     h = df.select(key, F.sha2(F.col(content).cast("binary"), 256).alias("content_hash"),
                   F.octet_length(F.col(content)).alias("size"))
     orig = h.groupBy("content_hash").agg(F.min(key).alias("original"), F.count("*").alias("copies"))
-    return h.join(orig, "content_hash").withColumn("is_duplicate", F.col(key) != F.col("original"))
+    orig = orig.withColumnRenamed("content_hash", "__hash")
+    h = h.join(orig, F.col("content_hash").eqNullSafe(F.col("__hash"))).drop("__hash")
+    return h.withColumn("is_duplicate", F.col(key) != F.col("original"))
 
 
 def same_file(local: DataFrame, remote: DataFrame, key: str = "url_key") -> DataFrame:
