@@ -78,9 +78,15 @@ def _articles(ld: str) -> str:
     return f"filter({ld}, {v} -> try_variant_get({v}, {lit(AT_TYPE)}, 'string') IN ({types}))"
 
 
+def _ld_text(v: str, path: str) -> str:
+    """The scalar at ``path`` of a JSON-LD item as text; NULL for a list or an object."""
+    kind = f"schema_of_variant(try_variant_get({v}, {lit(path)}, 'variant'))"
+    return f"CASE WHEN NOT startswith({kind}, 'ARRAY') AND NOT startswith({kind}, 'OBJECT') THEN try_variant_get({v}, {lit(path)}, 'string') END"
+
+
 def _ld_first(ld: str, path: str) -> str:
     v, s = _v("v"), _v("s")
-    vals = f"transform({_articles(ld)}, {v} -> try_variant_get({v}, {lit(path)}, 'string'))"
+    vals = f"transform({_articles(ld)}, {v} -> {_ld_text(v, path)})"
     return f"try_element_at(filter({vals}, {s} -> {s} IS NOT NULL AND {s} != ''), 1)"
 
 
@@ -136,7 +142,7 @@ def author_sql(nodes: str, ld: str) -> str:
     v = _v("v")
 
     def name_or_str(x):
-        return f"coalesce(try_variant_get({x}, '$.author.name', 'string'), try_variant_get({x}, '$.author', 'string'))"
+        return f"coalesce({_ld_text(x, '$.author.name')}, {_ld_text(x, '$.author')})"
 
     with_author = f"filter({_articles(ld)}, {v} -> {name_or_str(v)} IS NOT NULL)"
     ld_author = let(f"try_element_at({with_author}, 1)", name_or_str)
@@ -204,7 +210,7 @@ def image_sql(nodes: str, ld: str, url: str) -> str:
     v = _v("v")
 
     def url_or_str(x):
-        return f"coalesce(try_variant_get({x}, '$.image.url', 'string'), try_variant_get({x}, '$.image', 'string'))"
+        return f"coalesce({_ld_text(x, '$.image.url')}, {_ld_text(x, '$.image')})"
 
     def src_of(x):
         return f"CASE WHEN {x} IS NOT NULL THEN try_element_at({x}.attrs, 'src') END"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from .windows import first_wins, running_sums
+from .windows import first_wins, join_null_safe, running_sums
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def throughput(log: DataFrame, bucket_rows: int = 1_000_000, every: int = 10) ->
     # wall-clock difference (no session time zone involved, so no DST shifts)
     elapsed = F.expr("timestampdiff(MICROSECOND, _t0, ts)") / 1e6
     return (
-        run.join(start, "site")
+        join_null_safe(run, start, ["site"])
         .withColumn("elapsed_s", elapsed)
         .withColumn(
             "req_per_s", F.when(F.col("elapsed_s") > 0, F.col("cum_requests") / F.col("elapsed_s")).otherwise(0.0)
@@ -150,11 +150,10 @@ def throughput(log: DataFrame, bucket_rows: int = 1_000_000, every: int = 10) ->
     )
 
 
-def attempt_numbers(log: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
-    """1-based attempt number per URL in (ts, seq) order, skew-safe for hot URLs."""
-    return running_sums(
-        log, ["url"], ["ts", "seq"], F.floor(F.col("seq") / F.lit(bucket_rows)), {}, count_col="attempt_no"
-    )
+def attempt_numbers(log: DataFrame, bucket: str = "minute") -> DataFrame:
+    """1-based attempt number per URL in (ts, seq) order, skew-safe for hot URLs: a URL's rows are split by
+    ``bucket``, a ``date_trunc`` unit of ts, so late rows fall in the bucket of their time, not of their arrival."""
+    return running_sums(log, ["url"], ["ts", "seq"], F.date_trunc(bucket, "ts"), {}, count_col="attempt_no")
 
 
 def effective_delay(log: DataFrame, policy: RetryPolicy = DEFAULT_POLICY, bucket_rows: int = 1_000_000) -> DataFrame:

@@ -88,6 +88,21 @@ def _local_media(url, base_url, media_dir):
     return f"{media_dir}/{path}" if path else None
 
 
+def _call(generator):
+    """The return value of a generator that yields the generators whose values it needs, on an explicit stack."""
+    stack, value = [generator], None
+    while stack:
+        try:
+            needed = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+        else:
+            stack.append(needed)
+            value = None
+    return value
+
+
 def render_markdown(html, base_url=None, boilerplate=True, main_content=True, image_dir=None, media_dir=None):
     """Our Markdown dialect: ATX headings, **bold**, _italic_, `code`, fenced pre, '*' bullets,
     numbered lists, '>' quotes, [text](<url>) links, ![alt](url) images, pipe tables, no wrapping."""
@@ -112,8 +127,7 @@ def render_markdown(html, base_url=None, boilerplate=True, main_content=True, im
             body = next((n for n in nodes if n["tag"] == "body"), None)
             if body is not None:
                 start = [body["idx"]]
-    images = {}
-    used = {}
+    images, used, taken = {}, {}, set()
 
     def image_name(src):
         if src in images:
@@ -121,10 +135,12 @@ def render_markdown(html, base_url=None, boilerplate=True, main_content=True, im
         base = src.split("?")[0].rstrip("/").split("/")[-1] or "image"
         base = re.sub(r'[<>:"/\\|?*]', "_", base)
         stem, dot, ext = base.rpartition(".")
-        key = base
-        n = used.get(key, 0)
-        used[key] = n + 1
-        name = base if n == 0 else (f"{stem}_{n}.{ext}" if dot else f"{base}_{n}")
+        n, name = used.get(base, 0), base
+        while name in taken:  # also a name that another image has of its own
+            n += 1
+            name = f"{stem}_{n}.{ext}" if dot else f"{base}_{n}"
+        used[base] = n
+        taken.add(name)
         images[src] = name
         return name
 
@@ -134,6 +150,13 @@ def render_markdown(html, base_url=None, boilerplate=True, main_content=True, im
             return urljoin(base_url, href)
         return href
 
+    # the three below are generators that yield the calls they need to ``_call``: depth is bounded by memory only
+    def inlines(idxs, pre=False):
+        out = []
+        for k in idxs:
+            out.append((yield inline(k, pre)))
+        return "".join(out)
+
     def inline(i, pre=False):
         n = nodes[i]
         if removed[i]:
@@ -144,8 +167,8 @@ def render_markdown(html, base_url=None, boilerplate=True, main_content=True, im
         if t == "#data":
             return ""
         if t in _BLOCK and not pre:
-            return "\n\n" + block(i) + "\n\n"
-        inner = "".join(inline(k, pre or t == "pre") for k in kids[i])
+            return "\n\n" + (yield block(i)) + "\n\n"
+        inner = yield inlines(kids[i], pre or t == "pre")
         a = n["attrs"] or {}
         if t in ("b", "strong"):
             return f"**{inner.strip()}**" if inner.strip() else inner
@@ -165,7 +188,7 @@ def render_markdown(html, base_url=None, boilerplate=True, main_content=True, im
                 src = f"{image_dir}/{image_name(src)}"
             return f"![{a.get('alt', '')}]({src})"
         if t in _BLOCK:
-            return "\n\n" + block(i) + "\n\n"
+            return "\n\n" + (yield block(i)) + "\n\n"
         return inner
 
     def block(i):
@@ -174,14 +197,14 @@ def render_markdown(html, base_url=None, boilerplate=True, main_content=True, im
             return ""
         t = n["tag"]
         if t.startswith("#"):
-            return inline(i)
+            return (yield inline(i))
         if t in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            text = "".join(inline(k) for k in kids[i]).strip()
+            text = (yield inlines(kids[i])).strip()
             return f"{'#' * int(t[1])} {text}" if text else ""
         if t == "hr":
             return "* * *"
         if t == "pre":
-            body = "".join(inline(k, True) for k in kids[i]).strip("\n")
+            body = (yield inlines(kids[i], True)).strip("\n")
             return f"```\n{body}\n```"
         if t in ("ul", "ol"):
             out, k = [], 0
@@ -189,23 +212,26 @@ def render_markdown(html, base_url=None, boilerplate=True, main_content=True, im
                 if nodes[c]["tag"] == "li" and not removed[c]:
                     k += 1
                     mark = f"{k}." if t == "ol" else "*"
-                    out.append(f"{mark} " + blocks(kids[c]).strip().replace("\n", "\n  "))
+                    out.append(f"{mark} " + (yield blocks(kids[c])).strip().replace("\n", "\n  "))
             return "\n".join(out)
         if t == "blockquote":
-            return "\n".join("> " + ln for ln in blocks(kids[i]).strip().split("\n"))
+            quoted = yield blocks(kids[i])
+            return "\n".join("> " + ln for ln in quoted.strip().split("\n"))
         if t == "table":
             rows = []
             for r in range(n["idx"] + 1, n["end"] + 1):
                 if nodes[r]["tag"] == "tr" and not removed[r]:
-                    cells = [blocks(kids[c]).strip().replace("\n", " ") for c in kids[r]
-                             if nodes[c]["tag"] in ("td", "th")]
+                    cells = []
+                    for c in kids[r]:
+                        if nodes[c]["tag"] in ("td", "th"):
+                            cells.append((yield blocks(kids[c])).strip().replace("\n", " "))
                     rows.append("| " + " | ".join(cells) + " |")
                     if len(rows) == 1:
                         rows.append("|" + "---|" * len(cells))
             return "\n".join(rows)
         if t in _BLOCK:
-            return blocks(kids[i])
-        return inline(i)
+            return (yield blocks(kids[i]))
+        return (yield inline(i))
 
     def blocks(idxs):
         parts, buf = [], []
@@ -216,14 +242,14 @@ def render_markdown(html, base_url=None, boilerplate=True, main_content=True, im
                 if buf:
                     parts.append("".join(buf).strip())
                     buf = []
-                parts.append(block(k).strip())
+                parts.append((yield block(k)).strip())
             else:
-                buf.append(inline(k))
+                buf.append((yield inline(k)))
         if buf:
             parts.append("".join(buf).strip())
         return "\n\n".join(p for p in parts if p)
 
-    text = blocks(start)
+    text = _call(blocks(start))
     text = re.sub(r"[ \t]+\n", "\n", text)
     text = re.sub(r"\n{3,}", "\n\n", text).strip() + "\n"
     return {"body": text, "images": [[k, v] for k, v in images.items()]}

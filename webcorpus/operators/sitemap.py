@@ -29,15 +29,11 @@ def read_sitemaps(df: DataFrame, xml_col: str = "xml", source_col: str = "sitema
     (strings, as written) plus typed companions; empty <loc> skipped; the reference's
     defaults for title, description, status and content type."""
     xml = F.col(xml_col)
-    parsed = F.from_xml(xml, URLSET_SCHEMA, {"mode": "PERMISSIVE"})
-    prefixed = xml.rlike(r"<[\w.-]+:url[\s>]")
-    entries = F.when(
-        prefixed,
-        F.transform(F.coalesce(_locs_any_namespace(xml, "url"), F.array().cast("array<string>")),
-                    lambda l: F.struct(l.alias("loc"), F.lit(None).cast("string").alias("lastmod"),
-                                       F.lit(None).cast("string").alias("priority"),
-                                       F.lit(None).cast("string").alias("changefreq"))),
-    ).otherwise(F.coalesce(parsed.url, F.array().cast(URLSET_SCHEMA.split(" ", 1)[1])))
+    # elements of the sitemap namespace may carry a prefix: the one that <…:url> has is taken off every tag
+    prefix = F.regexp_extract(xml, r"<([\w.-]+:)url[\s>]", 1)
+    plain = F.replace(F.replace(xml, F.concat(F.lit("<"), prefix), F.lit("<")), F.concat(F.lit("</"), prefix), F.lit("</"))
+    parsed = F.from_xml(F.when(prefix != "", plain).otherwise(xml), URLSET_SCHEMA, {"mode": "PERMISSIVE"})
+    entries = F.coalesce(parsed.url, F.array().cast(URLSET_SCHEMA.split(" ", 1)[1]))
     rows = df.where(sitemap_kind(xml) == "urlset").select(source_col, F.posexplode(entries).alias("pos", "e"))
     loc = F.trim(F.col("e.loc"))
     return rows.where(loc.isNotNull() & (loc != "")).select(

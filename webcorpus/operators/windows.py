@@ -11,10 +11,20 @@ more than one bucket of one group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the key columns of ``left`` stay."""
+    for i, k in enumerate(keys):
+        right = right.withColumnRenamed(k, f"_k{i}")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return left.join(right, same, how).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def running_sums(
     df: DataFrame,
     keys: list[str],
@@ -28,20 +38,21 @@ def running_sums(
 
     ``bucket`` must be non-decreasing in ``order`` within a group (e.g. ``floor(seq / 1e6)``
     or an hour of ``ts``); any such choice gives the same answer, it only sets task size.
+    NULL keys are a group of their own, rows with a NULL order come first, a NULL measure adds nothing.
     """
     measures = dict(sums)
     if count_col:
         measures[count_col] = F.lit(1).cast("bigint")
     base = df.withColumn("_b", bucket)
     for name, expr in measures.items():
-        base = base.withColumn(f"_m_{name}", expr)
+        base = base.withColumn(f"_m_{name}", F.coalesce(expr, F.lit(0)))
     totals = base.groupBy(*keys, "_b").agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in measures])
     prior = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in measures]
     )
     within = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = base.join(offsets, [*keys, "_b"], "inner")
+    out = join_null_safe(base, offsets, [*keys, "_b"])
     for n in measures:
         out = out.withColumn(n, F.col(f"_o_{n}") + F.sum(f"_m_{n}").over(within))
     return out.drop("_b", *[f"_m_{n}" for n in measures], *[f"_o_{n}" for n in measures])

@@ -92,7 +92,7 @@ SELECT seq, url, row_number() OVER (PARTITION BY url ORDER BY ts, seq) AS attemp
 )
 def q_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempt numbers per URL (bucketed running count, skew-safe)."""
-    return FL.attempt_numbers(fx_fetch_log(spark, sf_dir), bucket_rows=1000).select("seq", "url", "attempt_no")
+    return FL.attempt_numbers(fx_fetch_log(spark, sf_dir)).select("seq", "url", "attempt_no")
 
 
 _P = FL.DEFAULT_POLICY
