@@ -97,9 +97,15 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
 
 
 def _blocks(classes: DataFrame) -> DataFrame:
-    """doc_id and keys (i, h, b): the blocks of each class that agrees in a least hash with others."""
+    """doc_id and keys (i, h, b): the blocks of each class that agrees in a least hash with others.
+
+    Near copies mostly agree in several least hashes, so the same classes would meet in several blocks: of single
+    blocks with the same members one stays.
+    """
     keys = classes.select("rep", F.posexplode("least").alias("i", "h"))
-    counts = keys.groupBy("i", "h").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCUMENTS))
+    members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("m"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2")]
+    counts = keys.groupBy("i", "h").agg(*members).filter("n > 1").withColumn("big", F.when(F.col("n") > BLOCK_DOCUMENTS, F.struct("i", "h")))
+    counts = counts.groupBy("n", "m", "m2", "big").agg(F.min(F.struct("i", "h")).alias("key")).select("key.*", F.ceil(F.col("n") / BLOCK_DOCUMENTS).alias("blocks"))
     members = keys.join(counts, ["i", "h"]).select("rep", F.struct("i", "h", F.pmod(F.xxhash64("rep", "i"), "blocks").alias("b")).alias("key"))
     wanted = members.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("key").alias("keys"))  # at most LEAST_HASHES
     return cut(wanted, "join-blocks")
