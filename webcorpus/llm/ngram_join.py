@@ -30,6 +30,8 @@ LEAST_HASHES = 4
 #: An n-gram counts as frequent from this many occurrences, and from 2^-20 of all (so there are at most 2^20 of them).
 FREQUENT, FREQUENT_SHARE = 16, 1 << 20
 SLICE = 2 << 20
+#: Share of documents (one in ...) whose first parts correct the estimated counts, and how often.
+SAMPLE, CORRECTIONS = 8, 2
 #: Hash buckets of ``narrowed``: at most so many numbers are broadcast.
 BUCKETS = 1 << 20
 
@@ -166,18 +168,47 @@ def first_parts(documents: DataFrame, n: int, percent: int, common: tuple[np.nda
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
 
 
+def corrected(documents: DataFrame, labelled: DataFrame, n: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``common`` and those n-grams that several components of a sample share in their first parts, with their counts.
+
+    ``frequent`` misses n-grams that are spread thinly over its slices; they would stay in the first parts and form pairs
+    there. Counts only order n-grams, so a sample of one document in SAMPLE is enough; all links are found with any
+    counts. At most FREQUENT_SHARE rows reach the driver: the least count is the least power of two that allows it.
+    """
+    chosen = F.expr(f"pmod(xxhash64(doc_id, 7), {SAMPLE}) = 0")
+    parts = first_parts(documents.filter(chosen), n, percent, common).join(labelled.filter(chosen).select("doc_id", "component"), "doc_id")
+    grams = parts.select("component", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+    found = cut(grams.filter("lo != hi").select("gram", "n"), "join-often")
+    level = F.floor(F.log2("n")).cast("int")
+    least, rows = 0, 0
+    for power, here in sorted(found.groupBy(level.alias("level")).count().collect(), reverse=True):
+        rows += here
+        if rows > FREQUENT_SHARE:
+            least = 1 << (power + 1)
+            break
+    more = found.filter(F.col("n") >= least).toPandas()
+    grams = np.concatenate([common[0], more["gram"].to_numpy(np.int64).view(np.uint64)])
+    counts = np.concatenate([common[1], more["n"].to_numpy(np.int64) * SAMPLE])
+    order = np.lexsort((-counts, grams))  # of one n-gram's estimates the largest comes first
+    kept, at = np.unique(grams[order], return_index=True)
+    return kept, counts[order][at]
+
+
 def _rest(documents: DataFrame, classes: DataFrame, blocks: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
     """Step 2: all links (a, b) between classes of different components of step 1 (``found``: id, component)."""
     labelled = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    labelled = labelled.select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"), "size")
+    labelled = cut(labelled.select(F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component"), "size"), "join-labels")
     total = int(classes.agg(F.sum("size")).first()[0] or 0)
-    parts = first_parts(documents, n, percent, frequent(documents, n, total)).join(labelled, "doc_id")
-    postings = cut(parts.select("doc_id", "component", "size", F.posexplode("grams").alias("place", "gram")), "join-postings")
+    common = frequent(documents, n, total)
+    for _ in range(CORRECTIONS):
+        common = corrected(documents, labelled, n, percent, common)
+    parts = first_parts(documents, n, percent, common).join(labelled.select("doc_id", "component"), "doc_id")
+    postings = cut(parts.select("doc_id", "component", F.posexplode("grams").alias("place", "gram")), "join-postings")
     per = postings.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
     per = per.select("gram", F.ceil(F.col("n") / BLOCK_POSTINGS).cast("int").alias("blocks"))
-    live = cut(postings.join(per, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "join-live")
+    live = cut(postings.drop("component").join(per, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "join-live")
     tags = blocks.select("doc_id", F.transform("keys", lambda k: F.xxhash64(k["i"], k["h"], k["b"])).alias("tags"))
-    live = live.join(tags, "doc_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<long>")))
+    live = live.join(labelled.join(tags, "doc_id", "left"), "doc_id").withColumn("tags", F.coalesce("tags", F.array().cast("array<long>")))
     upper = F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j")
     lower = F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i")
     x = live.select("gram", F.col("block").alias("i"), upper, F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("place").alias("pa"), F.col("tags").alias("ta"))
