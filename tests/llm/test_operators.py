@@ -205,10 +205,11 @@ def _brute_components(rows, n, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("blocks", [(1000, 500), (3, 4)])
+@pytest.mark.parametrize("blocks", [(1000, 32, 2000), (3, 32, 2000), (3, 1, 4)])
 def test_ngram_join_equals_all_pairs(spark, empty, monkeypatch, blocks):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCUMENTS", blocks[0])
-    monkeypatch.setattr(ngram_join, "BLOCK_POSTINGS", blocks[1])
+    monkeypatch.setattr(ngram_join, "PAIRED", blocks[1])
+    monkeypatch.setattr(ngram_join, "PRODUCT_DOCUMENTS", blocks[2])
     rng = np.random.default_rng(5)
     bases = [rng.integers(0, 500, 60).tolist() for _ in range(4)]
     rows = list({r[0]: r for r in ODD}.values())

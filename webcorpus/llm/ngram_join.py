@@ -24,12 +24,14 @@ from .common import cut, slices, text_of
 from .components import components
 from .shingles import fingerprint, least_hashes, shingle_sets
 
-#: Documents in a block of step 1, and postings in a block of step 2.
-BLOCK_DOCUMENTS, BLOCK_POSTINGS = 1000, 500
+#: Documents in a block of step 1.
+BLOCK_DOCUMENTS = 1000
 LEAST_HASHES = 4
 #: An n-gram counts as frequent from this many occurrences, and from 2^-20 of all (so there are at most 2^20 of them).
 FREQUENT, FREQUENT_SHARE = 16, 1 << 20
 SLICE = 2 << 20
+#: N-grams with more postings than this are multiplied inside tasks; they come in blocks of so many documents.
+PAIRED, PRODUCT_DOCUMENTS = 32, 2000
 #: Share of documents (one in ...) whose first parts correct the estimated counts, and how often.
 SAMPLE, CORRECTIONS = 8, 2
 #: Hash buckets of ``narrowed``: at most so many numbers are broadcast.
@@ -194,6 +196,57 @@ def corrected(documents: DataFrame, labelled: DataFrame, n: int, percent: int, c
     return kept, counts[order][at]
 
 
+def _products(parts: DataFrame, live: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents that share a hot n-gram (``live``: gram, doc_id, block, blocks) and may be linked.
+
+    A task multiplies the incidence rows of two blocks of an n-gram's documents, restricted to their first parts, and
+    emits only pairs whose overlap can still reach the bound. A pair may come from several n-grams.
+    """
+    wanted = cut(live.select("doc_id").distinct(), "join-ids")
+    rows = narrowed(parts.select("doc_id", "grams"), "doc_id", wanted).join(marks, "doc_id")
+    rows = live.select("gram", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).join(rows, "doc_id")
+    rows = rows.select("gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "size", "grams", "tags")
+
+    def run(table: pa.Table) -> pa.Table:
+        links = product_pairs(table.sort_by("doc_id"), table["i"][0].as_py(), table["j"][0].as_py(), percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return rows.groupBy("gram", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def product_pairs(table: pa.Table, i: int, j: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs between blocks i and j of ``table`` that overlaps of their first parts do not rule out."""
+    ids, component, sizes, block = (table[c].to_numpy().astype(np.int64) for c in ("doc_id", "component", "size", "block"))
+    tags = [set(t) for t in table["tags"].to_pylist()]
+    lists = table["grams"].combine_chunks()
+    lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    flat, m = lists.flatten().to_numpy(), len(ids)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    rows, places = np.repeat(np.arange(m), lengths), np.arange(len(flat)) - np.repeat(bounds[:-1], lengths)
+    order = np.argsort(flat, kind="stable")
+    docs, at_place = rows[order], places[order]
+    heads = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+    counts = np.diff(np.append(heads, len(flat)))
+    run_of = np.empty(len(flat), np.int64)
+    run_of[order] = np.repeat(np.arange(len(heads)), counts)
+    beyond, out = sizes - lengths, []
+    for r in np.flatnonzero(block == i).tolist():
+        runs = run_of[bounds[r] : bounds[r + 1]]
+        spans = counts[runs]
+        at = np.arange(spans.sum()) + np.repeat(heads[runs] - (np.cumsum(spans) - spans), spans)
+        overlap = np.bincount(docs[at], minlength=m)
+        mine, theirs = np.zeros(m, np.int64), np.zeros(m, np.int64)  # last shared places
+        np.maximum.at(mine, docs[at], np.repeat(np.arange(len(runs)), spans))
+        np.maximum.at(theirs, docs[at], at_place[at])
+        after = np.minimum(sizes[r] - mine - 1, sizes - theirs - 1)
+        most = overlap + np.minimum(after, np.maximum(beyond, beyond[r]))
+        near = (overlap > 0) & (block == j) & (component != component[r]) & enough(most, sizes, sizes[r], percent)
+        if i == j:
+            near &= ids > ids[r]
+        out += [(int(min(ids[r], ids[k])), int(max(ids[r], ids[k]))) for k in np.flatnonzero(near).tolist() if tags[r].isdisjoint(tags[k])]
+    return out
+
+
 def _rest(documents: DataFrame, classes: DataFrame, blocks: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
     """Step 2: all links (a, b) between classes of different components of step 1 (``found``: id, component)."""
     labelled = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -203,20 +256,22 @@ def _rest(documents: DataFrame, classes: DataFrame, blocks: DataFrame, found: Da
     for _ in range(CORRECTIONS):
         common = corrected(documents, labelled, n, percent, common)
     parts = first_parts(documents, n, percent, common).join(labelled.select("doc_id", "component"), "doc_id")
-    postings = cut(parts.select("doc_id", "component", F.posexplode("grams").alias("place", "gram")), "join-postings")
+    parts = cut(parts.select("doc_id", "component", "grams"), "join-parts")
+    postings = parts.select("doc_id", "component", F.posexplode("grams").alias("place", "gram"))
     per = postings.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
-    per = per.select("gram", F.ceil(F.col("n") / BLOCK_POSTINGS).cast("int").alias("blocks"))
+    per = per.select("gram", F.when(F.col("n") > PAIRED, F.ceil(F.col("n") / PRODUCT_DOCUMENTS)).otherwise(1).cast("int").alias("blocks"), (F.col("n") > PAIRED).alias("hot"))
     live = cut(postings.drop("component").join(per, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "join-live")
     tags = blocks.select("doc_id", F.transform("keys", lambda k: F.xxhash64(k["i"], k["h"], k["b"])).alias("tags"))
-    live = live.join(labelled.join(tags, "doc_id", "left"), "doc_id").withColumn("tags", F.coalesce("tags", F.array().cast("array<long>")))
-    upper = F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j")
-    lower = F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i")
-    x = live.select("gram", F.col("block").alias("i"), upper, F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("place").alias("pa"), F.col("tags").alias("ta"))
-    y = live.select("gram", lower, F.col("block").alias("j"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("place").alias("pb"), F.col("tags").alias("tb"))
+    marks = labelled.join(tags, "doc_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<long>")))
+    hot = cut(_products(parts, live.filter("hot"), marks, percent), "join-pairs")
+    live = live.filter("NOT hot").join(marks, "doc_id")
+    side = lambda c: live.select("gram", F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"), F.col("size").alias(f"s{c}"), F.col("place").alias(f"p{c}"), F.col("tags").alias(f"t{c}"))
+    x, y = side("a"), side("b")
     # pairs that met in a block of step 1 are settled; sizes: 100 * min >= percent * max
-    pairs = x.join(y, ["gram", "i", "j"]).filter(
-        (F.col("ca") != F.col("cb")) & ~F.arrays_overlap("ta", "tb") & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b")))
+    pairs = x.join(y, "gram").filter(
+        (F.col("ca") != F.col("cb")) & ~F.arrays_overlap("ta", "tb") & (F.col("a") < F.col("b"))
         & (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
+        & (F.least("pa", "pb") + 1 + F.least(F.col("sa") - F.col("pa") - 1, F.col("sb") - F.col("pb") - 1) >= F.ceil(percent * (F.col("sa") + F.col("sb")) / F.lit(100 + percent)))
     )
     # overlap of the two parts, and the most that can follow: what lies beyond the last shared place of either set, and
     # beyond the part that ends first (n-grams up to there are counted in full); which part that is, is not known
@@ -226,7 +281,8 @@ def _rest(documents: DataFrame, classes: DataFrame, blocks: DataFrame, found: Da
         F.greatest(beyond("sa"), beyond("sb")).alias("beyond"), F.ceil(percent * (F.col("sa") + F.col("sb")) / F.lit(100 + percent)).alias("bound"),
     )
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.min("after").alias("after"), F.max("beyond").alias("beyond"), F.max("bound").alias("bound"))
-    pairs = cut(pairs.filter("overlap + least(after, beyond) >= bound").select("a", "b"), "join-pairs")
+    # a pair that also shares hot n-grams may be dropped here: the products, which see its whole parts, decide on it
+    pairs = cut(pairs.filter("overlap + least(after, beyond) >= bound").select("a", "b").union(hot).distinct(), "join-pairs")
     for bits in (16, 64):  # folded n-grams give a bound on the overlap at a quarter of the bytes
         pairs = _verified(documents, pairs, n, percent, bits)
         pairs = cut(pairs, "join-pairs") if bits < 64 else pairs
