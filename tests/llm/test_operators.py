@@ -205,7 +205,7 @@ def _brute_components(rows, n, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("blocks", [(1000, 32, 2000), (3, 32, 2000), (3, 1, 4)])
+@pytest.mark.parametrize("blocks", [(1000, 32, 2000), (3, 8, 30)])
 def test_ngram_join_equals_all_pairs(spark, empty, monkeypatch, blocks):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCUMENTS", blocks[0])
     monkeypatch.setattr(ngram_join, "PAIRED", blocks[1])
