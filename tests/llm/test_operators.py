@@ -125,6 +125,23 @@ def test_classifiers_handle_odd_rows(spark, odd, empty):
     assert quality_classifier.score(empty, labels).count() == 0
 
 
+def test_language_margin_does_not_shrink_with_length(spark):
+    """A clear text stays clear when it is long or repeats itself."""
+    rng = np.random.default_rng(8)
+    words = {lang: ["".join(rng.choice(list(letters), 5)) for _ in range(150)] for lang, letters in (("en", "abcdeghilm"), ("de", "nopqrstuvw"))}
+    text = lambda lang, n: " ".join(rng.choice(words[lang], n).tolist())
+    model = language_id.fit(spark.createDataFrame([(i, text(lang, 150), lang, "a", "x") for i, lang in enumerate(["en", "de"] * 60)], SCHEMA))
+    rows = []
+    for i, lang in enumerate(("en", "de")):
+        paragraph = text(lang, 300)
+        rows += [(10 * i, paragraph, lang, "a", "x"), (10 * i + 1, f"{paragraph} " * 400, lang, "a", "x"), (10 * i + 2, text(lang, 60000), lang, "a", "x")]
+        rows += [(10 * i + 3, (text(lang, 8) + " ") * 8000, lang, "a", "x")]
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert all(got[i].lang_pred == lang and not got[i].rejected for i, _, lang, *_ in rows)
+    for i in (0, 10):
+        assert min(got[i + 1].margin, got[i + 2].margin) > 0.7 * got[i].margin
+
+
 def test_token_ids_equal_the_library():
     from tokenizers import Tokenizer
 

@@ -52,16 +52,23 @@ def compressors(contents: list[bytes]) -> list[zstandard.ZstdCompressor]:
     return made
 
 
-def sizes(texts: DataFrame, contents: list[bytes], column: str = "text") -> DataFrame:
-    """doc_id, n_bytes and sizes (array: the whole text compressed with each dictionary); map-only."""
+def sizes(texts: DataFrame, contents: list[bytes], column: str = "text", chunk_bytes: int | None = None) -> DataFrame:
+    """doc_id, n_bytes and sizes (array: the whole text compressed with each dictionary); map-only.
+
+    With ``chunk_bytes``, consecutive chunks of so many bytes are compressed one by one and their sizes summed.
+    """
+
+    def size(compressor, text) -> int:
+        step = chunk_bytes or max(1, len(text))
+        return sum(len(compressor.compress(text[i : i + step])) for i in range(0, max(1, len(text)), step))
 
     def run(batches):
         made = compressors(contents)
         for batch in slices(batches, column):
-            rows = [x.as_buffer() for x in pc.cast(text_of(batch, column), pa.binary())]
-            found = np.array([[len(c.compress(x)) for c in made] for x in rows], np.int32).reshape(-1)
+            rows = [memoryview(x.as_buffer()) for x in pc.cast(text_of(batch, column), pa.binary())]
+            found = np.array([[size(c, x) for c in made] for x in rows], np.int32).reshape(-1)
             offsets = np.arange(len(rows) + 1, dtype=np.int32) * len(made)
-            n = pa.array([x.size for x in rows], pa.int64())
+            n = pa.array([len(x) for x in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.ListArray.from_arrays(offsets, pa.array(found, pa.int32()))], ["doc_id", "n_bytes", "sizes"])
 
     return texts.select("doc_id", column).mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, n_bytes long, sizes array<int>")

@@ -2,7 +2,9 @@
 
 Each language has a zstandard raw-content dictionary of its own text. A text belongs to the language whose dictionary
 makes it smallest, after the bytes that naming the language itself costs (minus log2 of its share, in bytes), which
-parts ties of very short texts; a narrow margin to the second best is a rejection. Case is folded first.
+parts ties of very short texts; a narrow margin to the second best is a rejection. Case is folded first. Texts are
+compressed in chunks that do not see each other: else a long text would match itself instead of the dictionary, and the
+difference between languages would not grow with its length.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from .compression import dictionaries, excerpts, sizes
 
 #: Excerpts of 1 KiB per language that the dictionaries are built from.
 PER_LANGUAGE = 96
+#: Bytes of a text that are compressed at a time.
+CHUNK_BYTES = 1 << 10
 
 
 def fit(documents: DataFrame, label: str = "lang") -> dict[str, tuple[bytes, float]]:
@@ -29,7 +33,7 @@ def fit(documents: DataFrame, label: str = "lang") -> dict[str, tuple[bytes, flo
 def predict(documents: DataFrame, model: dict[str, tuple[bytes, float]], slope: float = 60.0, least_margin: float = 0.0005) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, margin, rejected.
 
-    margin: by how much smaller the best size is than the second best, relative to the text's bytes. score: a logistic
+    margin: by how much smaller the best size is than the second best, relative to the text's bytes, sizes being sums over chunks of CHUNK_BYTES. score: a logistic
     curve of the margin, from 1 / number of languages (margin 0) towards 1; with one language 1. rejected: ``und``, or
     a margin under ``least_margin``. Null texts, texts without a letter and every text under an empty model get ``und``,
     score 0. Ties go to the label first in code point order. Repeated rows are scored alike; other columns are ignored.
@@ -38,7 +42,7 @@ def predict(documents: DataFrame, model: dict[str, tuple[bytes, float]], slope:
     letters = F.coalesce(F.col("text"), F.lit("")).rlike("\\p{L}")
     if not labels:
         return documents.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("margin"), F.lit(True).alias("rejected"))
-    found = sizes(documents.select("doc_id", F.when(letters, F.lower("text")).alias("text")), [model[k][0] for k in labels])
+    found = sizes(documents.select("doc_id", F.when(letters, F.lower("text")).alias("text")), [model[k][0] for k in labels], chunk_bytes=CHUNK_BYTES)
     costs = F.array(*[F.lit(model[k][1]) for k in labels])
     ranked = F.array_sort(F.transform("sizes", lambda x, i: F.struct((x + F.get(costs, i)).alias("size"), i.alias("i"))))
     best = found.withColumn("ranked", ranked).withColumn("known", F.col("n_bytes") > 0)
