@@ -113,6 +113,27 @@ def test_toxicity_learns_terms_and_handles_odd_rows(spark, odd, empty):
     assert toxicity.score(empty, known).count() == 0
 
 
+def test_clean_word_near_a_term_leaves_other_misspellings(spark):
+    """Clean documents use 'oron', one edit from the term 'moron'; 'm0ron' and 'morron' are still misspellings of it."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "r", "l", "sten")]
+    rows, labels = [], []
+    for i in range(360):
+        w = rng.choice(vocabulary, 60).tolist()
+        if i >= 300:
+            w[int(rng.integers(60))] = ("m0ron", "morron", "oron")[i % 3]
+        elif i % 3 == 0:
+            w[int(rng.integers(60))] = "moron"
+        elif i % 3 == 1:
+            w[int(rng.integers(60))] = "oron"
+        rows.append((i, " ".join(w), "en", "a", "x"))
+        labels.append((i, int(i % 3 == 0)))
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, known.filter("doc_id < 300")).collect()}
+    assert all((got[i] >= 0.5) == (i % 3 < 2) for i in range(300, 360))
+    assert all((got[i] >= 0.5) == (i % 3 == 0) for i in range(300))
+
+
 def test_classifiers_handle_odd_rows(spark, odd, empty):
     model = language_id.fit(odd)
     got = {r.doc_id: r for r in language_id.predict(odd, model).collect()}

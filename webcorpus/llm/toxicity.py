@@ -82,7 +82,8 @@ def learn_lexicon(documents: DataFrame, known: DataFrame) -> list[tuple[str, boo
 def hits(documents: DataFrame, lexicon: list[tuple[str, bool, float]]) -> DataFrame:
     """One row per document: doc_id, n_tokens and ``found``; map-only.
 
-    found: array of (place, term, distance, weight, quoted), place counting the text's words from 0.
+    found: array of (place, token, term, distance, weight, quoted), place counting the text's words from 0, token the word
+    as it is written there.
     """
     automaton = LexiconAutomaton([x[:2] for x in lexicon])
 
@@ -114,11 +115,11 @@ def hits(documents: DataFrame, lexicon: list[tuple[str, bool, float]]) -> DataFr
                 for place in own.tolist():
                     code = int(codes[index[place]]) - 1
                     weight, quoted = weigh(place - lo, 0, hi - lo, raws, toks, moved)
-                    found[row].append({"place": place - first, "term": lexicon[code // 3][0], "distance": code % 3, "weight": weight * lexicon[code // 3][2], "quoted": quoted})
-            kind = pa.struct([("place", pa.int64()), ("term", pa.string()), ("distance", pa.int32()), ("weight", pa.float64()), ("quoted", pa.bool_())])
+                    found[row].append({"place": place - first, "token": toks[place - lo], "term": lexicon[code // 3][0], "distance": code % 3, "weight": weight * lexicon[code // 3][2], "quoted": quoted})
+            kind = pa.struct([("place", pa.int64()), ("token", pa.string()), ("term", pa.string()), ("distance", pa.int32()), ("weight", pa.float64()), ("quoted", pa.bool_())])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(found, pa.list_(kind))], ["doc_id", "n_tokens", "found"])
 
-    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, n_tokens long, found array<struct<place: long, term: string, distance: int, weight: double, quoted: boolean>>"
+    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, n_tokens long, found array<struct<place: long, token: string, term: string, distance: int, weight: double, quoted: boolean>>"
     return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -131,31 +132,33 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``labels`` (doc_id, toxic) holds the rows to learn from; rows with a null id or label are ignored. With no rows of
     one label the score is the share of label 1 (0 without any). Null and empty texts have no hits and get the curve's
-    value there; repeated rows are scored alike; other columns are ignored.
+    value there; repeated rows are scored alike; other columns are ignored. A misspelling counts as its term does, unless
+    that very word is used in the sample's label-0 documents at more than a twentieth of its rate in those of label 1.
     """
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     known = cut(known, "toxic-labels")
     lexicon = learn_lexicon(documents.select("doc_id", "text"), known)
     found = cut(hits(documents, lexicon), "toxic-hits")
     sample = bounded_sample(known, 22, FIT_ROWS)
-    # misspellings of a term that meet other documents too are not counted
-    seen = found.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", F.explode("found").alias("x")).filter("x.distance > 0")
-    seen = seen.groupBy("x.term", "x.distance").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).filter("20 * c > t")
-    wrong = [f"{r['term']}/{r['distance']}" for r in seen.collect()]  # at most two per term of the lexicon
-    right = lambda x: ~F.concat_ws("/", x["term"], x["distance"].cast("string")).isin(wrong)
+    # words near a term that other documents use (unquoted) are their own words; other misspellings of the term still count
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    near = F.array_distinct(F.transform(F.filter("found", lambda x: (x["distance"] > 0) & ~x["quoted"]), lambda x: x["token"]))
+    seen = found.join(F.broadcast(sample), "doc_id").select("toxic", F.explode(near).alias("token"))
+    seen = seen.groupBy("token").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    own = [r["token"] for r in seen.filter(F.col("c") * 20 * n.get(1, 0) > F.col("t") * n.get(0, 0)).collect()]  # near-misses of the sample's rows
+    right = lambda x: (x["distance"] == 0) | ~x["token"].isin(own)
     found = found.withColumns(
         {
-            "exact": _sum(lambda x: (x["distance"] == 0) & ~x["quoted"]),
-            "misspelled": _sum(lambda x: (x["distance"] > 0) & ~x["quoted"] & right(x)),
-            "quoted": _sum(lambda x: x["quoted"] & ((x["distance"] == 0) | right(x))),
+            "direct": _sum(lambda x: ~x["quoted"] & right(x)),
+            "quoted": _sum(lambda x: x["quoted"] & right(x)),
         }
     )
-    signals = [F.log1p("exact"), F.log1p("misspelled"), F.log1p("quoted")]
+    signals = [F.log1p("direct"), F.log1p("quoted")]
     rows = found.join(F.broadcast(sample), "doc_id").groupBy("toxic", *[F.round(x, 6).alias(f"x{i}") for i, x in enumerate(signals)]).agg(F.count("*").alias("n"))
-    data = rows.toPandas().to_numpy(float)  # at most FIT_ROWS rows of 5 numbers
+    data = rows.toPandas().to_numpy(float)  # at most FIT_ROWS rows of 4 numbers
     if not len(data):
         return found.withColumn("score", F.lit(0.0))
     if len(np.unique(data[:, 0])) < 2:
         return found.withColumn("score", F.lit(float(data[0, 0])))
-    beta = fit_logistic(data[:, 1:4], data[:, 0], data[:, 4], ridge=0.01)
+    beta = fit_logistic(data[:, 1:3], data[:, 0], data[:, 3], ridge=0.01)
     return found.withColumn("score", logistic(signals, beta))
