@@ -134,6 +134,26 @@ def test_clean_word_near_a_term_leaves_other_misspellings(spark):
     assert all((got[i] >= 0.5) == (i % 3 == 0) for i in range(300))
 
 
+def test_misspelled_starts_of_stems_are_found(spark):
+    """The stem 'grom' covers five words; errors inside its four letters are still found."""
+    rng = np.random.default_rng(10)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfk" for b in "aeiou" for c in ("n", "r", "l", "sten")]
+    full, wrong = ["gromaduk", "gromileta", "gromosser", "gromybank", "gromefield"], ["gorm", "gr0m", "grm", "grrom"]
+    rows, labels = [], []
+    for i in range(330):
+        w = rng.choice(vocabulary, 60).tolist()
+        if i % 3 == 0:
+            term = full[i // 3 % 5]
+            w[int(rng.integers(60))] = term if i < 270 else wrong[i // 3 % 4] + term[4:]
+        rows.append((i, " ".join(w), "en", "a", "x"))
+        labels.append((i, int(i % 3 == 0)))
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    known = known.filter("doc_id < 270")
+    assert ("grom", True) in [x[:2] for x in toxicity.learn_lexicon(docs, known)]
+    got = {r.doc_id: r.score for r in toxicity.score(docs, known).collect()}
+    assert all((got[i] >= 0.5) == (i % 3 == 0) for i in range(330))
+
+
 def test_classifiers_handle_odd_rows(spark, odd, empty):
     model = language_id.fit(odd)
     got = {r.doc_id: r for r in language_id.predict(odd, model).collect()}

@@ -6,6 +6,7 @@ import numpy as np
 
 #: Spelling errors allowed in a term of at least so many characters.
 ERRORS = ((8, 2), (5, 1))
+LEAST_LENGTH = ERRORS[-1][0]
 MOST_STATES = 200_000
 
 

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .automaton import LexiconAutomaton
+from .automaton import LEAST_LENGTH, LexiconAutomaton
 from .common import bounded_sample, cut, fit_logistic, hash_share, logistic, slices, split_words, text_of, words
 
 #: Labelled rows that the lexicon is learned from (each label), and that the curve is fitted on.
@@ -40,7 +40,9 @@ def learn_lexicon(documents: DataFrame, known: DataFrame) -> list[tuple[str, boo
     A term needs 5 toxic documents and 4 % of them, at most half as many others, and a rate 100 times theirs. A stem (the
     first 4 to 7 characters of longer words) needs 15 times their rate, and four different words, none with most of its
     hits. The weight (up to 1) grows with the logarithm of that ratio.
-    Terms that a shorter stem covers are left out. At most (words per document / 0.04) terms can qualify.
+    Terms that a shorter stem covers are left out. At most (words per document / 0.04) terms can qualify. A stem is
+    matched without errors, so the words seen under it in toxic documents follow as terms of its weight, unless others
+    hold more than half as many; they carry its misspellings.
     """
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(1) or not counts.get(0):
@@ -76,6 +78,14 @@ def learn_lexicon(documents: DataFrame, known: DataFrame) -> list[tuple[str, boo
         # a longer form is left out if a stem covers it and tells as much
         if not any(s and term.startswith(x) and w <= v + 0.1 for x, s, v in kept):
             kept.append((term, stem, w))
+    under = {x: v for x, s, v in reversed(kept) if s}
+    if not under:
+        return kept
+    known_terms = {x for x, *_ in kept}
+    full = vocabulary.filter("t > 0 AND 2 * c <= t").filter(F.length("term") >= LEAST_LENGTH).filter(F.exists(prefixes, lambda x: x["p"].isin(list(under))))
+    for term in sorted(r["term"] for r in full.collect()):  # words of the sample
+        if term not in known_terms:
+            kept.append((term, False, next(under[term[:k]] for k in STEM_LENGTHS if term[:k] in under)))
     return kept
 
 
@@ -133,7 +143,8 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     ``labels`` (doc_id, toxic) holds the rows to learn from; rows with a null id or label are ignored. With no rows of
     one label the score is the share of label 1 (0 without any). Null and empty texts have no hits and get the curve's
     value there; repeated rows are scored alike; other columns are ignored. A misspelling counts as its term does, unless
-    that very word is used in the sample's label-0 documents at more than a twentieth of its rate in those of label 1.
+    that very word is used in the sample's label-0 documents at more than a twentieth of its rate in those of label 1;
+    a word not seen in two toxic ones counts less the more words of others are near the same term.
     """
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     known = cut(known, "toxic-labels")
@@ -142,15 +153,21 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     sample = bounded_sample(known, 22, FIT_ROWS)
     # words near a term that other documents use (unquoted) are their own words; other misspellings of the term still count
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    near = F.array_distinct(F.transform(F.filter("found", lambda x: (x["distance"] > 0) & ~x["quoted"]), lambda x: x["token"]))
-    seen = found.join(F.broadcast(sample), "doc_id").select("toxic", F.explode(near).alias("token"))
-    seen = seen.groupBy("token").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    own = [r["token"] for r in seen.filter(F.col("c") * 20 * n.get(1, 0) > F.col("t") * n.get(0, 0)).collect()]  # near-misses of the sample's rows
-    right = lambda x: (x["distance"] == 0) | ~x["token"].isin(own)
+    near = F.array_distinct(F.transform(F.filter("found", lambda x: (x["distance"] > 0) & ~x["quoted"]), lambda x: F.struct(x["token"], F.concat_ws("/", x["term"], x["distance"]).alias("key"))))
+    seen = found.join(F.broadcast(sample), "doc_id").select("toxic", F.explode(near).alias("x"))
+    seen = seen.groupBy("x.key", "x.token").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    seen = seen.withColumn("own", F.col("c") * 20 * n.get(1, 0) > F.col("t") * n.get(0, 0)).toPandas()  # near-misses of the sample's rows
+    own, meant = seen[seen.own].token.tolist(), seen[~seen.own & (seen.t > 1)].token.tolist()
+    # a word seen in at most one document counts by the share of misspellings among the words seen as near to that term
+    trust = {k: float((2 + (~x).sum()) / (2 + len(x))) for k, x in seen.groupby("key").own if x.any()}
+    shares = F.create_map(*[F.lit(x) for kv in (trust or {"": 1.0}).items() for x in kv])
+    new = lambda x: F.coalesce(F.element_at(shares, F.concat_ws("/", x["term"], x["distance"])), F.lit(1.0))
+    right = lambda x: F.when((x["distance"] == 0) | x["token"].isin(meant), 1.0).when(x["token"].isin(own), 0.0).otherwise(new(x))
+    found = found.withColumn("found", F.transform("found", lambda x: x.withField("weight", x["weight"] * right(x))))
     found = found.withColumns(
         {
-            "direct": _sum(lambda x: ~x["quoted"] & right(x)),
-            "quoted": _sum(lambda x: x["quoted"] & right(x)),
+            "direct": _sum(lambda x: ~x["quoted"]),
+            "quoted": _sum(lambda x: x["quoted"]),
         }
     )
     signals = [F.log1p("direct"), F.log1p("quoted")]
