@@ -299,6 +299,15 @@ def test_search_recall_ties_and_bad_vectors(spark):
     assert one_bit_search.search(df.filter("vec_id < 0"), df, 20).count() == 0
 
 
+def test_search_takes_the_length_from_the_searched_table(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((60, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    mixed = [(100 + i, v.tolist()) for i, v in enumerate(rng.standard_normal((6, 16)))] + [(i, x[i].tolist()) for i in range(3)]
+    got = one_bit_search.search(vectors, spark.createDataFrame(mixed, "vec_id long, embedding array<double>"), 5).toPandas()
+    assert set(got.query_id) == {0, 1, 2} and np.allclose(got.score, (x[got.query_id] * x[got.vec_id]).sum(axis=1))
+
+
 def test_url_intervals_and_odd_captures(spark):
     entries = spark.createDataFrame(
         [("m", "Bad.com", "add", 10), ("m", "bad.com", "add", 12), ("m", "bad.com", "remove", 20), ("m", "bad.com", "add", 30), ("a", "ok.org/x", "add", 5), ("a", None, "add", 1), ("a", "z.org", "what", 1)],

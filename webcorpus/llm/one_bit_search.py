@@ -56,11 +56,13 @@ def estimate(query: np.ndarray, codes, lengths, fits, ones, centre: np.ndarray,
     return float(query @ centre) + lengths * signed / fits, lengths * spread / fits
 
 
-def valid(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """key, v (array<double>): vectors that take part, and only those of the commonest length (ties: the longer)."""
+def valid(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", dim: int | None = None) -> DataFrame:
+    """key, v (array<double>): vectors that take part, only those of ``dim`` components (else the commonest length, ties: the longer)."""
     v = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     v = v.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite) & F.exists("v", lambda x: x != 0))
+    if dim is not None:
+        return v.filter(F.size("v") == dim)
     sizes = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     return v.filter(F.size("v") == (sizes["d"] if sizes else 0))
 
@@ -82,14 +84,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     Both have vec_id and embedding; a query is not its own neighbour. Nearness is the inner product of the original
     components in double precision, ties go to the smaller vec_id; all candidates, if fewer than ``k``. Null, zero and
-    non-finite vectors take no part; with mixed lengths only the commonest does. Of equal vectors only the k + 1 with
+    non-finite vectors take no part; with mixed lengths only the commonest of ``vectors`` does, among the queries too. Of equal vectors only the k + 1 with
     the smallest ids can be among anyone's nearest, so a hot vector is cut to those before the search. Repeated ids count
     once. An empty table gives no rows. Blocks of queries meet blocks of vectors: work is queries x vectors bit
     operations, memory one block of each.
     """
     spark = vectors.sparkSession
     base = cut(valid(vectors).dropDuplicates(["vec_id"]), "search-vectors")
-    asked = cut(valid(queries).dropDuplicates(["vec_id"]), "search-queries")
+    first = base.first()
+    asked = cut(valid(queries, dim=len(first["v"]) if first else 0).dropDuplicates(["vec_id"]), "search-queries")
     sample = bounded_sample(base, 31, CENTRE_ROWS, "vec_id").toPandas()
     if sample.empty or not asked.take(1):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
