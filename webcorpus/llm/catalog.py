@@ -16,4 +16,4 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-from . import queries  # noqa: E402, F401
+from . import queries, queries_search  # noqa: E402, F401
