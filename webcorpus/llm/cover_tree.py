@@ -27,6 +27,8 @@ from .vectors import binary_rows, matrix, part, rows_of, units, width
 
 #: Separation of the nets, halving; rows of a block; rows that the upper tree is fitted on; most cells of each kind.
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
+#: Nets of this separation or more are kept only where they halve the number of nodes.
+WIDE = 1.0
 BLOCK_ROWS, SAMPLE_ROWS, MOST_CELLS, MOST_DENSE = 8192, 4096, 1024, 256
 #: Slack of bounds in double and in single precision.
 SLACK, SLACK32 = 1e-9, 1e-5
@@ -80,6 +82,8 @@ def build(points: np.ndarray, weight: np.ndarray) -> list[Level]:
     nets, centres = [], []
     for radius in RADII:
         centres = net(points, centres, radius)
+        if radius == WIDE / 2 and 2 * len(nets[-1]) > len(centres):
+            nets.pop()  # a wide net that hardly joins anything: its balls would meet everywhere and decide nothing
         nets.append(np.array(centres))
         if len(centres) == len(points):
             break
@@ -171,19 +175,36 @@ def traverse(a: np.ndarray, a_levels: list[Level], b: np.ndarray, b_levels: list
             at = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
             descend(k + 1, ao[a0[p[pair]] + at // bn[q[pair]]], bo[b0[q[pair]] + at % bn[q[pair]]])
 
+    # the coarsest nets meet whole, in single precision; nodes without radius have one bound for all
     x, y = a_levels[0], b_levels[0]
-    left, right = a[x.centre].astype(np.float32), b[y.centre].astype(np.float32).T
-    rows = max(1, most // right.shape[1])
-    for i in range(0, len(left), rows):
-        reach = x.radius[i : i + rows, None] + (y.radius[None, :] + (limit + SLACK))
-        p, q = np.nonzero(left[i : i + rows] @ right >= (1 - slack32 - reach * reach / 2).astype(np.float32))
-        for j in range(0, len(p), step):
-            descend(0, p[j : j + step] + i, q[j : j + step])
+    for xs, ys in ((u, v) for u in _by_radius(x) for v in _by_radius(y)):
+        left, right = a[x.centre[xs]].astype(np.float32), b[y.centre[ys]].astype(np.float32).T.copy()
+        own, other = x.radius[xs].astype(np.float32), (y.radius[ys] + limit + SLACK).astype(np.float32)
+        rows = max(1, most // 8 // max(1, len(ys)))
+        plain = not own.any() and not y.radius[ys].any()
+        for i in range(0, len(xs), rows):
+            s = left[i : i + rows] @ right
+            if plain:
+                p, q = np.divmod(np.flatnonzero(s >= np.float32(cosine - slack32)), len(ys))
+            else:
+                least = own[i : i + rows, None] + other[None, :]
+                least *= least
+                least *= -0.5
+                least += np.float32(1 - slack32)
+                p, q = np.divmod(np.flatnonzero(s >= least), len(ys))
+            p, q = xs[p + i], ys[q]
+            for j in range(0, len(p), step):
+                descend(0, p[j : j + step], q[j : j + step])
     n = len(a) if same else len(a) + len(b)
     ends = [np.concatenate(c) for c in zip(*links, strict=True)] if links else [np.zeros(0, np.int64)] * 2
     return count_a, count_b, roots(n, *ends)
 
 
+def _by_radius(level: Level) -> list[np.ndarray]:
+    """The nodes without and with a radius (those that there are)."""
+    return [x for x in (np.flatnonzero(level.radius == 0), np.flatnonzero(level.radius > 0)) if len(x)]
+
+
 def _runs(n: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Runs of neighbours whose numbers sum up to about ``most`` (at least one each)."""
     group = np.cumsum(n) // most
