@@ -8,6 +8,7 @@ of each length and looks up their runs.
 
 from __future__ import annotations
 
+import zlib
 from collections import deque
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices, text_of
-from .token_ids import Encoder, with_end
+from .token_ids import SLICE_BYTES, Encoder, with_end
 
 CAPACITY = 2048
 #: The id after each document.
@@ -100,18 +101,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
-def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, checksums: bool = False) -> DataFrame:
     """Whole texts as ids (``tokenizer``: the content of a tokenizers JSON file), cut into pieces of ``capacity``.
 
-    Columns: doc_id, piece (from 0), start, length, ids (little-endian unsigned 32-bit), and the place of the piece:
-    part (its task) and nth (its number among pieces of its length in that task). Null text is empty: one piece with
-    the end id alone. Map-only.
+    Columns: doc_id, piece (from 0), start, length, ids (little-endian unsigned 32-bit; with ``checksums`` their unsigned crc32 as
+    ids_crc32 instead), and the place of the piece: part (its task) and nth (its number among pieces of its length in that
+    task). Null text is empty: one piece with the end id alone. Map-only.
     """
     from pyspark import TaskContext
 
     def run(batches):
         encoder, part, seen = Encoder.of(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             offsets, ids = with_end(*encoder.ids(text_of(batch)), end)
             sizes = np.diff(offsets)
             per = -(-sizes // capacity)
@@ -125,15 +126,20 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
             nth[order] = np.arange(len(by)) - np.repeat(heads, np.diff(np.append(heads, len(by)))) + seen[by]
             seen += np.bincount(length, minlength=capacity + 1)
             # ids of consecutive pieces lie one after another
-            bounds = np.append(offsets[row] + start, offsets[-1]).astype(np.int32) * 4
-            binary = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+            bounds = np.append(offsets[row] + start, offsets[-1]) * 4
+            if checksums:
+                data, edges = memoryview(ids).cast("B"), bounds.tolist()
+                content = pa.array([zlib.crc32(data[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.int64())
+            else:
+                content = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), binary, pa.array(np.full(len(row), part), pa.int64()), pa.array(nth)],
-                ["doc_id", "piece", "start", "length", "ids", "part", "nth"],
+                [batch.column("doc_id").take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), content, pa.array(np.full(len(row), part), pa.int64()), pa.array(nth)],
+                ["doc_id", "piece", "start", "length", name, "part", "nth"],
             )
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary, part long, nth long")
+    name, what = ("ids_crc32", "long") if checksums else ("ids", "binary")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, {name} {what}, part long, nth long")
 
 
 def assign(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -9,7 +9,7 @@ from webcorpus.sources.tables import load
 
 from . import language_id, mixing, ngram_join, one_bit_search, packing, quality_classifier, quality_rules, token_files, toxicity, url_filters
 from .catalog import register
-from .common import remainder
+from .common import cut, remainder
 
 
 
@@ -95,8 +95,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.cut(packing.pieces(load(spark, sf_dir, "documents"), tokenizer_json()), "pack-pieces")
-    return packing.assign(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.assign(cut(packing.pieces(load(spark, sf_dir, "documents"), tokenizer_json(), checksums=True), "pack-pieces"))
 
 
 @register("op7_token_files")

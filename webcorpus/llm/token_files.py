@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, shared_path, slices, text_of
-from .token_ids import Encoder, with_end
+from .token_ids import SLICE_BYTES, Encoder, with_end
 
 END = 2
 LEVEL = 3
@@ -148,7 +148,7 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end: int = END) ->
         n_documents = n_tokens = 0
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.ids.zst"
         encoder = Encoder.of(tokenizer)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             if writer is None:
                 out = open_uri(name, "w")
                 writer = Writer(out)
