@@ -10,7 +10,6 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -55,8 +54,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in packed sequences; the ids as a checksum."""
     ship(spark)
-    pieces = cut(packing.pieces(docs, tokenizer_json()), "pack-pieces")
-    return packing.assign(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.assign(cut(packing.pieces(docs, tokenizer_json(), checksums=True), "pack-pieces"))
 
 
 STAGES = [
