@@ -274,8 +274,8 @@ def content_type(nodes: str = "nodes", url: str = "url") -> Column:
     return F.expr(content_type_sql(_q(nodes), _q(url)))
 
 
-def extract_metadata(parsed: DataFrame, with_timestamp: bool = True) -> DataFrame:
-    """The article metadata record per page (empty strings / lists as defaults)."""
+def extract_metadata(parsed: DataFrame, with_timestamp: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """The article metadata record per page (empty strings / lists as defaults), after the columns ``keep``."""
     with_ld = parsed.withColumn("_ld", json_ld("nodes"))
     cols = [
         "page_id",
@@ -293,4 +293,4 @@ def extract_metadata(parsed: DataFrame, with_timestamp: bool = True) -> DataFram
     ]
     if with_timestamp:
         cols.append((F.unix_micros(F.current_timestamp()) / 1e6).alias("extracted_timestamp"))
-    return with_ld.select(*cols)
+    return with_ld.select(*(keep or []), *cols)

@@ -118,7 +118,7 @@ def status_report(log: DataFrame, with_map: bool = False) -> DataFrame:
     return out
 
 
-def throughput(log: DataFrame, bucket_rows: int = 1_000_000, every: int = 10) -> DataFrame:
+def throughput(log: DataFrame, every: int = 10, partitions: int | None = None) -> DataFrame:
     """A4 + W5: per site, in arrival order (seq): cumulative requests and bytes, elapsed
     seconds since the site's first response, requests/s and KB/s (0 when no time has
     passed).  ``report_point`` marks every ``every``-th request (the reference's progress
@@ -128,9 +128,9 @@ def throughput(log: DataFrame, bucket_rows: int = 1_000_000, every: int = 10) ->
         site,
         ["site"],
         ["seq"],
-        F.floor(F.col("seq") / F.lit(bucket_rows)),
         {"cum_bytes": F.coalesce(F.col("size_bytes"), F.lit(0)).cast("bigint")},
         count_col="cum_requests",
+        partitions=partitions,
     )
     start = site.groupBy("site").agg(F.min("ts").alias("_t0"))
     # wall-clock difference (no session time zone involved, so no DST shifts)
@@ -150,13 +150,12 @@ def throughput(log: DataFrame, bucket_rows: int = 1_000_000, every: int = 10) ->
     )
 
 
-def attempt_numbers(log: DataFrame, bucket: str = "minute") -> DataFrame:
-    """1-based attempt number per URL in (ts, seq) order, skew-safe for hot URLs: a URL's rows are split by
-    ``bucket``, a ``date_trunc`` unit of ts, so late rows fall in the bucket of their time, not of their arrival."""
-    return running_sums(log, ["url"], ["ts", "seq"], F.date_trunc(bucket, "ts"), {}, count_col="attempt_no")
+def attempt_numbers(log: DataFrame, partitions: int | None = None) -> DataFrame:
+    """1-based attempt number per URL in (ts, seq) order, skew-safe for hot URLs; late rows count at their time."""
+    return running_sums(log, ["url"], ["ts", "seq"], {}, count_col="attempt_no", partitions=partitions)
 
 
-def effective_delay(log: DataFrame, policy: RetryPolicy = DEFAULT_POLICY, bucket_rows: int = 1_000_000) -> DataFrame:
+def effective_delay(log: DataFrame, policy: RetryPolicy = DEFAULT_POLICY, partitions: int | None = None) -> DataFrame:
     """The adaptive delay in force after each response, per site in arrival order.
 
     Every retryable response with attempts left (F8) or rate-limit signal (F9) multiplies
@@ -167,8 +166,7 @@ def effective_delay(log: DataFrame, policy: RetryPolicy = DEFAULT_POLICY, bucket
     bump = is_retryable(F.col("status_code"), F.col("attempt"), policy) | is_rate_limited(F.col("status_code"), err)
     site = log.withColumn("site", U.get_domain("url")).withColumn("backoff", bump)
     run = running_sums(
-        site, ["site"], ["seq"], F.floor(F.col("seq") / F.lit(bucket_rows)),
-        {"backoffs": F.col("backoff").cast("bigint")},
+        site, ["site"], ["seq"], {"backoffs": F.col("backoff").cast("bigint")}, partitions=partitions,
     )
     delay = F.least(
         F.lit(policy.max_delay), F.lit(policy.request_delay) * F.pow(F.lit(policy.backoff_factor), F.col("backoffs"))

@@ -1,28 +1,29 @@
-"""Breadth-first crawl over a corpus of fetched pages.
+"""Breadth-first crawl over a corpus of fetched pages.
 
 The reference pops a FIFO queue: each URL is visited once, at most ``max_pages`` visits
 (failed and non-HTML ones count), links are enqueued in page order then link order.
-Level-synchronous BFS gives exactly that order: a URL's place is (level, parent's place,
-link position), kept here as an ``array<int>`` path that sorts lexicographically, so
-no global row numbering is ever needed.
-
-Per level: frontier ⋈ page keys (the "fetch"), ⋈ edges (links of the fetched pages),
-min path per target (a grouped aggregate), anti-join against everything seen, and the
-remaining budget.  The edge table is hash-partitioned by page and checkpointed once,
-so every level shuffles only the (small) frontier; each level's state is checkpointed
-to ``spark.checkpoint.dir`` to cut lineage and survive executor loss.
+Level-synchronous BFS gives exactly that order: a URL's place in its level is its first
+parent's place, then the link's position, kept as a short array of numbers; whenever it
+grows past ``MAX_PLACE`` the level is numbered anew (``windows.number_rows``).
+
+One round joins the frontier with the adjacency lists, one or several levels deep, keeps
+the first place per URL (a grouped aggregate) and drops what has been visited.  Lists are
+hash-partitioned by page, visited URLs by URL, both checkpointed with their partitioning,
+so a round shuffles only the rows of the round.  While levels stay small and do not grow,
+a round takes several levels at once; their number changes the speed only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..session import checkpoint_dir
+from .exclusion import exclude_by_table
 from .html import parse_pages
 from .links import anchors, links_from_anchors, summary_columns
-from .windows import top_k_per_group
+from .windows import number_rows
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -32,103 +33,169 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def exclude_urls(df: DataFrame, patterns: list[str], url_col: str = "url") -> DataFrame:
-    """drop URLs matching any of the regexes (one alternation; a large pattern table
-    would instead be joined and anti-joined)."""
+def exclude_urls(df: DataFrame, patterns: list[str] | DataFrame, url_col: str = "url") -> DataFrame:
+    """drop URLs matching any of the regexes: a short list is one alternation; a table (column ``pattern``) of
+    any length goes through ``exclusion.exclude_by_table``."""
+    if isinstance(patterns, DataFrame):
+        return exclude_by_table(df, patterns, url_col)
     if not patterns:
         return df
     joined = "|".join(f"(?:{p})" for p in patterns)
     return df.where(~F.coalesce(F.col(url_col).rlike(joined), F.lit(False)))
 
 
-def _in_scope(target: Column, start_url: str, scope: str) -> Column:
-    if scope == "any":
-        return F.lit(True)
-    origin = U.origin(F.lit(start_url))
-    if scope == "prefix":  # the reference's string-prefix test (Q4)
-        return target.startswith(origin)
-    return U.origin(target) == origin
+#: Levels of a round at most, rows of a level up to which a round may have several, numbers in a place.
+MAX_HOPS, SMALL_LEVEL, MAX_PLACE = 8, 10_000, 16
+
+
+def _seed_rows(spark: SparkSession, seeds) -> DataFrame:
+    """url, seq: a URL, URLs in order, or a table with ``url`` (in order of ``seq`` if it has one, else of url)."""
+    if isinstance(seeds, str):
+        seeds = [seeds]
+    if isinstance(seeds, DataFrame):
+        rows = seeds.select("url", (F.col("seq").cast("bigint") if "seq" in seeds.columns else F.lit(0).cast("bigint")).alias("seq"))
+    else:
+        rows = spark.createDataFrame(list(enumerate(seeds)), "seq bigint, url string").select("url", "seq")
+    return rows.where(F.col("url").isNotNull()).groupBy("url").agg(F.min("seq").alias("seq"))
+
 
+def in_scope(edges: DataFrame, seeds: DataFrame, scope: str, target: str = "target") -> DataFrame:
+    """edges to targets of the seeds' sites: 'origin' (same scheme and host), 'prefix' (the target begins with a
+    seed's scheme://host, so look-alike hosts pass: the reference's test, Q4) or 'any'.
 
-def crawl_edges(info: DataFrame, start_url: str, scope: str = "origin", drop_fragment: bool = True,
-                exclude: list[str] | None = None) -> DataFrame:
-    """H4 + F2 + F4 + U8 (+F5): (page_id, pos, target) for every crawlable link of every page
-    (``info`` carries each page's ``anchors`` array)."""
+    Only distinct origins meet the seeds' ones, never links; a row keeps its place whichever site it is of."""
+    if scope == "any":
+        return edges
+    bases = seeds.select(U.origin("url").alias("base")).distinct()
+    keyed = edges.withColumn("_origin", U.origin(target))
+    if scope == "origin":
+        return keyed.join(bases, F.col("_origin") == F.col("base"), "left_semi").drop("_origin")
+    found = keyed.select("_origin").distinct().where("_origin <> ''")
+    heads = found.select("_origin", F.explode(F.transform(F.sequence(F.lit(1), F.length("_origin")), lambda n: F.left("_origin", n))).alias("base"))
+    ok = heads.join(bases, "base", "left_semi").select("_origin").distinct()
+    return keyed.join(ok, "_origin", "left_semi").drop("_origin")
+
+
+def crawl_edges(info: DataFrame, seeds: DataFrame, scope: str = "origin", drop_fragment: bool = True,
+                exclude: list[str] | DataFrame | None = None) -> DataFrame:
+    """H4 + F2 + F4 + U8 (+F5): (page_id, pos, target) for every crawlable link of every page, the first place per
+    (page, target) (``info`` carries each page's ``anchors`` array)."""
     links = links_from_anchors(info)
     href = F.col("href")
     e = links.where(~href.startswith("#") & ~href.startswith("javascript:"))
-    e = e.where(_in_scope(F.col("url"), start_url, scope))
     target = U.strip_query("url")
     if drop_fragment:
         target = U.drop_fragment(target)
-    e = e.select("page_id", "pos", target.alias("target"))
-    return exclude_urls(e, exclude or [], "target")
+    e = in_scope(e.select("page_id", "pos", "url"), seeds, scope, "url")
+    e = e.select("page_id", "pos", target.alias("target")).groupBy("page_id", "target").agg(F.min("pos").alias("pos"))
+    return exclude_urls(e, exclude, "target") if exclude is not None else e
+
+
+def _visits(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, status_code, content_type, outcome: what a visit of each page of the corpus gives."""
+    status = F.col("status_code").cast("int") if "status_code" in pages.columns else F.lit(200)
+    kind = F.col("content_type") if "content_type" in pages.columns else F.lit("text/html")
+    rows = pages.select("page_id", "url", "html", status.alias("status_code"), kind.alias("content_type"))
+    html = F.coalesce(F.col("content_type").contains("text/html"), F.lit(False))
+    return rows.withColumn("outcome", F.when(F.col("status_code").isNull(), "failed").when(html, "page").otherwise("not_html"))
+
 
+def crawl(pages: DataFrame, seeds, max_pages: int | None = None, scope: str = "origin", drop_fragment: bool = True,
+          exclude: list[str] | DataFrame | None = None, partitions: int | None = None, keep_failed: bool = False) -> DataFrame:
+    """BFS from ``seeds`` over ``pages(page_id, url, html[, status_code, content_type])``.
 
-def crawl(pages: DataFrame, start_url: str, max_pages: int = 1000, scope: str = "origin",
-          drop_fragment: bool = True, exclude: list[str] | None = None, edge_partitions: int | None = None,
-          keep_failed: bool = False, broadcast_rows: int = 200_000) -> DataFrame:
-    """BFS from ``start_url`` over ``pages(page_id, url, html)``.
+    ``seeds`` is a URL, a list of URLs in order, or a table (url[, seq]); they form the first level. Every URL is visited once, in FIFO order, until
+    ``max_pages`` visits (None: no bound). A page answers for all URLs of its key (the smallest page_id of a key does). A visit of a
+    URL without a page or without a status is failed; one whose content type does not contain 'text/html' is not_html;
+    both use budget, have no links and stay out of the result. Any status counts as an answer, as in the reference. Without the columns
+    every page is a 200 'text/html'.
 
-    Returns the visited HTML pages (``keep_failed`` also returns the visits that found no
-    page): url, depth, order (the BFS order key), page_id, title, description,
-    status_code, content_type.
+    Returns the visited pages: url, depth, order (0, 1, 2, … over all visits), page_id, title, description, status_code,
+    content_type; with ``keep_failed`` all visits and their ``outcome``. No pages or seeds: no rows.
     """
     spark = pages.sparkSession
     checkpoint_dir(spark)
-    # one parse: per page its title/description and anchors, checkpointed (small next to html)
-    parsed = parse_pages(pages.select("page_id", "url", "html"))
-    info = parsed.select("page_id", "url", *summary_columns(F.col("nodes")), anchors("nodes").alias("anchors"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    visits = _visits(pages)
+    # one parse, of the pages whose html counts: title, description and anchors (small next to html)
+    parsed = parse_pages(visits.withColumn("html", F.when(F.col("outcome") == "page", F.col("html"))))
+    info = parsed.select("page_id", "url", "status_code", "content_type", "outcome", *summary_columns(F.col("nodes")), anchors("nodes").alias("anchors"))
     info = info.checkpoint()
-    nparts = edge_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the "fetch": url key → smallest page id with that key
-    keys = (pages.select(U.url_key("url").alias("key"), "page_id").groupBy("key")
-            .agg(F.min("page_id").alias("page_id")).repartition(nparts, "key").checkpoint())
-    # each edge's target is looked up in the corpus once, here, instead of once per level
-    edges = crawl_edges(info, start_url, scope, drop_fragment, exclude)
-    edges = (edges.withColumn("key", U.url_key("target"))
-             .join(keys.withColumnRenamed("page_id", "target_page_id"), "key", "left").drop("key"))
-    edges = edges.repartition(nparts, "page_id").checkpoint()
-    summary = info.select("page_id", "title", "description")
-
-    def fetch(df: DataFrame, depth: int) -> DataFrame:
-        """The visit: look the url's key up in the corpus (a missing page is a failed visit)."""
-        return (df.withColumn("key", U.url_key("url")).join(keys, "key", "left").drop("key")
-                .withColumn("depth", F.lit(depth)).checkpoint())
-
-    level = fetch(spark.createDataFrame([(start_url, [])], "url string, path array<int>"), 0)
-    parts: list[DataFrame] = []
-    depth, used = 0, 0
-    while used < max_pages:
-        n = level.count()
-        if n == 0:
-            break
-        remaining = max_pages - used
-        if n > remaining:  # the budget cuts this level: the first `remaining` in BFS order
-            level = top_k_per_group(level, [], ["path"], remaining).checkpoint()
-            n = remaining
-        parts.append(level)
-        used += n
-        if used >= max_pages:
-            break
-        visited = _union(parts)
-        # sizes are known exactly here, so small sides are broadcast on that proof
-        lv = level.where(F.col("page_id").isNotNull()).select("page_id", F.col("path").alias("ppath"))
-        lv = F.broadcast(lv) if n <= broadcast_rows else lv
-        vis = F.broadcast(visited.select("url")) if used <= broadcast_rows else visited.select("url")
-        cand = (lv.join(edges, "page_id")
-                .groupBy(F.col("target").alias("url"))
-                .agg(F.min(F.concat("ppath", F.array(F.col("pos")))).alias("path"),
-                     F.min("target_page_id").alias("page_id")))
-        depth += 1
-        level = cand.join(vis, "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if len(parts) % 16 == 0:  # keep the union plan short
-            parts = [_union(parts).checkpoint()]
-    visited = _union(parts) if parts else level.limit(0)
-    out = visited if keep_failed else visited.where(F.col("page_id").isNotNull())
-    out = out.join(summary.select("page_id", "title", "description"), "page_id", "left")
-    ok = F.col("page_id").isNotNull()
-    return out.select(
-        "url", "depth", F.col("path").alias("order"), "page_id", "title", "description",
-        F.when(ok, F.lit(200)).alias("status_code"), F.when(ok, F.lit("text/html")).alias("content_type"),
-    )
+    keys = (info.select(U.url_key("url").alias("key"), "page_id").groupBy("key").agg(F.min("page_id").alias("page_id"))
+            .repartition(n, "key").checkpoint())
+    seed_rows = _seed_rows(spark, seeds)
+
+    def with_page(df: DataFrame, url: str) -> DataFrame:
+        return df.withColumn("key", U.url_key(url)).join(keys, "key", "left").drop("key")
+
+    # adjacency lists; each target is looked up in the corpus once, here, instead of once per level. A distinct
+    # (page, target) has one row, and a hot target is looked up once
+    edges = crawl_edges(info.where("outcome = 'page'"), seed_rows, scope, drop_fragment, exclude)
+    known = with_page(edges.select("target").distinct(), "target").withColumnRenamed("page_id", "target_page_id")
+    lists = edges.join(known, "target").repartition(n, "page_id").groupBy("page_id").agg(
+        F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), "target", "target_page_id")).alias("links"))
+    lists = lists.sortWithinPartitions("page_id").checkpoint()
+
+    first = number_rows(seed_rows, ["seq", "url"], "number")
+    level = with_page(first.select("url", F.array("number").alias("place")), "url")
+    level = level.select("url", "place", "page_id", F.lit(0).alias("depth")).repartition(n, "url").checkpoint()
+    seen, taken, hops = [level], [level], 1
+    size, used, depth, width = level.count(), 0, 0, 1
+    if max_pages is not None and size > max_pages:
+        return _result(_cut(level, max_pages), info, keep_failed)
+    used = size
+    while size and (max_pages is None or used < max_pages):
+        if width > MAX_PLACE:  # level: all visits of the greatest depth
+            level, width = number_rows(level, ["place"], "number").withColumn("place", F.array("number")).drop("number"), 1
+        new = _round(level, lists, depth, hops, n)
+        for part in seen:
+            new = new.join(part.select("url"), "url", "left_anti")
+        new = new.checkpoint()
+        counts = {r.depth: r.n for r in new.groupBy("depth").agg(F.count("*").alias("n")).collect()}
+        for d in range(depth + 1, depth + hops + 1):
+            here = counts.get(d, 0)
+            if max_pages is not None and used + here > max_pages:
+                taken += [new.where(F.col("depth") < d), _cut(new.where(F.col("depth") == d), max_pages - used)]
+                return _result(_union(taken), info, keep_failed)
+            used += here
+        taken.append(new)
+        seen.append(new)
+        if len(seen) > 6:  # keeps plans short: few parts, all partitioned by url
+            seen = [_union(seen).select("url").repartition(n, "url").checkpoint()]
+        if len(taken) > 24:
+            taken = [_union(taken).checkpoint()]
+        grown = counts.get(depth + hops, 0) > 1.5 * max(1, size)
+        depth, width, size = depth + hops, width + hops, counts.get(depth + hops, 0)
+        level = new.where(F.col("depth") == depth)
+        hops = min(MAX_HOPS, 2 * hops) if size <= SMALL_LEVEL and not grown else 1
+    return _result(_union(taken), info, keep_failed)
+
+
+def _round(level: DataFrame, lists: DataFrame, depth: int, hops: int, n: int) -> DataFrame:
+    """First places of the URLs reached from ``level`` in up to ``hops`` steps (visited ones among them).
+
+    A URL that was visited before may be passed again; its links lead to no place that a shorter way does not."""
+    rows = level.select("url", F.struct(F.lit(depth).alias("depth"), "place", "page_id").alias("v"))
+    for hop in range(hops):
+        at_end = rows.select("url", "v", F.when(F.col("v.depth") == depth + hop, F.col("v.page_id")).alias("page_id"))
+        joined = at_end.join(lists, "page_id", "left")
+        step = F.transform("links", lambda x: F.struct(x.target.alias("url"), F.struct(
+            F.lit(depth + hop + 1).alias("depth"), F.concat("v.place", F.array(x.pos)).alias("place"), x.target_page_id.alias("page_id")).alias("v")))
+        both = F.concat(F.array(F.struct("url", "v")), F.coalesce(step, F.array().cast("array<struct<url:string,v:struct<depth:int,place:array<bigint>,page_id:bigint>>>")))
+        rows = joined.select(F.inline(both)).repartition(n, "url").groupBy("url").agg(F.min("v").alias("v"))
+    return rows.select("url", "v.place", "v.page_id", "v.depth").where(F.col("depth") > depth)
+
+
+def _cut(level: DataFrame, budget: int) -> DataFrame:
+    """The first ``budget`` visits of a level."""
+    return number_rows(level, ["place"], "number").where(F.col("number") < budget).drop("number")
+
+
+def _result(taken: DataFrame, info: DataFrame, keep_failed: bool) -> DataFrame:
+    numbered = number_rows(taken, ["depth", "place"], "order").select("url", "depth", "order", "page_id")
+    out = numbered.join(info.select("page_id", "title", "description", "status_code", "content_type", "outcome"), "page_id", "left")
+    out = out.withColumn("outcome", F.coalesce("outcome", F.lit("failed")))
+    is_page = F.col("outcome") == "page"
+    columns = ["url", "depth", "order", "page_id", F.when(is_page, F.col("title")).alias("title"),
+               F.when(is_page, F.col("description")).alias("description"), "status_code", "content_type"]
+    return out.select(*columns, "outcome") if keep_failed else out.where(is_page).select(*columns)

@@ -140,25 +140,11 @@ def _parse_udf(html: pd.Series) -> pd.Series:
     return html.map(parse_html)
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give a Python-heavy stage at least one task per core.
-
-    A scan yields one task per file split; a large table on a cluster already has
-    thousands, but a few big files (or one row group) would leave the parse on a few
-    cores.  Only then is the input re-hashed (on ``key`` when given, so it is
-    deterministic on retry); otherwise the plan is unchanged."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key) if key and key in df.columns else df.repartition(cores)
-
-
-def parse_pages(df: DataFrame, html_col: str = "html", out: str = "nodes", drop_html: bool = True,
-                spread_key: str | None = "page_id") -> DataFrame:
+def parse_pages(df: DataFrame, html_col: str = "html", out: str = "nodes", drop_html: bool = True) -> DataFrame:
     """H1: add the ``nodes`` column; by default the raw html column is dropped
-    right after (it is the widest column and nothing downstream needs it)."""
-    res = spread(df, spread_key).withColumn(out, _parse_udf(F.col(html_col)))
+    right after (it is the widest column and nothing downstream needs it). Map-only, for tables and streams: a task per input split
+    (``spark.sql.files.maxPartitionBytes``)."""
+    res = df.withColumn(out, _parse_udf(F.col(html_col)))
     return res.drop(html_col) if drop_html and html_col != out else res
 
 

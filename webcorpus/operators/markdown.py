@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import urls as U
 from ..functions.urls import at, let
-from .html import parse_html, spread
+from .html import NODES_TYPE, parse_html
 from .media import DOCUMENT_EXTENSIONS
 
 # Subtrees removed before rendering (H6a), the boilerplate list (H6b) and
@@ -107,8 +107,11 @@ def render_markdown(html, base_url=None, boilerplate=True, main_content=True, im
     """Our Markdown dialect: ATX headings, **bold**, _italic_, `code`, fenced pre, '*' bullets,
     numbered lists, '>' quotes, [text](<url>) links, ![alt](url) images, pipe tables, no wrapping."""
     nodes = parse_html(html)
-    if nodes is None:
-        return None
+    return None if nodes is None else render_nodes(nodes, base_url, boilerplate, main_content, image_dir, media_dir)
+
+
+def render_nodes(nodes, base_url=None, boilerplate=True, main_content=True, image_dir=None, media_dir=None):
+    """``render_markdown`` of a parsed page."""
     kids, roots = _children(nodes)
     removed = [False] * len(nodes)
     for n in nodes:
@@ -256,33 +259,88 @@ def render_markdown(html, base_url=None, boilerplate=True, main_content=True, im
 
 
 RENDER_TYPE = T.StructType([
+    T.StructField("nodes", NODES_TYPE),
     T.StructField("body", T.StringType()),
     T.StructField("images", T.ArrayType(T.ArrayType(T.StringType()))),
+    T.StructField("error", T.StringType()),
 ])
 
 
-def _render_udf(boilerplate: bool, main_content: bool, image_dir: str | None, media_dir: str | None = None):
+def _render_udf(boilerplate: bool, main_content: bool, image_dir: str | None, media_dir: str | None = None,
+                with_nodes: bool = False):
+    def attempt(html, base):
+        """A row that cannot be rendered carries its error; the others of its batch are not affected."""
+        if html is None:
+            return None, None, None, "the page has no HTML"
+        nodes = parse_html(html)
+        try:
+            out = render_nodes(nodes, base, boilerplate, main_content, image_dir, media_dir)
+            return nodes if with_nodes else None, out["body"], out["images"], None
+        except Exception as e:  # noqa: BLE001  whatever a page's content does
+            return nodes if with_nodes else None, None, None, str(e) or type(e).__name__
+
     @F.pandas_udf(RENDER_TYPE)
     def render(html: pd.Series, base: pd.Series) -> pd.DataFrame:
-        out = [render_markdown(h, b, boilerplate, main_content, image_dir, media_dir) for h, b in zip(html, base)]
-        return pd.DataFrame({
-            "body": [o["body"] if o else None for o in out],
-            "images": [o["images"] if o else None for o in out],
-        })
+        out = [attempt(h, b) for h, b in zip(html, base, strict=True)]
+        return pd.DataFrame({name: [o[i] for o in out] for i, name in enumerate(("nodes", "body", "images", "error"))})
 
     return render
 
 
+def _image_map(c: Column) -> Column:
+    return F.transform(c, lambda p: F.struct(at(p, 1).alias("url"), at(p, 2).alias("name")))
+
+
 def to_markdown(pages: DataFrame, absolutize: bool = True, boilerplate: bool = True, main_content: bool = True,
                 image_dir: str | None = "images", media_dir: str | None = None) -> DataFrame:
     """M1 (+H6 clean, H7 main content, H8 image rewrite, H9 absolute links): adds ``body``
-    (Markdown) and ``images`` (array<struct<url, name>>: the page's image map)."""
+    (Markdown), ``images`` (array<struct<url, name>>: the page's image map) and ``error`` (NULL unless the page could not be
+    rendered; then the others are NULL)."""
     udf = _render_udf(boilerplate, main_content, image_dir, media_dir)
     base = F.col("url") if absolutize else F.lit(None).cast("string")
-    r = spread(pages).withColumn("_r", udf(F.col("html"), base))
-    return r.drop("html").withColumn("body", F.col("_r.body")).withColumn(
-        "images", F.transform(F.col("_r.images"), lambda p: F.struct(at(p, 1).alias("url"), at(p, 2).alias("name")))
-    ).drop("_r")
+    r = pages.withColumn("_r", udf(F.col("html"), base)).drop("html")
+    return r.withColumn("body", F.col("_r.body")).withColumn("images", _image_map(F.col("_r.images"))).withColumn(
+        "error", F.col("_r.error")).drop("_r")
+
+
+def error_document(url: Column, error: Column) -> Column:
+    """M7: what stands in for a page that could not be converted (fixed form)."""
+    return F.concat(F.lit("---\ntitle: Error converting content\nurl: "), F.coalesce(url, F.lit("")),
+                    F.lit("\n---\n\nError: "), error)
+
+
+def convert(pages: DataFrame, image_dir: str | None = "images", media_dir: str | None = None, tidy: str = "wide",
+            preserve_hierarchy: bool = True) -> DataFrame:
+    """M7 (+M1, M2 or M3, M5, U17, F12): page_id, url, title, markdown_path, document, images, converted, error.
+
+    One Python pass parses and renders a page; front matter, tidy pass ('wide', 'gfm' or 'none') and paths are native. A
+    page that fails (no HTML, a link that is no URL, …) fails alone: converted is false, error says why, document is the error document
+    and markdown_path NULL."""
+    from .extract import extract_metadata
+
+    udf = _render_udf(True, True, image_dir, media_dir, with_nodes=True)
+    r = pages.select("page_id", "url", udf(F.col("html"), F.col("url")).alias("_r"))
+    r = r.select("page_id", "url", F.col("_r.nodes").alias("nodes"), F.col("_r.body").alias("_body"),
+                 F.col("_r.images").alias("_images"), F.col("_r.error").alias("_error"))
+    md = extract_metadata(r, with_timestamp=False, keep=["_body", "_images", "_error"])
+    fields = ["title", "date_published", "date_modified", "author", "excerpt", "categories", "tags", "featured_image", "slug", "url"]
+    front = front_matter_full(F.struct(*fields))
+    body = {"wide": md_tidy_wide, "gfm": md_tidy_gfm, "none": F.col}[tidy]("_body")
+    ok = F.col("_error").isNull()
+    document = F.when(ok, markdown_document(F.concat(front, F.lit("\n")), body)).otherwise(error_document(F.col("url"), F.col("_error")))
+    return md.select(
+        "page_id", "url", F.when(ok, F.col("title")).alias("title"),
+        F.when(ok, U.markdown_path(F.col("url"), F.col("slug"), preserve_hierarchy)).alias("markdown_path"),
+        document.alias("document"), _image_map(F.col("_images")).alias("images"), ok.alias("converted"), F.col("_error").alias("error"))
+
+
+def reconvert(results: DataFrame, pages: DataFrame, **options) -> DataFrame:
+    """The results with the failed rows converted again from ``pages`` (their mended html); the others are not touched."""
+    done = F.coalesce(F.col("converted"), F.lit(False))
+    again = pages.join(results.where(~done).select("page_id"), "page_id", "left_semi")
+    fresh = convert(again, **options)
+    kept = results.where(done).unionByName(results.where(~done).join(again.select("page_id"), "page_id", "left_anti"))
+    return kept.unionByName(fresh)
 
 
 # ---------------------------------------------------------------------------
@@ -418,21 +476,15 @@ def reading_time(words) -> Column:
 
 
 def correction_requests(docs: DataFrame, templates: DataFrame, type_col: str, text_col: str,
-                        default_type: str = "general", max_templates: int = 10_000) -> DataFrame:
-    """One request per document: the template of its type (case-insensitive, unknown →
-    ``default_type``) with ``{input_text}`` replaced; blank text passes through unchanged.
-
-    Templates are a handful of rows: their type names are read (bounded by ``max_templates``)
-    and the table is broadcast only within that bound."""
+                        default_type: str = "general") -> DataFrame:
+    """One request per document: the template of its type (case-insensitive), else the one of ``default_type``, with
+    ``{input_text}`` replaced; blank text passes through unchanged. Without a default template, documents of an unknown type
+    keep their text. Any number of templates: a left join and one scalar subquery."""
     # one template per (case-folded) type, like a dict
     t = templates.groupBy(F.lower("type").alias("_t")).agg(F.max("template").alias("_tpl"))
-    known = [r._t for r in t.select("_t").distinct().limit(max_templates + 1).collect()]
-    if len(known) > max_templates:
-        raise ValueError("too many templates to resolve on the driver; join them as a table instead")
-    eff = F.lower(F.col(type_col))
-    eff = F.when(eff.isin(known), eff).otherwise(F.lit(default_type))
-    j = docs.withColumn("_t", eff).join(F.broadcast(t), "_t", "left")
-    text = F.col(text_col)
+    default = t.where(F.col("_t") == default_type.lower()).select(F.max("_tpl")).scalar()
+    j = docs.withColumn("_t", F.lower(F.col(type_col))).join(t, "_t", "left").withColumn("_default", default)
+    text, template = F.col(text_col), F.coalesce("_tpl", "_default")
     prompt = F.when(F.trim(F.coalesce(text, F.lit(""))) == "", text).otherwise(
-        F.replace(F.col("_tpl"), F.lit("{input_text}"), text))
-    return j.withColumn("prompt", prompt).drop("_t", "_tpl")
+        F.coalesce(F.replace(template, F.lit("{input_text}"), text), text))
+    return j.withColumn("prompt", prompt).drop("_t", "_tpl", "_default")

@@ -59,10 +59,11 @@ def media_refs_sql(nodes: str, base: str) -> str:
     d, d2, c = _v("d"), _v("d"), _v("c")
     joined = US.url_join(base, f"{d}.ref", U.USES_RELATIVE, U.USES_NETLOC)
     # only hrefs that can name a document are resolved: the extension of the joined url comes
-    # from the href's own last segment, unless the href has no path ('?…', '#…') and inherits the base's
+    # from the href's own last segment, unless the href has no path ('?…', '#…') and inherits the base's;
+    # tabs and line ends are no part of a url (U1), so they are taken out first
     ext_any = "|".join(e[1:] for e in DOCUMENT_EXTENSIONS)
-    maybe = (f"filter({refs(N.tag('a'), 'href', 'document')}, {c} -> lower({c}.ref) RLIKE {lit(chr(92) + '.(' + ext_any + ')')} "
-             f"OR startswith({c}.ref, '?') OR startswith({c}.ref, '#'))")
+    maybe = (f"filter({refs(N.tag('a'), 'href', 'document')}, {c} -> lower({US.clean(f'{c}.ref')}) RLIKE {lit(chr(92) + '.(' + ext_any + ')')} "
+             f"OR startswith({US.clean(f'{c}.ref')}, '?') OR startswith({US.clean(f'{c}.ref')}, '#') OR {US.clean(f'{c}.ref')} = '')")
     docs = (f"filter(transform({maybe}, {d} -> named_struct('kind', {d}.kind, "
             f"'ref', {joined})), {d2} -> {_ext_sql(f'{d2}.ref')} IN ({', '.join(lit(e) for e in DOCUMENT_EXTENSIONS)}))")
     parts = [refs(N.tag("img"), "src", "img"), refs(stylesheet, "href", "stylesheet"),
@@ -90,32 +91,22 @@ def media_status(media: DataFrame) -> DataFrame:
     in corpus order (page_id, pos): the first use of a url key is 'downloaded' unless an
     earlier key already produced the same file ('skipped'); later uses are 'exists'.
 
-    Two grouped minima joined back (partial aggregation, so hot keys cost one row per task)."""
+    Only the first use of a key can be anything but 'exists', so the grouped minima come back by (page_id, pos), a key
+    of its own for every row: a url that every page uses is no hot join key, and external rows meet none."""
     m = media.select(
         "*",
         U.same_site("url", "src_url").alias("same_site"),
         U.url_key("url").alias("url_key"),
         U.site_folder("url").alias("site"),
         U.media_path("url").alias("file_path"),
-        F.struct("page_id", "pos").alias("_ord"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)  # read by three branches: parse the pages once
-    # a key fixes its (site, file), so the first use of a file is the minimum over its keys'
-    # first uses: the second aggregate runs on the (small) per-key table, not on the rows
-    key_first = m.where("same_site").groupBy("url_key", "site", "file_path").agg(F.min("_ord").alias("_key_first"))
-    path_first = key_first.groupBy("site", "file_path").agg(F.min("_key_first").alias("_path_first"))
-    key_first = key_first.select("url_key", "_key_first")
-    status = (
-        F.when(~F.col("same_site"), F.lit(None).cast("string"))
-        .when(F.col("_ord") > F.col("_key_first"), F.lit("exists"))
-        .when(F.col("_ord") > F.col("_path_first"), F.lit("skipped"))
-        .otherwise(F.lit("downloaded"))
-    )
-    return (
-        m.join(key_first, "url_key", "left")
-        .join(path_first, ["site", "file_path"], "left")
-        .withColumn("status", status)
-        .drop("_ord", "_key_first", "_path_first")
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)  # read by two branches: parse the pages once
+    # a key fixes its (site, file), so the first use of a file is the minimum over its keys' first uses
+    key_first = m.where("same_site").groupBy("url_key", "site", "file_path").agg(F.min(F.struct("page_id", "pos")).alias("first"))
+    path_first = key_first.groupBy("site", "file_path").agg(F.min("first").alias("path_first"))
+    firsts = key_first.join(path_first, ["site", "file_path"]).select(
+        "first.page_id", "first.pos", F.when(F.col("first") == F.col("path_first"), "downloaded").otherwise("skipped").alias("_first"))
+    status = F.when(F.col("same_site"), F.coalesce("_first", F.lit("exists")))
+    return m.join(firsts, ["page_id", "pos"], "left").withColumn("status", status).drop("_first")
 
 
 def media_summary(status: DataFrame) -> DataFrame:

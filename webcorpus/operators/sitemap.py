@@ -3,7 +3,11 @@ an iterative self-join with an exact global page cap."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from xml.etree import ElementTree
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -46,6 +50,46 @@ def read_sitemaps(df: DataFrame, xml_col: str = "xml", source_col: str = "sitema
     )
 
 
+_END = re.compile(r"</(?:[\w.-]+:)?$")
+_OPEN = re.compile(r"(?s)^.*<(?:[\w.-]+:)?url\s[^>]*>")
+_ATTRIBUTES, _PREFIX = re.compile(r"<([\w.:-]+)\s[^>]*?(/?)>"), re.compile(r"(</?)[\w.-]+:")
+ENTRY_FIELDS = ("loc", "lastmod", "priority", "changefreq")
+
+
+def parse_entry(piece: str) -> list[str | None] | None:
+    """The fields of the <url> element that ends with a piece of text cut at every ``url>``; None if none does or it is no XML."""
+    if not _END.search(piece):
+        return None
+    body = _OPEN.sub("", _END.sub("", piece))
+    try:
+        root = ElementTree.fromstring("<url>" + _PREFIX.sub(r"\1", _ATTRIBUTES.sub(r"<\1\2>", body)) + "</url>")
+    except ElementTree.ParseError:
+        return None
+    return [root.findtext(f) for f in ENTRY_FIELDS]
+
+
+def read_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
+    """S6 from files, split inside: the text source cuts at the tags of <url> elements, whatever their prefix, so one
+    (uncompressed) file of any size is read by several tasks and no document is ever one value. Columns as of
+    ``read_sitemaps`` but ``pos`` (a row's place in its file is not known to a split). Files need not be well-formed beyond their
+    <url> elements; an element that is not gives no row. No job runs before the result is asked for."""
+
+    def run(batches):
+        for batch in batches:
+            found = [parse_entry(x) for x in batch.column("value").to_pylist()]
+            keep = [i for i, f in enumerate(found) if f is not None]
+            columns = [pa.array([found[i][k] for i in keep], pa.string()) for k in range(len(ENTRY_FIELDS))]
+            yield pa.RecordBatch.from_arrays([batch.column("sitemap_url").take(pa.array(keep, pa.int64())), *columns], ["sitemap_url", *ENTRY_FIELDS])
+
+    pieces = spark.read.option("lineSep", "url>").text(path).select(F.col("_metadata.file_path").alias("sitemap_url"), "value")
+    rows = pieces.mapInArrow(run, "sitemap_url string, " + ", ".join(f"{f} string" for f in ENTRY_FIELDS))
+    loc = F.trim("loc")
+    return rows.where(loc.isNotNull() & (loc != "")).select(
+        "sitemap_url", loc.alias("url"), loc.alias("title"), F.lit("").alias("description"), F.lit(200).alias("status_code"),
+        F.lit("text/html").alias("content_type"), "lastmod", "priority", "changefreq",
+        F.try_to_timestamp(F.col("lastmod")).alias("lastmod_ts"), F.col("priority").try_cast("double").alias("priority_d"))
+
+
 def index_children(df: DataFrame, xml_col: str = "xml", source_col: str = "sitemap_url") -> DataFrame:
     """Child sitemap locations of every sitemap index: source, pos, child."""
     xml = F.col(xml_col)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fetchlog as FL
+from ..sources import sinks as SK
 from ..sources.fixtures import FX_FETCH_LOG_SQL, fx_fetch_log
+from ..streaming import fetchlog_stream as ST
 from . import sqlfrag as S
 from .registry import register
 
@@ -77,7 +81,7 @@ FROM t""",
 )
 def q_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 + W5 (running totals per site, skew-safe)."""
-    t = FL.throughput(fx_fetch_log(spark, sf_dir), bucket_rows=1000)
+    t = FL.throughput(fx_fetch_log(spark, sf_dir))
     return t.select(
         "site", "seq", "ts", "cum_requests", "cum_bytes",
         _r6(F.col("elapsed_s")).alias("elapsed_s"), _r6(F.col("req_per_s")).alias("req_per_s"),
@@ -116,7 +120,7 @@ FROM b""",
 )
 def q_effective_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6 adaptive back-off audit."""
-    d = FL.effective_delay(fx_fetch_log(spark, sf_dir), bucket_rows=1000)
+    d = FL.effective_delay(fx_fetch_log(spark, sf_dir))
     return d.withColumn("delay_s", _r6(F.col("delay_s")))
 
 
@@ -195,3 +199,54 @@ def q_response_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         FL.status_label("status_code").alias("label"),
     )
 
+
+@register(
+    "session_urls",
+    f"""{W}
+SELECT strftime(ts, '%Y%m%d') AS session, row_number() OVER (PARTITION BY strftime(ts, '%Y%m%d') ORDER BY seq) - 1 AS ordinal, url,
+       count(*) OVER (PARTITION BY strftime(ts, '%Y%m%d')) AS count, min(ts) OVER (PARTITION BY strftime(ts, '%Y%m%d')) AS timestamp
+FROM fx_fetch_log""",
+)
+def q_session_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL list of each day's session with its count and start."""
+    return SK.session_urls(fx_fetch_log(spark, sf_dir), F.date_format("ts", "yyyyMMdd"))
+
+
+@register(
+    "status_records",
+    f"""{W},
+c AS (SELECT strftime(ts, '%Y%m%d') AS session, status_code, count(*) AS n, max(ts) AS ts FROM fx_fetch_log GROUP BY 1, 2)
+SELECT session, CAST(sum(n) AS BIGINT) AS total_requests, CAST(coalesce(sum(n) FILTER (WHERE status_code BETWEEN 200 AND 299), 0) AS BIGINT) AS successful_requests,
+       string_agg(status_code || '=' || n, ',' ORDER BY status_code) AS status_codes, max(ts) AS timestamp
+FROM c GROUP BY 1""",
+)
+def q_status_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: the status report of each day's session."""
+    records = SK.status_record(fx_fetch_log(spark, sf_dir), F.date_format("ts", "yyyyMMdd"))
+    codes = F.array_join(F.transform(F.array_sort(F.map_entries("status_codes")), lambda e: F.concat_ws("=", e.key, e.value.cast("string"))), ",")
+    return records.withColumn("status_codes", codes)
+
+
+_DAY = 86_400_000
+
+
+@register(
+    "backoff_stream",
+    f"""{W}, b AS (
+  SELECT {SITE} AS site, seq, ts, coalesce(status_code IN ({_RETRY_CODES}) AND attempt <= {_P.max_retries}, false)
+         OR coalesce(status_code = 429, false) OR event_error AS backoff
+  FROM (SELECT *, seq % 37 = 11 AS event_error FROM fx_fetch_log)),
+r AS (SELECT site, seq, ts, backoff, CAST(sum(CAST(backoff AS BIGINT)) OVER (PARTITION BY site ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS backoffs FROM b)
+SELECT site, seq, backoff, backoffs, round(least({_P.max_delay}, {_P.request_delay} * pow({_P.backoff_factor}, backoffs)), 6) AS delay_s
+FROM r WHERE (epoch_ms(ts) // {_DAY} + 1) * {_DAY} <= (SELECT epoch_ms(max(ts)) - 600000 FROM r)""",
+)
+def q_backoff_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The back-off audit as a stream over the log's files, error texts included: all days that the watermark has passed."""
+    folder = ST.stream_location(spark, f"backoff-{uuid.uuid4().hex}")
+    error = F.when(F.col("seq") % 37 == 11, F.lit("Rate limit exceeded"))
+    log = fx_fetch_log(spark, sf_dir).withColumn("error", error)
+    log.repartitionByRange(4, "ts").sortWithinPartitions("ts", "seq").write.parquet(f"{folder}/log")
+    stream = ST.read_fetch_log_stream(spark, f"{folder}/log", ST.FETCH_LOG_SCHEMA + ", error string")
+    with ST.with_rocksdb(spark):
+        out = ST.run_to_table(ST.backoff_state(stream, slot="1 day"), f"{folder}/out", "backoff", f"{folder}/state")
+    return out.withColumn("delay_s", _r6(F.col("delay_s")))

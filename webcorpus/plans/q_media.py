@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import extract as X
 from ..operators import media as M
 from ..operators.html import parse_pages
-from ..sources.fixtures import FX_PAGES_SQL, fx_pages
+from ..operators import rewrite as RW
+from ..sources.fixtures import FX_PAGES_SQL, fx_media_pages, fx_pages, media_parts
 from ..sources.tables import load
 from . import sqlfrag as S
 from .registry import register
@@ -83,6 +84,29 @@ def q_media_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.media_summary(M.media_status(M.extract_media(parse_pages(fx_pages(spark, sf_dir)))))
 
 
+_NUMBER = "CAST(page_id % {k} AS VARCHAR)"
+_EXTRA = media_parts(lambda k: _NUMBER.format(k=k), lambda p: "'" + p.replace("'", "''") + "'", " || ".join)
+_MIRROR_DIR = f"""(CASE WHEN trim({S.path('url')}, '/') = '' THEN '' ELSE regexp_extract(trim({S.path('url')}, '/'), '^(.*)/[^/]*$', 1) END)"""
+
+
+@register(
+    "rewritten_pages",
+    f"""
+WITH f AS (SELECT page_id, url, html, repeat('../', CASE WHEN {_MIRROR_DIR} = '' THEN 1
+             ELSE 2 + length({_MIRROR_DIR}) - length(replace({_MIRROR_DIR}, '/', '')) END) || 'media/' AS m FROM pages)
+SELECT page_id, url, 10 AS "references", 7 AS rewritten,
+  replace(html, '</article>',
+    '<img src="' || m || 'img/' || {_NUMBER.format(k=20)} || '.png"><script src="' || m || 'js/a&amp;b.js"></script>'
+    || '<link rel="preload stylesheet" href="' || m || 'css/site.css"><video src="' || m || 'v/' || {_NUMBER.format(k=5)} || '.mp4"></video>'
+    || '<audio src="//cdn.example.org/a.mp3"></audio><source src="' || m || 'v/s.webm"><a href="' || m || 'files/' || {_NUMBER.format(k=9)}
+    || '.pdf">doc</a><a href="/about">about</a><img src="https://other.example/x.png"></article>') AS html
+FROM f""",
+)
+def q_rewritten_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H8, H10 (+F6, F7, U16, U19): every page with its same-site media references pointing to local files."""
+    return RW.rewrite_media_refs(fx_media_pages(spark, sf_dir))
+
+
 @register(
     "content_dedup",
     """

@@ -45,6 +45,52 @@ fx_pages AS (
 )"""
 
 
+def fx_web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as visits answer them: links to pages (7i+1) and (3i+2) mod n, to the top, to a script and to a page that
+    is missing; some answers are errors, some no HTML, some never come (NULL status)."""
+    pages = load(spark, sf_dir, "pages")
+    n = pages.select(F.count("*")).scalar()
+    q = pages.select(F.col("page_id").alias("q_id"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("q_url"))
+    r = pages.select(F.col("page_id").alias("r_id"), F.replace("url", F.lit("&"), F.lit("&amp;")).alias("r_url"))
+    p = pages.withColumn("q_id", (F.col("page_id") * 7 + 1) % n).withColumn("r_id", (F.col("page_id") * 3 + 2) % n)
+    extra = F.concat(F.lit('<a href="'), F.col("q_url"), F.lit('">n</a><a href="#top">t</a><a href="javascript:go()">j</a><a href="'),
+                     F.col("r_url"), F.lit('">r</a><a href="/missing/'), (F.col("page_id") % 50).cast("string"), F.lit('">m</a></article>'))
+    i = F.col("page_id")
+    return p.join(q, "q_id").join(r, "r_id").select(
+        "page_id", "url", F.replace("html", F.lit("</article>"), extra).alias("html"),
+        F.when(i % 13 == 5, 500).when(i % 17 == 3, F.lit(None)).otherwise(200).cast("int").alias("status_code"),
+        F.when(i % 7 == 3, "application/pdf").when(i % 5 == 2, "text/html; charset=utf-8").otherwise("text/html").alias("content_type"))
+
+
+FX_WEB_SQL = """
+fx_web AS (
+  SELECT p.page_id, p.url,
+         replace(p.html, '</article>',
+           concat('<a href="', replace(q.url, '&', '&amp;'), '">n</a><a href="#top">t</a><a href="javascript:go()">j</a><a href="',
+                  replace(r.url, '&', '&amp;'), '">r</a><a href="/missing/', CAST(p.page_id % 50 AS VARCHAR), '">m</a></article>')) AS html,
+         CAST(CASE WHEN p.page_id % 13 = 5 THEN 500 WHEN p.page_id % 17 = 3 THEN NULL ELSE 200 END AS INTEGER) AS status_code,
+         CASE WHEN p.page_id % 7 = 3 THEN 'application/pdf' WHEN p.page_id % 5 = 2 THEN 'text/html; charset=utf-8'
+              ELSE 'text/html' END AS content_type
+  FROM (SELECT *, (page_id * 7 + 1) % (SELECT count(*) FROM pages) AS q_id, (page_id * 3 + 2) % (SELECT count(*) FROM pages) AS r_id FROM pages) p
+  JOIN pages q ON q.page_id = p.q_id JOIN pages r ON r.page_id = p.r_id
+)"""
+
+#: Appended to each article: every kind of media reference, of the page's site and of another one, in three quotings.
+_MEDIA_PARTS = ('<img src="/img/', "@20", '.png?v=1"><script src=\'/js/a&amp;b.js\'></script><link rel="preload stylesheet" href=/css/site.css>'
+                '<video src="/v/', "@5", '.mp4"></video><audio src="//cdn.example.org/a.mp3"></audio><source src="/v/s.webm">'
+                '<a href="/files/', "@9", '.pdf">doc</a><a href="/about">about</a><img src="https://other.example/x.png"></article>')
+
+
+def media_parts(number, text, concat):
+    """The appended text: ``text`` of literal parts, ``number`` of page_id modulo a part's number, joined by ``concat``."""
+    return concat([number(int(p[1:])) if p.startswith("@") else text(p) for p in _MEDIA_PARTS])
+
+
+def fx_media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = media_parts(lambda k: (F.col("page_id") % k).cast("string"), F.lit, lambda parts: F.concat(*parts))
+    return load(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("</article>"), extra).alias("html"))
+
+
 def fx_fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fetch log: one row per event, url of page (user_id mod n), status from the event type."""
     pages = load(spark, sf_dir, "pages")
