@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 
 from webcorpus.session import checkpoint_dir
 
+_C = ctypes.CDLL(None)
 #: Characters that part words (ASCII blanks only), as a regex class and as text.
 SPACE_CLASS = r"[\\x20\\x09-\\x0D]"
+#: Hash buckets of ``narrowed``: at most so many numbers are broadcast.
+BUCKETS = 1 << 20
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -34,6 +38,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def narrowed(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be in ``keys``, found before any shuffle.
+
+    Keys are reduced to BUCKETS hash buckets, so what is broadcast is bounded whatever the number of keys; with many
+    more keys than buckets it only saves less. A join on the key itself has to follow.
+    """
+    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+    return df.withColumn("__bucket", bucket).join(F.broadcast(keys.select(bucket.alias("__bucket")).distinct()), "__bucket", "left_semi").drop("__bucket")
+
+
 def remainder(doc_id: str, modulus: int) -> str:
     """SQL: crc32 of the id as text, modulo ``modulus`` (the fold of a row; a null id falls in fold 0)."""
     return f"coalesce(crc32(cast({doc_id} AS STRING)) % {modulus}, 0)"
@@ -54,8 +68,17 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
+def free_memory() -> None:
+    """Give memory that is free now back to the system: workers live on from stage to stage, and each would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_C, "malloc_trim", None)
+    if trim is not None:  # glibc
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``max_bytes`` of ``column`` (at least one row), so that memory is bounded."""
+    """The same rows in batches of about ``max_bytes`` of ``column`` (at least one row), so that memory is bounded; it is
+    given back after the last one."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -65,6 +88,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             yield batch.slice(a, b - a)
+        del batch
+    free_memory()
 
 
 def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_of
+from .common import cut, narrowed, slices, text_of
 from .components import components
 from .shingles import fingerprint, least_hashes, shingle_sets
 
@@ -34,24 +34,12 @@ SLICE = 2 << 20
 PAIRED, PRODUCT_DOCUMENTS = 32, 2000
 #: Share of documents (one in ...) whose first parts correct the estimated counts, and how often.
 SAMPLE, CORRECTIONS = 8, 2
-#: Hash buckets of ``narrowed``: at most so many numbers are broadcast.
-BUCKETS = 1 << 20
 
 
 def enough(overlap, a, b, percent: int):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def narrowed(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key may be in ``keys``, found before any shuffle.
-
-    Keys are reduced to BUCKETS hash buckets, so what is broadcast is bounded whatever the number of keys; with many
-    more keys than buckets it only saves less. A join on the key itself has to follow.
-    """
-    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
-    return df.withColumn("__bucket", bucket).join(F.broadcast(keys.select(bucket.alias("__bucket")).distinct()), "__bucket", "left_semi").drop("__bucket")
-
-
 def set_table(documents: DataFrame, n: int) -> DataFrame:
     """doc_id, size of the shingle set, its 128-bit fingerprint (k1, k2) and its least hashes; map-only."""
 

@@ -9,13 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import narrowed
+
 #: A pattern is ``example.com`` (the host and all hosts below it) or ``host/a/b`` (that path and all below it).
-HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
+#: Hosts that are addresses: no other host lies above them.
+ADDRESS = r"^(\[.*\]|\d+\.\d+\.\d+\.\d+)$"
 PATH = r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, HOST, 1))
+    """The host in lower case, without a dot at its end; an IPv6 address with its brackets."""
+    return F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit("."))
 
 
 def patterns_of(url: Column) -> Column:
@@ -23,7 +28,7 @@ def patterns_of(url: Column) -> Column:
     host = host_of(url)
     parts = F.split(host, "\\.")
     steps = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda x: x != "")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    suffixes = F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
     prefixes = F.transform(F.filter(F.sequence(F.lit(0), F.size(steps)), lambda i: i > 0), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")))
     return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, prefixes)))
 
@@ -47,13 +52,14 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     n_active counts the (list, pattern) pairs active at ``fetched``; list, pattern and since are of the first of them in
     order of (list, pattern). Null or unparsable URLs and null times match nothing. Captures with one id are evaluated
-    together; other columns are ignored. Keys of captures are narrow (id, pattern, time) when they are joined, intervals
-    of one list and pattern never overlap, so a capture meets each list entry once at most, and Spark may split a hot host.
+    together; other columns are ignored. Addresses match themselves only, a dot at a host's end is ignored. Keys of captures are narrow (id,
+    pattern, time) when they are joined, and those whose hash bucket no pattern of the lists has (such as ``com``) are dropped before;
+    intervals of one list and pattern never overlap, so a capture meets each list entry once at most, and Spark may split a hot host.
     """
     keys = captures.select("capture_id", "fetched", F.explode(patterns_of(F.col("url"))).alias("pattern")).filter("fetched IS NOT NULL")
     valid = intervals(entries)
     active = (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
-    hits = keys.join(valid, "pattern").filter(active).select("capture_id", F.struct("list", "pattern", "since").alias("hit"))
+    hits = narrowed(keys, "pattern", valid).join(valid, "pattern").filter(active).select("capture_id", F.struct("list", "pattern", "since").alias("hit"))
     every = captures.select("capture_id", F.lit(None).cast(dict(hits.dtypes)["hit"]).alias("hit"))
     per = every.unionByName(hits).groupBy("capture_id").agg(F.min("hit").alias("first"), F.count("hit").alias("n_active"))
     return per.select("capture_id", (F.col("n_active") > 0).alias("blocked"), "n_active", F.col("first.list").alias("list"), F.col("first.pattern").alias("pattern"), F.col("first.since").alias("since"))
