@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automaton import LEAST_LENGTH, LexiconAutomaton
@@ -19,6 +19,8 @@ from .common import bounded_sample, cut, fit_logistic, hash_share, logistic, sli
 #: Labelled rows that the lexicon is learned from (each label), and that the curve is fitted on.
 LEXICON_ROWS = {1: 4000, 0: 8000}
 FIT_ROWS = 20000
+#: Share of false ones among the rare terms that are learned.
+FALSE_SHARE = 0.05
 #: Characters taken off both ends of a token.
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…¡¿"
 #: Words on either side of a hit that are looked at; signs of quotation or report, and of address.
@@ -37,10 +39,11 @@ def tokens(text: Column) -> Column:
 def learn_lexicon(documents: DataFrame, known: DataFrame) -> list[tuple[str, bool, float]]:
     """(term, is_stem, weight) found in toxic but hardly in other documents; ``known`` has doc_id, toxic (0 or 1).
 
-    A term needs 5 toxic documents and 4 % of them, at most half as many others, and a rate 100 times theirs. A stem (the
-    first 4 to 7 characters of longer words) needs 15 times their rate, and four different words, none with most of its
-    hits. The weight (up to 1) grows with the logarithm of that ratio.
-    Terms that a shorter stem covers are left out. At most (words per document / 0.04) terms can qualify. A stem is
+    A term needs 5 toxic documents, at most half as many others, and a rate 100 times theirs; or, if it is too rare to show such a
+    rate, no other document and evidence that chance does not explain (``rare_terms``). A stem (the
+    first 4 to 7 characters of longer words) needs 4 % of the toxic documents, 15 times the others' rate, and four different words, none with most of its
+    hits. The weight (up to 1) grows with the logarithm of that ratio; rare terms have the weight of a term at the limit.
+    Terms that a shorter stem covers are left out. A stem is
     matched without errors, so the words seen under it in toxic documents follow as terms of its weight, unless others
     hold more than half as many; they carry its misspellings.
     """
@@ -56,7 +59,7 @@ def learn_lexicon(documents: DataFrame, known: DataFrame) -> list[tuple[str, boo
     rows = cut(rows.dropDuplicates(["h", "toxic"]), "toxic-sample")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = n.get(1, 0), n.get(0, 0)
-    least = max(5, int(0.04 * n_toxic))
+    least = 5
     vocabulary = rows.select("toxic", F.explode("t").alias("term")).filter("length(term) BETWEEN 3 AND 40")
     vocabulary = vocabulary.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).filter("t > 0 OR c > 0")
     vocabulary = cut(vocabulary, "toxic-vocabulary")
@@ -67,16 +70,20 @@ def learn_lexicon(documents: DataFrame, known: DataFrame) -> list[tuple[str, boo
         return (F.col("t") >= least) & (2 * F.col("c") <= F.col("t")) & (ratio >= times * small)
 
     weight = F.least(F.lit(1.0), F.log(ratio) / float(np.log(500 * small + 1))).alias("weight")
-    single = vocabulary.filter(telling(100)).select("term", F.lit(False).alias("stem"), weight)
+    at_limit = min(1.0, float(np.log(100 * small) / np.log(500 * small + 1)))
+    often = max(5, int(0.04 * n_toxic))
+    single = vocabulary.filter(telling(100)).select("term", F.lit(False).alias("stem"), weight, (F.col("t") >= often).alias("often"))
+    rare = rare_terms(rows, vocabulary, least).join(single, "term", "left_anti")
+    single = single.union(rare.select("term", F.lit(False), F.lit(max(0.1, at_limit)), F.lit(False)))
     prefixes = F.filter(F.array(*[F.struct(F.substring("term", 1, k).alias("p"), (F.length("term") > k).alias("ok")) for k in STEM_LENGTHS]), lambda x: x["ok"])
     stems = vocabulary.select(F.explode(F.transform(prefixes, lambda x: x["p"])).alias("term"), "t", "c").groupBy("term")
     stems = stems.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.max("t").alias("most"), F.sum((F.col("t") > 0).cast("int")).alias("n"))
-    stems = stems.filter(telling(15) & (F.col("n") >= 4) & (2 * F.col("most") <= F.col("t"))).select("term", F.lit(True).alias("stem"), weight)
-    found = sorted(((r["term"], r["stem"], round(r["weight"], 3)) for r in single.union(stems).collect()), key=lambda x: (len(x[0]), not x[1], x[0]))
+    stems = stems.filter(telling(15) & (F.col("t") >= often) & (F.col("n") >= 4) & (2 * F.col("most") <= F.col("t"))).select("term", F.lit(True).alias("stem"), weight, F.lit(True).alias("often"))
+    found = sorted(((r["term"], r["stem"], round(r["weight"], 3), r["often"]) for r in single.union(stems).collect()), key=lambda x: (len(x[0]), not x[1], x[0]))
     kept: list[tuple[str, bool, float]] = []
-    for term, stem, w in found:
-        # a longer form is left out if a stem covers it and tells as much
-        if not any(s and term.startswith(x) and w <= v + 0.1 for x, s, v in kept):
+    for term, stem, w, many in found:
+        # a longer form is left out if a stem covers it and it tells no more, or is too rare to say so
+        if not any(s and term.startswith(x) and (w <= v + 0.1 or not many) for x, s, v in kept):
             kept.append((term, stem, w))
     under = {x: v for x, s, v in reversed(kept) if s}
     if not under:
@@ -89,6 +96,28 @@ def learn_lexicon(documents: DataFrame, known: DataFrame) -> list[tuple[str, boo
     return kept
 
 
+def rare_terms(rows: DataFrame, vocabulary: DataFrame, least: int) -> DataFrame:
+    """Terms of ``vocabulary`` (term, t, c) that only toxic documents have, ``least`` of them or more, beyond chance.
+
+    A document's chance to be toxic is taken from its other words (the mean share of toxic documents among those that
+    have them), so words of a language or subject that toxic documents are often written in do not count as telling.
+    The product over a term's documents is the chance that all of them are toxic; of all terms with as many documents, those are kept
+    whose expected number of false ones is at most FALSE_SHARE of theirs (Benjamini-Hochberg).
+    """
+    share = vocabulary.select("term", ((F.col("t") + 0.5) / (F.col("t") + F.col("c") + 1.0)).alias("p"), (F.col("t") + F.col("c")).alias("n"))
+    words_ = rows.select("h", "toxic", F.explode("t").alias("term")).join(share.filter("n >= 20"), "term")
+    chance = words_.groupBy("h", "toxic").agg(F.avg("p").alias("p"))
+    asked = vocabulary.filter((F.col("t") + F.col("c") >= least))
+    alone = asked.filter("c = 0").select("term")
+    found = rows.filter("toxic = 1").select("h", "toxic", F.explode("t").alias("term")).join(alone, "term").join(chance, ["h", "toxic"], "left")
+    found = found.groupBy("term").agg(F.sum(F.log(F.least(F.coalesce("p", F.lit(1.0)), F.lit(1.0)))).alias("log_p"))
+    tested = asked.count()
+    order = Window.orderBy("log_p", "term")  # terms of the sample without other documents
+    ranked = found.withColumn("r", F.row_number().over(order))
+    last = ranked.filter(F.col("log_p") <= F.log(F.lit(FALSE_SHARE) * F.col("r") / F.lit(float(max(1, tested))))).agg(F.max("r")).first()[0] or 0
+    return ranked.filter(F.col("r") <= last).select("term")
+
+
 def hits(documents: DataFrame, lexicon: list[tuple[str, bool, float]]) -> DataFrame:
     """One row per document: doc_id, n_tokens and ``found``; map-only.
 
