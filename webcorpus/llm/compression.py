@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, text_of
@@ -15,29 +15,42 @@ LEVEL = 3
 #: Bytes of labelled text in a dictionary, and bytes that one text may add to it (from a place that its hash picks).
 DICTIONARY_BYTES = 96 << 10
 EXCERPT_BYTES = 1 << 10
+#: Times as many texts as are needed that a first look at a label should give.
+SPARE = 8
 
 
-def excerpts(rows: DataFrame, label: str, per_label: int) -> dict[str, list[bytes]]:
-    """Up to ``per_label`` excerpts of each label of ``rows`` (label, doc_id, text), collected.
+def excerpts(rows: DataFrame, label: str, per_label: int, counts: dict[str, int]) -> dict[str, list[bytes]]:
+    """Up to ``per_label`` excerpts of each label of ``rows`` (label, doc_id, text), collected: of its texts with the least hashes.
 
-    Documented bound: the dictionaries are fitted on these only. Texts are reduced to an excerpt where they lie, ranked
-    by a hash within their label (Spark drops all but the first ranks before it shuffles), and exact copies count once.
+    Documented bound: the dictionaries are fitted on these only. ``counts``: about how many rows a label has. Only texts
+    whose hash is in the lowest share that should hold SPARE times as many leave their task, copies of a text being one row; where a label has many
+    copies and too few texts come, the share grows until there are enough or all were seen.
     """
-    from pyspark.sql import Window
-
     size = F.octet_length("text")
     start = F.when(size > EXCERPT_BYTES, F.pmod(F.xxhash64("text"), F.greatest(size - EXCERPT_BYTES, F.lit(1)))).otherwise(0).cast("int")
-    cut = rows.filter("text IS NOT NULL AND length(text) > 0").select(
+    cut = rows.filter("text IS NOT NULL AND length(text) > 0 ").select(
         F.col(label).alias("label"), F.substring(F.col("text").cast("binary"), start + 1, F.lit(EXCERPT_BYTES)).alias("excerpt"), F.xxhash64("text").alias("h")
     )
-    order = Window.partitionBy("label").orderBy("h")
-    kept = cut.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= per_label).dropDuplicates(["label", "h"])
     out: dict[str, list[bytes]] = {}
-    for row in kept.orderBy("label", "h").collect():
-        out.setdefault(row["label"], []).append(bytes(row["excerpt"]))
+    share = {k: SPARE * per_label / max(1, n) for k, n in counts.items()}
+    while share:
+        least = [F.when((F.col("label") == k) & ((F.lit(x >= 1.0)) | (F.col("h") < F.lit(_bound(x)))), True) for k, x in share.items()]
+        some = cut.filter(F.coalesce(*least, F.lit(False))).groupBy("label", "h").agg(F.min("excerpt").alias("excerpt"))
+        best = Window.partitionBy("label").orderBy("h")  # few rows by now
+        found: dict[str, list[bytes]] = {}
+        for row in some.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_label).orderBy("label", "h").collect():
+            found.setdefault(row["label"], []).append(bytes(row["excerpt"]))
+        done = {k for k, x in share.items() if x >= 1.0 or len(found.get(k, [])) >= per_label}
+        out |= {k: found[k] for k in done if k in found}
+        share = {k: SPARE * x for k, x in share.items() if k not in done}
     return out
 
 
+def _bound(share: float) -> int:
+    """The 64-bit hash that about ``share`` of all are below."""
+    return int(-(2**63) + min(1.0, share) * (2**64 - 1)) if share < 1.0 else 2**63 - 1
+
+
 def dictionaries(found: dict[str, list[bytes]]) -> dict[str, bytes]:
     """Per label, its excerpts one after another up to DICTIONARY_BYTES."""
     return {k: b"\n".join(v)[:DICTIONARY_BYTES] for k, v in sorted(found.items())}

@@ -26,7 +26,7 @@ def fit(documents: DataFrame, label: str = "lang") -> dict[str, tuple[bytes, flo
     """Dictionary and cost in bytes of each non-null label of ``documents`` (doc_id, text, label); empty if there is none."""
     known = documents.filter(F.col(label).isNotNull()).withColumn("text", F.lower("text"))
     counts = {r[label]: r["n"] for r in known.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    made = dictionaries(excerpts(known, label, PER_LANGUAGE))
+    made = dictionaries(excerpts(known, label, PER_LANGUAGE, counts))
     return {k: (v, -math.log2(counts[k] / sum(counts.values())) / 8) for k, v in made.items()}
 
 

@@ -58,7 +58,7 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     wanted = known.filter(
         ((F.col("quality") == 1) & hash_share("doc_id", 11, 6 * PER_LABEL / counts[1])) | ((F.col("quality") == 0) & hash_share("doc_id", 11, 6 * PER_LABEL / counts[0]))
     )
-    found = excerpts(documents.join(F.broadcast(wanted), "doc_id"), "quality", PER_LABEL)
+    found = excerpts(documents.join(F.broadcast(wanted), "doc_id"), "quality", PER_LABEL, {k: 6 * PER_LABEL for k in counts})
     model = dictionaries({str(k): v for k, v in found.items()})
     scored = cut(_signals(sizes(documents, [model.get("1", b""), model.get("0", b""), b""])), "quality-signals")
     sample = bounded_sample(known, 12, FIT_ROWS)
