@@ -9,6 +9,7 @@ from webcorpus.operators import media as M
 from webcorpus.operators import report as R
 from webcorpus.sources import io as IO
 from webcorpus.sources import sinks as K
+from webcorpus.sources.store import read_store
 
 
 def _tmp():
@@ -72,7 +73,7 @@ def test_sinks_roundtrip(spark):
     assert spark.read.json(f"{d}/urls/run_id=r1").count() == 1
     pages = spark.createDataFrame([(1, "https://www.a.com/p/q", "<p>x</p>")], "page_id long, url string, html string")
     K.write_pages(pages, f"{d}/pages")
-    back = spark.read.parquet(f"{d}/pages").first()
+    back = read_store(spark, f"{d}/pages").first()
     assert back.site == "www_a_com" and back.mirror_path == "p/q.html"
 
 
@@ -109,7 +110,9 @@ def test_fetchlog_labels_and_reports(spark):
     assert toc == ["- [Root](index.md)", "- **d/**", "  - [A](d/a.md)", "  - [B](d/b.md)", "  - **e/**",
                    "    - [Z](d/e/z.md)"]
     idx = [r.line for r in R.site_index(res).orderBy("sort_key").collect()]
-    assert idx[0] == "# s.com Content Archive" and idx[6:12] == toc
+    assert idx[0] == "# Pages of s.com" and idx[6:12] == toc and idx[-1].startswith("Written on 2")
+    own = [r.line for r in R.site_index(res, heading="{site}!", contents="C").orderBy("sort_key").collect()]
+    assert own[0] == "# s.com!" and own[4] == "## C"
 
 
 def test_media_refs_all_kinds(spark):

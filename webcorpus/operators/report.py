@@ -34,7 +34,8 @@ def table_of_contents(results: DataFrame, root: str = "") -> DataFrame:
     first its files by title, then its sub-directories by name, recursively; files at the
     root come first (Q10).  ``results(url, title, markdown_path, converted)``."""
     ok = results.where(conversion_ok(results) & F.col("markdown_path").isNotNull() & (F.col("markdown_path") != ""))
-    rel = F.regexp_replace(F.col("markdown_path"), "^" + root, "") if root else F.col("markdown_path")
+    path = F.col("markdown_path")
+    rel = F.when(path.startswith(root), F.substring(path, len(root) + 1, 1 << 30)).otherwise(path) if root else path
     files = ok.select(
         U.get_domain("url").alias("site"),
         rel.alias("path"),
@@ -61,28 +62,22 @@ def table_of_contents(results: DataFrame, root: str = "") -> DataFrame:
                        F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("line_body")).alias("line"))
 
 
-def site_index(results: DataFrame, when: Column | None = None) -> DataFrame:
-    """README lines per site: heading from the site's first url (by url order), intro,
-    the table of contents, footer with the generation date."""
+def site_index(results: DataFrame, when: Column | None = None, heading: str = "Pages of {site}",
+               intro: str = "Markdown copies of the pages of {site}.", contents: str = "Pages", colophon: str = "Written on {date}.") -> DataFrame:
+    """Index lines per site: heading, introduction, the table of contents, and a closing line with the date. The texts are
+    the caller's; ``{site}`` and ``{date}`` stand for the site (or 'a site without a name') and the day of ``when`` (today)."""
     when = when if when is not None else F.current_date()
-    # The index's heading, intro and footer wording.
     toc = table_of_contents(results).select("site", F.concat(F.lit("1"), F.col("sort_key")).alias("sort_key"), "line")
-    sites = results.where(F.col("url").isNotNull() & (F.col("url") != "")).select(
-        U.get_domain("url").alias("site")).distinct()
-    title = F.when(F.col("site") != "", F.concat(F.col("site"), F.lit(" Content Archive"))).otherwise(
-        F.lit("Website Content Archive"))
-    head = sites.select("site", F.posexplode(F.array(
-        F.concat(F.lit("# "), title), F.lit(""),
-        F.concat(F.lit("This repository contains archived content from "), F.col("site"),
-                 F.lit(", converted to Markdown format for easy viewing on GitHub.")),
-        F.lit(""), F.lit("## Content"), F.lit(""))).alias("i", "line")).select(
-        "site", F.concat(F.lit("0"), F.lpad(F.col("i").cast("string"), 3, "0")).alias("sort_key"), "line")
-    foot = sites.select("site", F.posexplode(F.array(
-        F.lit(""), F.lit("---"), F.lit(""), F.lit("## About This Archive"), F.lit(""),
-        F.concat(F.lit("This content was archived on "), F.date_format(when, "yyyy-MM-dd"), F.lit(".")))).alias(
-        "i", "line")).select("site", F.concat(F.lit("2"), F.lpad(F.col("i").cast("string"), 3, "0")).alias("sort_key"),
-                             "line")
-    return head.unionByName(toc).unionByName(foot)
+    sites = results.where(F.col("url").isNotNull() & (F.col("url") != "")).select(U.get_domain("url").alias("site")).distinct()
+    name = F.when(F.col("site") != "", F.col("site")).otherwise(F.lit("a site without a name"))
+
+    def lines(place: str, *texts: str) -> DataFrame:
+        filled = [F.replace(F.replace(F.lit(t), F.lit("{site}"), name), F.lit("{date}"), F.date_format(when, "yyyy-MM-dd")) for t in texts]
+        rows = sites.select("site", F.posexplode(F.array(*filled)).alias("i", "line"))
+        return rows.select("site", F.concat(F.lit(place), F.lpad(F.col("i").cast("string"), 3, "0")).alias("sort_key"), "line")
+
+    head = lines("0", f"# {heading}", "", intro, "", f"## {contents}", "")
+    return head.unionByName(toc).unionByName(lines("2", "", colophon))
 
 
 def page_records(docs: DataFrame) -> DataFrame:

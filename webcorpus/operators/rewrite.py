@@ -81,18 +81,19 @@ def _spots_udf(html: pd.Series) -> pd.DataFrame:
 
 
 def _local_sql(base: str, ref: str, prefix: str) -> str:
-    """The quoted local path of a reference, NULL if it stays as it is (another site, or a link that is no document)."""
+    """The quoted local path of a reference; '' if it stays as it is (another site), NULL if it is a link to no document."""
     def of(url: str) -> str:
         path = let(f"trim(BOTH '/' FROM {US.url_split(url)}.path)", lambda p: f"CASE WHEN {p} = '' THEN concat('media_', xxhash64({url})) ELSE {p} END")
         extensions = ", ".join(lit(e) for e in DOCUMENT_EXTENSIONS)
-        here = f"{US.site_key(url)} = {US.site_key(base)} AND ({ref}.kind <> 'document' OR {_ext_sql(url)} IN ({extensions}))"
-        return f"CASE WHEN {here} THEN concat('\"', replace(replace(concat({prefix}, '/', {path}), '&', '&amp;'), '\"', '&quot;'), '\"') END"
+        medium = f"{ref}.kind <> 'document' OR {_ext_sql(url)} IN ({extensions})"
+        here = f"{US.site_key(url)} = {US.site_key(base)}"
+        return f"CASE WHEN NOT ({medium}) THEN NULL WHEN NOT ({here}) THEN '' ELSE concat('\"', replace(replace(concat({prefix}, '/', {path}), '&', '&amp;'), '\"', '&quot;'), '\"') END"
 
     return let(US.url_join(base, f"{ref}.value", U.USES_RELATIVE, U.USES_NETLOC), of)
 
 
 def rewrite_media_refs(pages: DataFrame, html_dir: str = "HTML", media_dir: str = "media") -> DataFrame:
-    """page_id, url, html (rewritten), references, rewritten: img, script, stylesheet, video, audio, source and document
+    """page_id, url, html (rewritten), references (to media, of any site), rewritten: img, script, stylesheet, video, audio, source and document
     references of the page's own site point to ``media_dir``, relative to the page's file in ``html_dir`` (both in the
     site's folder). NULL html stays NULL with 0 references. Map-only."""
     cut = pages.select("page_id", "url", _spots_udf("html").alias("s"))
@@ -100,9 +101,9 @@ def rewrite_media_refs(pages: DataFrame, html_dir: str = "HTML", media_dir: str
     cut = cut.select("page_id", "url", "s.segments", "s.refs", U.relative_path(F.lit(media_dir), folder).alias("prefix"))
     r, s, k, x = _v("r"), _v("s"), _v("k"), _v("x")
     cut = cut.withColumn("local", F.expr(f"transform(refs, {r} -> {_local_sql(ident('url'), r, ident('prefix'))})"))
-    new = f"zip_with(refs, local, ({r}, {x}) -> coalesce({x}, {r}.raw))"
+    new = f"zip_with(refs, local, ({r}, {x}) -> coalesce(nullif({x}, ''), {r}.raw))"
     html = f"concat(array_join(flatten(zip_with(slice(segments, 1, size(refs)), {new}, ({s}, {k}) -> array({s}, {k}))), ''), element_at(segments, -1))"
     count = lambda c: F.coalesce(c, F.lit(0)).cast("int")
     return cut.select("page_id", "url", F.when(F.col("refs").isNotNull(), F.expr(html)).alias("html"),
-                      count(F.when(F.col("refs").isNotNull(), F.size("refs"))).alias("references"),
-                      count(F.when(F.col("refs").isNotNull(), F.size(F.filter("local", lambda v: v.isNotNull())))).alias("rewritten"))
+                      count(F.when(F.col("refs").isNotNull(), F.size(F.filter("local", lambda v: v.isNotNull())))).alias("references"),
+                      count(F.when(F.col("refs").isNotNull(), F.size(F.filter("local", lambda v: v != "")))).alias("rewritten"))

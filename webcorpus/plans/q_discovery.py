@@ -117,5 +117,5 @@ SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM t WHERE regexp_
 def q_exclude_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F5 with a pattern table that grows with the corpus: one pattern per host and last digit of a page id."""
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
-    patterns = pages.select(F.expr(_PATTERN.format(host="split_part(url, '/', 3)", dot=chr(92) * 4 + ".")).alias("pattern"))
+    patterns = pages.select(F.expr(_PATTERN.format(host="split_part(url, '/', 3)", dot=chr(92) * 2 + ".")).alias("pattern"))
     return FR.exclude_urls(pages, patterns)

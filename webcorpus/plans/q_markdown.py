@@ -221,7 +221,7 @@ _GAP = "chr(10) || chr(10)"
 # headings, paragraphs and unclosed bold text; links and the image (whose urls and names the view fixes)
 _MARKED = _sub(
     "regexp_extract(html, '(?s)<article>(.*)</article>', 1)",
-    ("<h1>([^<]*)</h1>", rf"'# \1' || {_GAP}"), ("<br>", _GAP), ("<p><b>", f"{_GAP} || '**'"), ("</?p>", _GAP),
+    ("<h1>([^<]*)</h1>", rf"'# \1' || {_GAP}"), ("<br>", "chr(10)"), ("<p><b>", f"{_GAP} || '**'"), ("</?p>", _GAP),
     ('<a href="/([^"]*)">([^<]*)</a>', r"'[\2](<' || " + S.origin("url") + r" || '/\1>)'"), ('<a href="([^"]*)">([^<]*)</a>', r"'[\2](<\1>)'"),
     ('<img src="/img/([0-9]*.png)[^"]*">', r"'![](images/\1)'"))
 _BODY = _sub("rtrim(" + _sub(f"replace({S.unescape(_MARKED)}, chr(160), ' ')", (r" *\n *", "chr(10)"), (" +", "' '")) + ", ' ' || chr(10))", (r"\n\n+", _GAP))

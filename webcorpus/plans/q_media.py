@@ -94,7 +94,7 @@ _MIRROR_DIR = f"""(CASE WHEN trim({S.path('url')}, '/') = '' THEN '' ELSE regexp
     f"""
 WITH f AS (SELECT page_id, url, html, repeat('../', CASE WHEN {_MIRROR_DIR} = '' THEN 1
              ELSE 2 + length({_MIRROR_DIR}) - length(replace({_MIRROR_DIR}, '/', '')) END) || 'media/' AS m FROM pages)
-SELECT page_id, url, 10 AS "references", 7 AS rewritten,
+SELECT page_id, url, 8 AS "references", 6 AS rewritten,
   replace(html, '</article>',
     '<img src="' || m || 'img/' || {_NUMBER.format(k=20)} || '.png"><script src="' || m || 'js/a&amp;b.js"></script>'
     || '<link rel="preload stylesheet" href="' || m || 'css/site.css"><video src="' || m || 'v/' || {_NUMBER.format(k=5)} || '.mp4"></video>'

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import fetchlog as FL
 from ..operators import linkcheck as LC
 from ..operators import report as R
-from ..operators.markdown import parse_front_matter
+from ..operators.markdown import convert, parse_front_matter
 from ..sources.fixtures import FX_FETCH_LOG_SQL, FX_MARKDOWN_SQL, fx_fetch_log, fx_markdown
 from ..sources.tables import load
 from . import sqlfrag as S
-from .q_markdown import _LINKS_SQL
+from .q_markdown import _LINKS_SQL, _convertible
 from .registry import register
 
 
@@ -119,3 +119,39 @@ def q_error_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = R.first_errors(v, ["path", "pos"], line, "Broken Links")
     return out.select("section", F.col("rank").cast("int").alias("rank"), "line")
 
+
+@register(
+    "site_index",
+    f"""WITH {_DOCS_SQL},
+s AS (SELECT DISTINCT {S.netloc('url')} AS site FROM docs),
+f AS (SELECT {S.netloc('url')} AS site, markdown_path AS path, title, regexp_extract(markdown_path, '^pages/([^/]*)/', 1) AS k FROM docs)
+SELECT site, '000' || i AS sort_key, CASE i WHEN 0 THEN '# Pages of ' || site WHEN 2 THEN 'Markdown copies of the pages of ' || site || '.'
+         WHEN 4 THEN '## Pages' ELSE '' END AS line FROM s, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS i)
+UNION ALL SELECT site, '11pages' || chr(1) || '1' || k || chr(1) || '0' || title, '    - [' || title || '](' || path || ')' FROM f
+UNION ALL SELECT DISTINCT site, '11pages', '- **pages/**' FROM f
+UNION ALL SELECT DISTINCT site, '11pages' || chr(1) || '1' || k, '  - **' || k || '/**' FROM f
+UNION ALL SELECT site, '2000', '' FROM s UNION ALL SELECT site, '2001', 'Written on 2024-05-06.' FROM s""",
+)
+def q_site_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of every site."""
+    return R.site_index(conversions(spark, sf_dir), F.lit("2024-05-06").cast("date"))
+
+
+@register(
+    "conversion_errors",
+    f"""WITH {FX_FETCH_LOG_SQL.strip()},
+e AS (SELECT page_id, url, CASE WHEN page_id % 43 = 9 THEN 'the page has no HTML' ELSE 'Invalid IPv6 URL' END AS error,
+             row_number() OVER (ORDER BY page_id) AS rank FROM pages WHERE page_id % 43 = 9 OR page_id % 41 = 7),
+l AS (SELECT url, status_code, row_number() OVER (ORDER BY seq) AS rank FROM fx_fetch_log WHERE status_code >= 400)
+SELECT 'Conversion Errors' AS section, CAST(rank AS INTEGER) AS rank, '- ' || url || ': ' || error AS line FROM e WHERE rank <= 10
+UNION ALL SELECT 'Conversion Errors', 11, '- ... and ' || CAST(count(*) - 10 AS VARCHAR) || ' more' FROM e HAVING count(*) > 10
+UNION ALL SELECT 'Download Errors', CAST(rank AS INTEGER), '- ' || url || ': HTTP ' || status_code FROM l WHERE rank <= 10
+UNION ALL SELECT 'Download Errors', 11, '- ... and ' || CAST(count(*) - 10 AS VARCHAR) || ' more' FROM l HAVING count(*) > 10""",
+)
+def q_conversion_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversion and download error lists."""
+    failed = convert(_convertible(spark, sf_dir)).where(~F.col("converted"))
+    one = R.first_errors(failed, ["page_id"], F.concat(F.lit("- "), F.col("url"), F.lit(": "), F.col("error")), "Conversion Errors")
+    bad = fx_fetch_log(spark, sf_dir).where("status_code >= 400")
+    two = R.first_errors(bad, ["seq"], F.concat(F.lit("- "), F.col("url"), F.lit(": HTTP "), F.col("status_code").cast("string")), "Download Errors")
+    return one.unionByName(two).select("section", F.col("rank").cast("int").alias("rank"), "line")

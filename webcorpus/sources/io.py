@@ -64,7 +64,7 @@ def read_markdown(spark: SparkSession, root: str, subdir: str = "pages") -> Data
     base = root.rstrip("/")
     df = (spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true")
           .load(f"{base}/{subdir}"))
-    rel = F.regexp_extract(F.col("path"), r"/(" + subdir + r"/.*)$", 1)
+    rel = F.regexp_extract(F.col("path"), r"(?s)/(\Q" + subdir.replace("\\E", "") + r"\E/.*)$", 1)
     return df.select(rel.alias("path"), decode_text(F.col("content")).alias("content"))
 
 
