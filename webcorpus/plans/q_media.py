@@ -9,6 +9,8 @@ from ..operators import extract as X
 from ..operators import media as M
 from ..operators.html import parse_pages
 from ..operators import rewrite as RW
+from ..operators.links import extract_links
+from ..sources import sinks as SK
 from ..sources.fixtures import FX_PAGES_SQL, fx_media_pages, fx_pages, media_parts
 from ..sources.tables import load
 from . import sqlfrag as S
@@ -89,6 +91,11 @@ _EXTRA = media_parts(lambda k: _NUMBER.format(k=k), lambda p: "'" + p.replace("'
 _MIRROR_DIR = f"""(CASE WHEN trim({S.path('url')}, '/') = '' THEN '' ELSE regexp_extract(trim({S.path('url')}, '/'), '^(.*)/[^/]*$', 1) END)"""
 
 
+_PATH = f"trim({S.path('url')}, '/')"
+_MIRROR = f"""CASE WHEN {_PATH} = '' THEN replace({S.netloc('url')}, '.', '_') || '_index.html'
+  WHEN regexp_extract({_PATH}, '([^/]*)$', 1) LIKE '%.%' THEN {_PATH} ELSE {_PATH} || '.html' END""".replace("(url", "(p.url")
+
+
 @register(
     "rewritten_pages",
     f"""
@@ -144,3 +151,29 @@ def q_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H11-H20 article metadata for every page (lists joined with '|' for the comparison)."""
     md = X.extract_metadata(parse_pages(load(spark, sf_dir, "pages")), with_timestamp=False)
     return md.withColumn("categories", F.array_join("categories", "|")).withColumn("tags", F.array_join("tags", "|"))
+
+
+@register(
+    "page_metadata",
+    f"""WITH {MEDIA_CTE}, {S.anchors_cte()},
+l AS (SELECT page_id, count(*) AS n_links, string_agg(url || ' ' || text, '|' ORDER BY pos) AS links FROM links GROUP BY 1),
+m AS (SELECT page_id, count(*) AS n_media, count(status) AS n_handled, string_agg(file_path || ' ' || status, '|' ORDER BY pos) FILTER (WHERE status IS NOT NULL) AS media FROM status GROUP BY 1)
+SELECT p.page_id, p.url, 200 AS status_code, strlen(p.html) AS size_bytes, CAST(p.page_id % 90 AS BIGINT) AS download_time_ms, 'text/html' AS content_type,
+       'nginx' AS server, {_MIRROR} AS download_path, regexp_replace({_MIRROR}, '\\.[^./]*$', '') || '_meta.json' AS metadata_path,
+       CAST(n_links AS INTEGER) AS n_links, links, CAST(n_media AS INTEGER) AS n_media, CAST(n_handled AS INTEGER) AS n_handled, media
+FROM pages p LEFT JOIN l ON l.page_id = p.page_id LEFT JOIN m ON m.page_id = p.page_id""",
+)
+def q_page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 (+H3, W3, A5, U14, U15): the metadata record of every page."""
+    pages = fx_pages(spark, sf_dir)
+    log = load(spark, sf_dir, "pages").select(
+        "page_id", "url", F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.octet_length("html").alias("size_bytes"),
+        (F.col("page_id") % 90).alias("download_time_ms"), F.create_map(F.lit("Server"), F.lit("nginx")).alias("headers"))
+    parsed = parse_pages(pages)
+    status = M.media_status(M.extract_media(parsed))
+    record = SK.page_metadata(log, extract_links(parsed), M.media_items(status), M.media_summary(status))
+    return record.select(
+        "page_id", "url", "status_code", "size_bytes", "download_time_ms", "content_type", F.col("headers")["Server"].alias("server"), "download_path", "metadata_path",
+        F.size("links").alias("n_links"), F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x.url, x.text)), "|").alias("links"),
+        F.col("media.total").alias("n_media"), F.col("media.downloaded").alias("n_handled"),
+        F.array_join(F.transform("media.items", lambda x: F.concat_ws(" ", x.file_path, x.status)), "|").alias("media"))
