@@ -2,7 +2,8 @@
 
 Equal sets are one class first. Then products of blocks:
 
-1. Classes that agree in a least hash meet in blocks of bounded size. A block multiplies its incidence matrix row by
+1. Classes that agree in a least hash meet in blocks of bounded size, first by one hash, then one class of each component
+   by the others. A block multiplies its incidence matrix row by
    row, accumulates overlap counts, drops pairs under the bound that the two sizes imply, and skips pairs that are
    connected already. This finds most links inside groups of copies at a cost linear in the group.
 2. What remains is done exactly. In an order of n-grams from rare to frequent, two linked sets share one of their first
@@ -10,17 +11,21 @@ Equal sets are one class first. Then products of blocks:
    components share, hot ones in blocks. Overlaps are added up per pair; pairs that cannot reach the bound with
    what lies beyond the parts are discarded, and the rest is verified on whole sets.
 
-Any order of n-grams gives the same links; frequencies only make it fast, so they may be estimates.
+Any order of n-grams gives the same links; frequencies only make it fast, so they may be estimates. Tables that grow with the
+input are merge joined to texts and first parts at every size, not broadcast while they are small.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, narrowed, slices, text_of
+from .common import cut, free_memory, narrowed, slices, text_of
 from .components import components
 from .shingles import fingerprint, least_hashes, shingle_sets
 
@@ -34,6 +39,8 @@ SLICE = 2 << 20
 PAIRED, PRODUCT_DOCUMENTS = 32, 2000
 #: Share of documents (one in ...) whose first parts correct the estimated counts, and how often.
 SAMPLE, CORRECTIONS = 8, 2
+#: Bits of the filter of shared n-grams, and of the number of its parts.
+FILTER_BITS, FILTER_PART_BITS = 27, 7
 
 
 def enough(overlap, a, b, percent: int):
@@ -88,13 +95,19 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
     return links
 
 
-def _blocks(classes: DataFrame) -> DataFrame:
-    """doc_id and keys (i, h, b): the blocks of each class that agrees in a least hash with others.
+def _done_with(table: pa.Table) -> None:
+    """Large groups' memory goes back to the system before the next one comes."""
+    if table.num_rows >= 200:
+        free_memory()
+
+
+def _blocks(classes: DataFrame, since: int, number: int) -> DataFrame:
+    """doc_id and keys (i, h, b): the blocks of each class that agrees with others in one of ``number`` least hashes from ``since`` on.
 
     Near copies mostly agree in several least hashes, so the same classes would meet in several blocks: of single
     blocks with the same members one stays.
     """
-    keys = classes.select("rep", F.posexplode("least").alias("i", "h"))
+    keys = classes.select("rep", F.posexplode(F.slice("least", since + 1, number)).alias("i", "h")).withColumn("i", F.col("i") + since)
     members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("m"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2")]
     counts = keys.groupBy("i", "h").agg(*members).filter("n > 1").withColumn("big", F.when(F.col("n") > BLOCK_DOCUMENTS, F.struct("i", "h")))
     counts = counts.groupBy("n", "m", "m2", "big").agg(F.min(F.struct("i", "h")).alias("key")).select("key.*", F.ceil(F.col("n") / BLOCK_DOCUMENTS).alias("blocks"))
@@ -105,12 +118,13 @@ def _blocks(classes: DataFrame) -> DataFrame:
 
 def _copies(documents: DataFrame, wanted: DataFrame, n: int, percent: int) -> DataFrame:
     """Step 1: links (a, b) inside blocks (``wanted``); every pair of a block is connected by them or is no link."""
-    rows = narrowed(documents, "doc_id", wanted).join(wanted, "doc_id").select("doc_id", "text", F.explode("keys").alias("key")).select("doc_id", "text", "key.*")
+    rows = narrowed(documents, "doc_id", wanted).join(wanted.hint("merge"), "doc_id").select("doc_id", "text", F.explode("keys").alias("key")).select("doc_id", "text", "key.*")
 
     def run(table: pa.Table) -> pa.Table:
         ids, at = np.unique(table["doc_id"].to_numpy(), return_index=True)
         texts = text_of(table.select(["text"]).take(pa.array(at)).combine_chunks().to_batches()[0])
         links = block_links(ids, shingle_sets(texts, n), percent) if len(ids) > 1 else []
+        _done_with(table)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return rows.groupBy("i", "h", "b").applyInArrow(run, "a long, b long")
@@ -166,7 +180,7 @@ def corrected(documents: DataFrame, labelled: DataFrame, n: int, percent: int, c
     counts. At most FREQUENT_SHARE rows reach the driver: the least count is the least power of two that allows it.
     """
     chosen = F.expr(f"pmod(xxhash64(doc_id, 7), {SAMPLE}) = 0")
-    parts = first_parts(documents.filter(chosen), n, percent, common).join(labelled.filter(chosen).select("doc_id", "component"), "doc_id")
+    parts = first_parts(documents.filter(chosen), n, percent, common).join(labelled.filter(chosen).select("doc_id", "component").hint("merge"), "doc_id")
     grams = parts.select("component", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
     found = cut(grams.filter("lo != hi").select("gram", "n"), "join-often")
     level = F.floor(F.log2("n")).cast("int")
@@ -184,6 +198,45 @@ def corrected(documents: DataFrame, labelled: DataFrame, n: int, percent: int, c
     return kept, counts[order][at]
 
 
+def gram_filter(grams: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, one for each value of an n-gram's first bits, set for those of ``grams`` (gram): 16 MB, whatever their number.
+
+    With many more n-grams than bits it only saves less. It is built in parts, which alone reach the driver."""
+    rest = FILTER_BITS - FILTER_PART_BITS
+
+    def run(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << rest, bool)
+        bits[table["place"].to_numpy()] = True
+        return pa.table({"part": table["part"].combine_chunks()[:1], "bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
+
+    first = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
+    places = grams.select(F.shiftrightunsigned(first, rest).cast("int").alias("part"), first.bitwiseAND(F.lit((1 << rest) - 1)).cast("int").alias("place"))
+    out = np.zeros((1 << FILTER_PART_BITS, 1 << rest >> 3), np.uint8)
+    for r in places.distinct().groupBy("part").applyInArrow(run, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out.reshape(-1)
+
+
+def _held(parts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """doc_id, place, gram: the postings of ``parts`` whose n-gram may be one of the filter's; map-only."""
+    shared = parts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        held = shared.value
+        for batch in batches:
+            lists = batch.column("grams")
+            lengths = pc.list_value_length(lists).to_numpy()
+            flat = lists.flatten().to_numpy()
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            at = (flat.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            keep = np.flatnonzero((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            docs = np.repeat(batch.column("doc_id").to_numpy(), lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(docs[keep]), pa.array(place[keep].astype(np.int32)), pa.array(flat[keep])], ["doc_id", "place", "gram"])
+        free_memory()
+
+    return parts.select("doc_id", "grams").mapInArrow(run, "doc_id long, place int, gram long")
+
+
 def _products(parts: DataFrame, live: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of documents that share a hot n-gram (``live``: gram, doc_id, block, blocks) and may be linked.
 
@@ -197,6 +250,7 @@ def _products(parts: DataFrame, live: DataFrame, marks: DataFrame, percent: int)
 
     def run(table: pa.Table) -> pa.Table:
         links = product_pairs(table.sort_by("doc_id"), table["i"][0].as_py(), table["j"][0].as_py(), percent)
+        _done_with(table)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return rows.groupBy("gram", "i", "j").applyInArrow(run, "a long, b long").distinct()
@@ -243,12 +297,13 @@ def _rest(documents: DataFrame, classes: DataFrame, blocks: DataFrame, found: Da
     common = frequent(documents, n, total)
     for _ in range(CORRECTIONS):
         common = corrected(documents, labelled, n, percent, common)
-    parts = first_parts(documents, n, percent, common).join(labelled.select("doc_id", "component"), "doc_id")
+    parts = first_parts(documents, n, percent, common).join(labelled.select("doc_id", "component").hint("merge"), "doc_id")
     parts = cut(parts.select("doc_id", "component", "grams"), "join-parts")
     postings = parts.select("doc_id", "component", F.posexplode("grams").alias("place", "gram"))
     per = postings.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
     per = per.select("gram", F.when(F.col("n") > PAIRED, F.ceil(F.col("n") / PRODUCT_DOCUMENTS)).otherwise(1).cast("int").alias("blocks"), (F.col("n") > PAIRED).alias("hot"))
-    live = cut(postings.drop("component").join(per, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "join-live")
+    per = cut(per, "join-shared")
+    live = cut(_held(parts, gram_filter(per)).join(per, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "join-live")
     tags = blocks.select("doc_id", F.transform("keys", lambda k: F.xxhash64(k["i"], k["h"], k["b"])).alias("tags"))
     marks = labelled.join(tags, "doc_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<long>")))
     hot = cut(_products(parts, live.filter("hot"), marks, percent), "join-pairs")
@@ -302,6 +357,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, n: int, percent: int, bits
                 both = np.sort(np.concatenate([_numbered(s), _numbered(t)])) if bits < 64 else np.sort(np.concatenate([s, t]))
                 keep.append(enough(int((both[1:] == both[:-1]).sum()), len(s), len(t), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        free_memory()
 
     return both.select("a", "b", "ga", "gb").mapInArrow(verify, "a long, b long")
 
@@ -325,9 +381,15 @@ def join(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     sets = cut(set_table(documents, n), "join-sets")
     some = sets.filter("size > 0 AND doc_id IS NOT NULL")
     classes = cut(some.groupBy("size", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("least").alias("least")), "join-classes")
-    blocks = _blocks(classes)
+    # texts travel once for the first hash; for the others only one document of each component found by then does
+    blocks = _blocks(classes, 0, 1)
     first = cut(_copies(documents, blocks, n, percent), "join-links")
+    begun = cut(components(first), "join-begun")
+    apart = classes.join(begun.filter("id != component").select(F.col("id").alias("rep")), "rep", "left_anti")
+    more = _blocks(apart, 1, LEAST_HASHES - 1)
+    first = cut(first.union(_copies(documents, more, n, percent)), "join-links")
     early = cut(components(first), "join-early")
+    blocks = blocks.union(more).groupBy("doc_id").agg(F.flatten(F.collect_list("keys")).alias("keys"))  # at most LEAST_HASHES
     rest = cut(_rest(documents, classes, blocks, early, n, percent), "join-links")
     # what is left: components of the components that step 2 links
     label = early.select(F.col("id").alias("x"), "component")
