@@ -21,8 +21,10 @@ from webcorpus.sources.tables import load  # noqa: E402
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (all columns) whose doc_id is not in ``rejected``; a null id is never rejected."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` (all columns) whose doc_id is not in ``rejected``; a null id is never rejected.
+
+    ``rejected`` grows with the input, so it is merge joined at every size: one shuffle of the texts."""
+    return docs.join(rejected.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
