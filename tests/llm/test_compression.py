@@ -8,6 +8,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from webcorpus.llm import compression, language_id, quality_classifier
+from webcorpus.llm.common import hash_share
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -65,7 +66,8 @@ def test_quality_score_is_the_calibrated_size_difference(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
     labels = spark.createDataFrame([(i, int(k != "fr")) for i, t, k, _ in rows[:200]], "doc_id long, quality int")
     out = {r.doc_id: r for r in quality_classifier.score(docs, labels).collect()}
-    found = compression.excerpts(docs.join(labels, "doc_id"), "quality", quality_classifier.PER_LABEL, {0: 10, 1: 10})
+    half = docs.join(labels, "doc_id").filter(hash_share("doc_id", 11, 0.5))
+    found = compression.excerpts(half, "quality", quality_classifier.PER_LABEL, {0: 10, 1: 10})
     good, bad = (compression.dictionaries({str(k): v for k, v in found.items()})[str(k)] for k in (1, 0))
     for i, text, _, _ in rows[:40]:
         n = len(text.encode())

@@ -54,14 +54,18 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     if len(counts) < 2:
         return documents.select("doc_id", F.lit(share).alias("score"))
-    # dictionaries: a bounded number of labelled rows, few enough to be broadcast
-    wanted = known.filter(
-        ((F.col("quality") == 1) & hash_share("doc_id", 11, 6 * PER_LABEL / counts[1])) | ((F.col("quality") == 0) & hash_share("doc_id", 11, 6 * PER_LABEL / counts[0]))
-    )
+    # dictionaries: a bounded number of labelled rows, few enough to be broadcast, and at most half of them: the curve is
+    # fitted on others, as a text that lies in a dictionary itself compresses better than any new one
+    share_of = {k: min(0.5, 6 * PER_LABEL / n) for k, n in counts.items()}
+    in_dictionary = ((F.col("quality") == 1) & hash_share("doc_id", 11, share_of[1])) | ((F.col("quality") == 0) & hash_share("doc_id", 11, share_of[0]))
+    wanted = known.filter(in_dictionary)
     found = excerpts(documents.join(F.broadcast(wanted), "doc_id"), "quality", PER_LABEL, {k: 6 * PER_LABEL for k in counts})
     model = dictionaries({str(k): v for k, v in found.items()})
     scored = cut(_signals(sizes(documents, [model.get("1", b""), model.get("0", b""), b""])), "quality-signals")
-    sample = bounded_sample(known, 12, FIT_ROWS)
+    rest = known.filter(~in_dictionary)
+    if rest.select("quality").distinct().count() < 2:  # too few rows to part
+        rest = known
+    sample = bounded_sample(rest, 12, FIT_ROWS)
     rows = scored.join(F.broadcast(sample), "doc_id").select("quality", *[x.alias(f"x{i}") for i, x in enumerate(_basis())]).toPandas()
     data = rows.to_numpy(float)
     if not len(data) or len(np.unique(data[:, 0])) < 2:
