@@ -28,14 +28,14 @@ from .common import cut, free_memory, narrowed, slices, text_of
 from .components import components
 from .shingles import fingerprint, least_hashes, shingle_sets
 
-#: Documents in a block of step 1.
-BLOCK_DOCUMENTS = 1000
+#: Documents, and n-grams of all of them, in a block of step 1.
+BLOCK_DOCUMENTS, BLOCK_GRAMS = 1000, 1_500_000
 LEAST_HASHES = 4
 #: An n-gram counts as frequent from this many occurrences, and from 2^-20 of all (so there are at most 2^20 of them).
 FREQUENT, FREQUENT_SHARE = 16, 1 << 20
 SLICE = 2 << 20
 #: N-grams with more postings than this are multiplied inside tasks; they come in blocks of so many documents.
-PAIRED, PRODUCT_DOCUMENTS = 32, 2000
+PAIRED, PRODUCT_DOCUMENTS, PRODUCT_GRAMS = 32, 2000, 500_000
 #: Share of documents (one in ...) whose first parts correct the estimated counts, and how often.
 SAMPLE, CORRECTIONS = 8, 2
 #: Bits of the filter of shared n-grams, and of the number of its parts.
@@ -106,10 +106,12 @@ def _blocks(classes: DataFrame) -> DataFrame:
     Near copies mostly agree in several least hashes, so the same classes would meet in several blocks: of single
     blocks with the same members one stays.
     """
-    keys = classes.select("rep", F.posexplode("least").alias("i", "h"))
-    members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("m"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2")]
-    counts = keys.groupBy("i", "h").agg(*members).filter("n > 1").withColumn("big", F.when(F.col("n") > BLOCK_DOCUMENTS, F.struct("i", "h")))
-    counts = counts.groupBy("n", "m", "m2", "big").agg(F.min(F.struct("i", "h")).alias("key")).select("key.*", F.ceil(F.col("n") / BLOCK_DOCUMENTS).alias("blocks"))
+    keys = classes.select("rep", "size", F.posexplode("least").alias("i", "h"))
+    members = [F.count("*").alias("n"), F.sum("size").alias("grams"), F.bit_xor(F.xxhash64("rep")).alias("m"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("m2")]
+    counts = keys.groupBy("i", "h").agg(*members).filter("n > 1")
+    counts = counts.withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK_DOCUMENTS), F.ceil(F.col("grams") / BLOCK_GRAMS)))
+    counts = counts.withColumn("big", F.when(F.col("blocks") > 1, F.struct("i", "h")))
+    counts = counts.groupBy("n", "m", "m2", "big", "blocks").agg(F.min(F.struct("i", "h")).alias("key")).select("key.*", "blocks")
     members = keys.join(counts, ["i", "h"]).select("rep", F.struct("i", "h", F.pmod(F.xxhash64("rep", "i"), "blocks").alias("b")).alias("key"))
     wanted = members.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("key").alias("keys"))  # at most LEAST_HASHES
     return cut(wanted, "join-blocks")
@@ -121,8 +123,9 @@ def _copies(documents: DataFrame, wanted: DataFrame, n: int, percent: int) -> Da
 
     def run(table: pa.Table) -> pa.Table:
         ids, at = np.unique(table["doc_id"].to_numpy(), return_index=True)
-        texts = text_of(table.select(["text"]).take(pa.array(at)).combine_chunks().to_batches()[0])
-        links = block_links(ids, shingle_sets(texts, n), percent) if len(ids) > 1 else []
+        rows = table.select(["text"]).take(pa.array(at)).combine_chunks().to_batches()
+        parts = rows if table.nbytes < 2 * SLICE else slices(rows, "text", SLICE)
+        links = block_links(ids, [x for part in parts for x in shingle_sets(text_of(part), n)], percent) if len(ids) > 1 else []
         _done_with(table)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
@@ -300,12 +303,17 @@ def _rest(documents: DataFrame, classes: DataFrame, blocks: DataFrame, found: Da
     parts = cut(parts.select("doc_id", "component", "grams"), "join-parts")
     postings = parts.select("doc_id", "component", F.posexplode("grams").alias("place", "gram"))
     per = postings.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
-    per = per.select("gram", F.when(F.col("n") > PAIRED, F.ceil(F.col("n") / PRODUCT_DOCUMENTS)).otherwise(1).cast("int").alias("blocks"), (F.col("n") > PAIRED).alias("hot"))
-    per = cut(per, "join-shared")
-    live = cut(_held(parts, gram_filter(per)).join(per, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")), "join-live")
+    per = cut(per.select("gram", (F.col("n") > PAIRED).alias("hot")), "join-shared")
+    live = cut(_held(parts, gram_filter(per)).join(per, "gram"), "join-live")
     tags = blocks.select("doc_id", F.transform("keys", lambda k: F.xxhash64(k["i"], k["h"], k["b"])).alias("tags"))
     marks = labelled.join(tags, "doc_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<long>")))
-    hot = cut(_products(parts, live.filter("hot"), marks, percent), "join-pairs")
+    # blocks of a hot n-gram's documents: bounded in documents and in the n-grams of their first parts
+    often = live.filter("hot").select("gram", "doc_id")
+    length = F.sum((100 - percent) * F.col("size") / 100 + 1)
+    blocks_of = often.join(labelled.select("doc_id", "size"), "doc_id").groupBy("gram").agg(
+        F.greatest(F.ceil(F.count("*") / PRODUCT_DOCUMENTS), F.ceil(length / PRODUCT_GRAMS)).cast("int").alias("blocks"))
+    often = often.join(blocks_of, "gram").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    hot = cut(_products(parts, often, marks, percent), "join-pairs")
     live = live.filter("NOT hot").join(marks, "doc_id")
     side = lambda c: live.select("gram", F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"), F.col("size").alias(f"s{c}"), F.col("place").alias(f"p{c}"), F.col("tags").alias(f"t{c}"))
     x, y = side("a"), side("b")
