@@ -77,10 +77,10 @@ def test_crawl_with_seeds_and_outcomes(spark, budget):
 
 def test_crawl_of_random_graphs_in_rounds_of_any_size(spark, monkeypatch):
     rng = random.Random(3)
-    for n, degree, hops, place in ((60, 2, 8, 16), (60, 3, 3, 4), (40, 1, 8, 2)):
+    for n, degree, hops, place in ((60, 2, 8, 16), (60, 3, 3, 4), (40, 1, 8, 2), (30, 0, 2, 5)):  # the last is a long chain
         monkeypatch.setattr(FR, "MAX_HOPS", hops)
         monkeypatch.setattr(FR, "MAX_PLACE", place)
-        links = {i: [rng.randrange(n) for _ in range(degree)] + [i + 1] * (rng.random() < 0.7) for i in range(n)}
+        links = {i: [rng.randrange(n) for _ in range(degree)] + [i + 1] * (degree == 0 or rng.random() < 0.7) for i in range(n)}
         rows = [(i, f"https://h{i % 3}.org/{i}", "".join(f'<a href="https://h{j % 3}.org/{j}">x</a>' for j in rng.sample(t, len(t))),
                  None if i % 11 == 7 else 200, "text/html" if i % 9 else "image/png") for i, t in links.items()]
         df = spark.createDataFrame(rows, "page_id long, url string, html string, status_code int, content_type string")

@@ -139,7 +139,7 @@ def crawl(pages: DataFrame, seeds, max_pages: int | None = None, scope: str = "o
     first = number_rows(seed_rows, ["seq", "url"], "number")
     level = with_page(first.select("url", F.array("number").alias("place")), "url")
     level = level.select("url", "place", "page_id", F.lit(0).alias("depth")).repartition(n, "url").checkpoint()
-    seen, taken, hops = [level], [level], 1
+    seen, taken, hops = [level.select("url")], [level], 1
     size, used, depth, width = level.count(), 0, 0, 1
     if max_pages is not None and size > max_pages:
         return _result(_cut(level, max_pages), info, keep_failed)
@@ -149,7 +149,7 @@ def crawl(pages: DataFrame, seeds, max_pages: int | None = None, scope: str = "o
             level, width = number_rows(level, ["place"], "number").withColumn("place", F.array("number")).drop("number"), 1
         new = _round(level, lists, depth, hops, n)
         for part in seen:
-            new = new.join(part.select("url"), "url", "left_anti")
+            new = new.join(part, "url", "left_anti")
         new = new.checkpoint()
         counts = {r.depth: r.n for r in new.groupBy("depth").agg(F.count("*").alias("n")).collect()}
         for d in range(depth + 1, depth + hops + 1):
@@ -159,9 +159,9 @@ def crawl(pages: DataFrame, seeds, max_pages: int | None = None, scope: str = "o
                 return _result(_union(taken), info, keep_failed)
             used += here
         taken.append(new)
-        seen.append(new)
+        seen.append(new.select("url"))
         if len(seen) > 6:  # keeps plans short: few parts, all partitioned by url
-            seen = [_union(seen).select("url").repartition(n, "url").checkpoint()]
+            seen = [_union(seen).repartition(n, "url").checkpoint()]
         if len(taken) > 24:
             taken = [_union(taken).checkpoint()]
         grown = counts.get(depth + hops, 0) > 1.5 * max(1, size)
