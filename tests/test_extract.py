@@ -86,3 +86,24 @@ def test_main_content_and_cleaning(spark):
     assert got[1] == ("div", "A B")
     assert got[2] == ("body", "plain text")
     assert got[3] == (None, "no body")
+
+
+def test_pages_are_parsed_in_slices_of_bounded_size():
+    """However many rows an Arrow batch has, only a slice of it is held in parsed form; every row comes back in its place."""
+    import pandas as pd
+
+    from webcorpus.operators import html as H
+    from webcorpus.operators import markdown as MD
+    from webcorpus.operators import rewrite as RW
+
+    page = "<article><p>" + "x" * 1000 + '<img src="/a.png"></p></article>'
+    batch = pd.Series([None, "", *[page.replace("x", str(i % 10), 1) for i in range(2500)], "y" * 3 * H.SLICE_CHARS, None, *["<p>z"] * 2500])
+    base = pd.Series(["https://h.com/p"] * len(batch))
+    parsed = list(H._parse_udf.func(iter([batch, batch.iloc[:0]])))
+    assert [x for p in parsed for x in p] == [parse_html(h) for h in batch]
+    rendered = list(MD._render_udf(True, True, None).func(iter([(batch, base)])))
+    spots = list(RW._spots_udf.func(iter([batch])))
+    for parts in (parsed, rendered, spots):
+        assert len(parts) > 5 and sum(map(len, parts)) == len(batch) and max(map(len, parts)) <= 1000
+    assert [r for p in rendered for r in p["body"]][2:5] == [MD.render_markdown(h, "https://h.com/p")["body"] for h in batch[2:5]]
+    assert [s for p in spots for s in p["segments"]][2] == RW.media_spots(batch[2])["segments"]

@@ -21,6 +21,7 @@ Node layout (pre-order, ``idx`` = array position - 1):
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -135,9 +136,27 @@ def parse_html(html):
         return b.nodes
 
 
+#: Characters of HTML of which a task holds the parsed form at once, whatever the size of its Arrow batches; one page at least.
+SLICE_CHARS = 1 << 19
+
+
+def slices(html: pd.Series, chars: int | None = None) -> Iterator[slice]:
+    """Consecutive rows, all of them: a slice ends where it has ``chars`` characters (SLICE_CHARS) or a thousand rows."""
+    start, held, most = 0, 0, chars or SLICE_CHARS
+    for stop, text in enumerate(html, 1):
+        held += len(text or "")
+        if held >= most or stop - start >= 1000:
+            yield slice(start, stop)
+            start, held = stop, 0
+    if start < len(html):
+        yield slice(start, len(html))
+
+
 @F.pandas_udf(NODES_TYPE)
-def _parse_udf(html: pd.Series) -> pd.Series:
-    return html.map(parse_html)
+def _parse_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for html in batches:
+        for rows in slices(html):
+            yield html.iloc[rows].map(parse_html)
 
 
 def parse_pages(df: DataFrame, html_col: str = "html", out: str = "nodes", drop_html: bool = True) -> DataFrame:

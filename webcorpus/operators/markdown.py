@@ -8,6 +8,7 @@ per-document imperative work); everything else is native string/array expression
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import urls as U
 from ..functions.urls import at, let
-from .html import NODES_TYPE, parse_html
+from .html import NODES_TYPE, parse_html, slices
 from .media import DOCUMENT_EXTENSIONS
 
 # Subtrees removed before rendering (H6a), the boilerplate list (H6b) and
@@ -280,9 +281,11 @@ def _render_udf(boilerplate: bool, main_content: bool, image_dir: str | None, me
             return nodes if with_nodes else None, None, None, str(e) or type(e).__name__
 
     @F.pandas_udf(RENDER_TYPE)
-    def render(html: pd.Series, base: pd.Series) -> pd.DataFrame:
-        out = [attempt(h, b) for h, b in zip(html, base, strict=True)]
-        return pd.DataFrame({name: [o[i] for o in out] for i, name in enumerate(("nodes", "body", "images", "error"))})
+    def render(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for html, base in batches:
+            for rows in slices(html):
+                out = [attempt(h, b) for h, b in zip(html.iloc[rows], base.iloc[rows], strict=True)]
+                yield pd.DataFrame({name: [o[i] for o in out] for i, name in enumerate(("nodes", "body", "images", "error"))})
 
     return render
 
