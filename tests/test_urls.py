@@ -117,3 +117,9 @@ def test_paths_and_slug(spark):
     assert got[3].m == "x/y.php" and got[3].md == "x/y.md" and got[3].s == "y"
     assert got[4].s == "item" and got[4].sq == "https://a.com/news/item.html"
     assert got[0].r == "www_a_com_index_json" and got[2].r == "a_com_y_json"
+
+
+def test_relative_path_takes_its_arguments_apart_once(spark):
+    """The expression names each argument once, so that a long argument (a page's folder) is computed once per row."""
+    text = str(U.relative_path(F.lit("media"), F.concat(F.col("folder"), F.lit("/x"))))
+    assert text.count("folder") == 1

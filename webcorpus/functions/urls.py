@@ -360,20 +360,25 @@ def _norm_parts(path: Column) -> Column:
 
 def relative_path(target, from_dir) -> Column:
     """``os.path.relpath(target, from_dir)`` for relative POSIX paths; target itself when from_dir is ''."""
-    target, from_dir = _col(target), _col(from_dir)
-    t = _norm_parts(target)
-    s = _norm_parts(from_dir)
-    common = F.aggregate(
-        F.zip_with(t, s, lambda a, b: F.when(a == b, 1).otherwise(0)),
-        F.struct(F.lit(0).alias("n"), F.lit(True).alias("run")),
-        lambda acc, x: F.struct(
-            F.when(acc.run & (x == 1), acc.n + 1).otherwise(acc.n).alias("n"),
-            (acc.run & (x == 1)).alias("run"),
-        ),
-        lambda acc: acc.n,
-    )
-    ups = F.array_repeat(F.lit(".."), F.size(s) - common)
-    rest = F.slice(t, common + 1, F.greatest(F.size(t) - common, F.lit(0)))
-    rel = F.array_join(F.concat(ups, rest), "/")
-    rel = F.when(rel == "", F.lit(".")).otherwise(rel)
-    return F.when(from_dir.isNull() | (from_dir == ""), target).otherwise(rel)
+    def common(p):
+        return F.aggregate(
+            F.zip_with(p.t, p.s, lambda a, b: F.when(a == b, 1).otherwise(0)),
+            F.struct(F.lit(0).alias("n"), F.lit(True).alias("run")),
+            lambda acc, x: F.struct(
+                F.when(acc.run & (x == 1), acc.n + 1).otherwise(acc.n).alias("n"),
+                (acc.run & (x == 1)).alias("run"),
+            ),
+            lambda acc: acc.n,
+        )
+
+    def joined(p, n):
+        ups = F.array_repeat(F.lit(".."), F.size(p.s) - n)
+        rest = F.slice(p.t, n + 1, F.greatest(F.size(p.t) - n, F.lit(0)))
+        return let(F.array_join(F.concat(ups, rest), "/"), lambda rel: F.when(rel == "", F.lit(".")).otherwise(rel))
+
+    def relative(v):
+        parts = F.struct(_norm_parts(v.target).alias("t"), _norm_parts(v.from_dir).alias("s"))
+        rel = let(parts, lambda p: let(common(p), lambda n: joined(p, n)))
+        return F.when(v.from_dir.isNull() | (v.from_dir == ""), v.target).otherwise(rel)
+
+    return let(F.struct(_col(target).alias("target"), _col(from_dir).alias("from_dir")), relative)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
 
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions import urls as U
 from ..functions import urls_sql as US
 from ..functions.urls_sql import _v, ident, let, lit
+from .html import slices
 from .media import DOCUMENT_EXTENSIONS, _ext_sql
 
 #: Element to the attribute that names its medium; kinds as in H5.
@@ -75,9 +77,11 @@ def media_spots(html: str | None) -> dict | None:
 
 
 @F.pandas_udf(SPOTS)
-def _spots_udf(html: pd.Series) -> pd.DataFrame:
-    out = [media_spots(h) for h in html]
-    return pd.DataFrame({k: [o[k] if o else None for o in out] for k in ("segments", "refs")})
+def _spots_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for html in batches:
+        for rows in slices(html):
+            out = [media_spots(h) for h in html.iloc[rows]]
+            yield pd.DataFrame({k: [o[k] if o else None for o in out] for k in ("segments", "refs")})
 
 
 def _local_sql(base: str, ref: str, prefix: str) -> str:
@@ -97,10 +101,12 @@ def rewrite_media_refs(pages: DataFrame, html_dir: str = "HTML", media_dir: str
     references of the page's own site point to ``media_dir``, relative to the page's file in ``html_dir`` (both in the
     site's folder). NULL html stays NULL with 0 references. Map-only."""
     cut = pages.select("page_id", "url", _spots_udf("html").alias("s"))
-    folder = F.concat_ws("/", F.lit(html_dir), F.when(U.dirname(U.mirror_path("url")) != "", U.dirname(U.mirror_path("url"))))
+    folder = U.let(U.dirname(U.mirror_path("url")), lambda d: F.concat_ws("/", F.lit(html_dir), F.when(d != "", d)))
     cut = cut.select("page_id", "url", "s.segments", "s.refs", U.relative_path(F.lit(media_dir), folder).alias("prefix"))
     r, s, k, x = _v("r"), _v("s"), _v("k"), _v("x")
-    cut = cut.withColumn("local", F.expr(f"transform(refs, {r} -> {_local_sql(ident('url'), r, ident('prefix'))})"))
+    # the prefix is bound outside of the loop over the references: once per page, also where the optimizer puts its expression here
+    local = let(ident("prefix"), lambda p: f"transform(refs, {r} -> {_local_sql(ident('url'), r, p)})")
+    cut = cut.withColumn("local", F.expr(local))
     new = f"zip_with(refs, local, ({r}, {x}) -> coalesce(nullif({x}, ''), {r}.raw))"
     html = f"concat(array_join(flatten(zip_with(slice(segments, 1, size(refs)), {new}, ({s}, {k}) -> array({s}, {k}))), ''), element_at(segments, -1))"
     count = lambda c: F.coalesce(c, F.lit(0)).cast("int")
