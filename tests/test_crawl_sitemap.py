@@ -197,3 +197,19 @@ def test_crawl_origin_scope_and_failed_visits(spark):
     allv = FR.crawl(pages_df, start, max_pages=50, scope="origin", keep_failed=True).collect()
     assert [r.url for r in ok] == [start]  # same-origin nav links are not in the corpus
     assert len(allv) > 1 and all(r.status_code is None for r in allv if r.url != start)
+
+
+def test_crawl_walks_long_chains_in_few_rounds(spark, monkeypatch):
+    """Two chains that merge, forks after hundreds of pages, a circle at the end, and pages outside: visits and order are the
+    FIFO crawl's, and the rounds do not follow the number of levels."""
+    n = 420
+    links = {i: [i + 1] for i in range(n - 1)} | {n - 1: [100], 250: [300, 251, 10], 320: [321, 400, 5]}
+    links |= {1000 + i: [1001 + i] for i in range(60)} | {1060: [200, 1060], 0: [1000, 1]}
+    rows = [(i, f"https://h{i % 3}.org/{i}", f'<a href="/out/{i % 7}">o</a>' + "".join(f'<a href="https://h{j % 3}.org/{j}">x</a>' for j in to))
+            for i, to in links.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rounds, plain = [], FR._round
+    monkeypatch.setattr(FR, "_round", lambda *a: rounds.append(a[3]) or plain(*a))
+    got = FR.crawl(df, rows[0][1], scope="any", keep_failed=True).orderBy("order").collect()
+    assert [(r.url, r.outcome) for r in got] == _brute_bfs(rows, [rows[0][1]], None)
+    assert len(rounds) < 16

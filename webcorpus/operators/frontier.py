@@ -10,7 +10,9 @@ One round joins the frontier with the adjacency lists, one or several levels dee
 the first place per URL (a grouped aggregate) and drops what has been visited.  Lists are
 hash-partitioned by page, visited URLs by URL, both checkpointed with their partitioning,
 so a round shuffles only the rows of the round.  While levels stay small and do not grow,
-a round takes several levels at once; their number changes the speed only.
+a round takes several levels at once; their number changes the speed only.  Where that goes on,
+chains of pages that lead to a single further page are walked by pointer doubling (``_Chains``):
+a chain of any length takes a number of steps that grows with the logarithm of its length.
 """
 
 from __future__ import annotations
@@ -139,33 +141,41 @@ def crawl(pages: DataFrame, seeds, max_pages: int | None = None, scope: str = "o
     first = number_rows(seed_rows, ["seq", "url"], "number")
     level = with_page(first.select("url", F.array("number").alias("place")), "url")
     level = level.select("url", "place", "page_id", F.lit(0).alias("depth")).repartition(n, "url").checkpoint()
-    seen, taken, hops = [level.select("url")], [level], 1
+    seen, taken, hops = [level.select("url", "page_id", "depth")], [level], 1
     size, used, depth, width = level.count(), 0, 0, 1
+    chains, idle, wait = None, 0, 1  # rounds since the last walk, rounds until the next one
     if max_pages is not None and size > max_pages:
         return _result(_cut(level, max_pages), info, keep_failed)
     used = size
     while size and (max_pages is None or used < max_pages):
         if width > MAX_PLACE:  # level: all visits of the greatest depth
             level, width = number_rows(level, ["place"], "number").withColumn("place", F.array("number")).drop("number"), 1
-        new = _round(level, lists, depth, hops, n)
+        walk = hops == MAX_HOPS and idle >= wait
+        if walk:
+            chains = chains or _Chains(lists, n)
+            new, levels = chains.walk(level, depth, _union(seen), None if max_pages is None else max_pages - used)
+        else:
+            new, levels = _round(level, lists, depth, hops, n), hops
         for part in seen:
-            new = new.join(part, "url", "left_anti")
+            new = new.join(part.select("url"), "url", "left_anti")
         new = new.checkpoint()
-        counts = {r.depth: r.n for r in new.groupBy("depth").agg(F.count("*").alias("n")).collect()}
-        for d in range(depth + 1, depth + hops + 1):
-            here = counts.get(d, 0)
-            if max_pages is not None and used + here > max_pages:
-                taken += [new.where(F.col("depth") < d), _cut(new.where(F.col("depth") == d), max_pages - used)]
-                return _result(_union(taken), info, keep_failed)
-            used += here
+        found, after = new.agg(F.count("*"), F.count_if(F.col("depth") == depth + levels)).first()
+        if max_pages is not None and used + found > max_pages:
+            taken.append(_cut(new, max_pages - used))
+            return _result(_union(taken), info, keep_failed)
+        used += found
         taken.append(new)
-        seen.append(new.select("url"))
+        seen.append(new.select("url", "page_id", "depth"))
         if len(seen) > 6:  # keeps plans short: few parts, all partitioned by url
             seen = [_union(seen).repartition(n, "url").checkpoint()]
         if len(taken) > 24:
             taken = [_union(taken).checkpoint()]
-        grown = counts.get(depth + hops, 0) > 1.5 * max(1, size)
-        depth, width, size = depth + hops, width + hops, counts.get(depth + hops, 0)
+        grown = after > 1.5 * max(1, size)
+        if walk:
+            idle, wait = 0, 0 if levels > 4 * MAX_HOPS else 2 * wait + 1
+        else:
+            idle += hops == MAX_HOPS
+        depth, width, size = depth + levels, 2 if walk else width + hops, after
         level = new.where(F.col("depth") == depth)
         hops = min(MAX_HOPS, 2 * hops) if size <= SMALL_LEVEL and not grown else 1
     return _result(_union(taken), info, keep_failed)
@@ -186,9 +196,64 @@ def _round(level: DataFrame, lists: DataFrame, depth: int, hops: int, n: int) ->
     return rows.select("url", "v.place", "v.page_id", "v.depth").where(F.col("depth") > depth)
 
 
-def _cut(level: DataFrame, budget: int) -> DataFrame:
-    """The first ``budget`` visits of a level."""
-    return number_rows(level, ["place"], "number").where(F.col("number") < budget).drop("number")
+class _Chains:
+    """Walks along chains: runs of pages with links to one other page that has links itself (however many links lead to
+    URLs outside the corpus or to pages without links).
+
+    ``jumps[k]`` has the page that 2**k steps along a chain lead to; each is made of the one before when a walk
+    first needs it. A walk ends at the first level that has a fork, an unvisited page with several ways on."""
+
+    def __init__(self, lists: DataFrame, n: int):
+        self.lists, self.n = lists, n
+        ways = lists.select("page_id", F.explode("links.target_page_id").alias("to")).where(F.col("to") != F.col("page_id")).distinct()
+        ways = ways.join(lists.select(F.col("page_id").alias("to")), "to", "left_semi")
+        ways = ways.groupBy("page_id").agg(F.min("to").alias("to"), F.count("*").alias("n")).repartition(n, "page_id").checkpoint()
+        self.forks = ways.where("n > 1").select("page_id")
+        self.jumps = [ways.where("n = 1").select("page_id", "to")]
+
+    def _jump(self, k: int) -> DataFrame:
+        while len(self.jumps) <= k:
+            half = self.jumps[-1]
+            twice = half.withColumnRenamed("to", "middle").join(half.withColumnRenamed("page_id", "middle"), "middle")
+            self.jumps.append(twice.select("page_id", "to").repartition(self.n, "page_id").checkpoint())
+        return self.jumps[k]
+
+    def walk(self, level: DataFrame, depth: int, seen: DataFrame, budget: int | None = None) -> tuple[DataFrame, int]:
+        """First places of the URLs reached from ``level``, of as many levels as are returned with them (at least one; with a
+        ``budget`` not many more than its visits can fill). A chain's pages keep the place of the visit that it starts from."""
+        first = number_rows(level.where("page_id IS NOT NULL").select("page_id", "place"), ["place"], "start")
+        at = first.groupBy("page_id").agg(F.min(F.struct(F.lit(0).cast("bigint").alias("t"), "start")).alias("v"))
+        at = at.repartition(self.n, "page_id").checkpoint()
+        size, k = at.count(), 0
+        visited = seen.where((F.col("depth") < depth) & F.col("page_id").isNotNull()).select("page_id")
+        while True:  # at: the pages up to 2**k - 1 steps from the level, the first way to each
+            forks = at.join(self.forks, "page_id", "left_semi")
+            last = forks.agg(F.min("v.t")).first()[0]
+            if last is not None and last < (1 << k):
+                last = forks.join(visited, "page_id", "left_anti").agg(F.min("v.t")).first()[0]
+            if last is not None:
+                break
+            if budget is not None and (1 << k) > budget:
+                last = (1 << k) - 1
+                break
+            step = F.struct((F.col("v.t") + (1 << k)).alias("t"), F.col("v.start").alias("start")).alias("v")
+            more = at.join(self._jump(k), "page_id").select(F.col("to").alias("page_id"), step)
+            at = at.unionByName(more).repartition(self.n, "page_id").groupBy("page_id").agg(F.min("v").alias("v")).checkpoint()
+            k, before, size = k + 1, size, at.count()
+            if size == before:  # nothing further: the chains end or run in circles
+                last = at.agg(F.max("v.t")).first()[0]
+                break
+        last = last or 0
+        links = F.transform("links", lambda x: F.struct(x.target.alias("url"), F.struct(
+            (F.col("v.t") + (depth + 1)).cast("int").alias("depth"), F.array("v.start", x.pos).alias("place"), x.target_page_id.alias("page_id")).alias("v")))
+        rows = at.where(F.col("v.t") <= last).join(self.lists, "page_id").select(F.inline(links))
+        rows = rows.repartition(self.n, "url").groupBy("url").agg(F.min("v").alias("v"))
+        return rows.select("url", "v.place", "v.page_id", "v.depth"), last + 1
+
+
+def _cut(visits: DataFrame, budget: int) -> DataFrame:
+    """The first ``budget`` visits of a level, or of the levels of a round."""
+    return number_rows(visits, ["depth", "place"], "number").where(F.col("number") < budget).drop("number")
 
 
 def _result(taken: DataFrame, info: DataFrame, keep_failed: bool) -> DataFrame:
