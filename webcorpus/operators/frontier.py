@@ -207,7 +207,7 @@ class _Chains:
         self.lists, self.n = lists, n
         ways = lists.select("page_id", F.explode("links.target_page_id").alias("to")).where(F.col("to") != F.col("page_id")).distinct()
         ways = ways.join(lists.select(F.col("page_id").alias("to")), "to", "left_semi")
-        ways = ways.groupBy("page_id").agg(F.min("to").alias("to"), F.count("*").alias("n")).repartition(n, "page_id").checkpoint()
+        ways = ways.groupBy("page_id").agg(F.min("to").alias("to"), F.count("*").alias("n")).checkpoint()
         self.forks = ways.where("n > 1").select("page_id")
         self.jumps = [ways.where("n = 1").select("page_id", "to")]
 
@@ -215,15 +215,15 @@ class _Chains:
         while len(self.jumps) <= k:
             half = self.jumps[-1]
             twice = half.withColumnRenamed("to", "middle").join(half.withColumnRenamed("page_id", "middle"), "middle")
-            self.jumps.append(twice.select("page_id", "to").repartition(self.n, "page_id").checkpoint())
+            self.jumps.append(twice.select("page_id", "to").checkpoint())
         return self.jumps[k]
 
     def walk(self, level: DataFrame, depth: int, seen: DataFrame, budget: int | None = None) -> tuple[DataFrame, int]:
         """First places of the URLs reached from ``level``, of as many levels as are returned with them (at least one; with a
         ``budget`` not many more than its visits can fill). A chain's pages keep the place of the visit that it starts from."""
-        first = number_rows(level.where("page_id IS NOT NULL").select("page_id", "place"), ["place"], "start")
+        first = number_rows(level.where("page_id IS NOT NULL").select("page_id", "place"), ["place"], "start", min(self.n, 8))  # a small level
         at = first.groupBy("page_id").agg(F.min(F.struct(F.lit(0).cast("bigint").alias("t"), "start")).alias("v"))
-        at = at.repartition(self.n, "page_id").checkpoint()
+        at = at.checkpoint()  # partitions follow the rows here (AQE): most steps are small
         size, k = at.count(), 0
         visited = seen.where((F.col("depth") < depth) & F.col("page_id").isNotNull()).select("page_id")
         while True:  # at: the pages up to 2**k - 1 steps from the level, the first way to each
@@ -238,7 +238,7 @@ class _Chains:
                 break
             step = F.struct((F.col("v.t") + (1 << k)).alias("t"), F.col("v.start").alias("start")).alias("v")
             more = at.join(self._jump(k), "page_id").select(F.col("to").alias("page_id"), step)
-            at = at.unionByName(more).repartition(self.n, "page_id").groupBy("page_id").agg(F.min("v").alias("v")).checkpoint()
+            at = at.unionByName(more).groupBy("page_id").agg(F.min("v").alias("v")).checkpoint()
             k, before, size = k + 1, size, at.count()
             if size == before:  # nothing further: the chains end or run in circles
                 last = at.agg(F.max("v.t")).first()[0]
