@@ -5,9 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from webcorpus.llm import cover_tree, hard_negatives, ranked_search
+from webcorpus.llm.vectors import binary_rows
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 VECTORS = "vec_id long, embedding array<double>, label int, size string, x string, row int"
@@ -114,6 +116,34 @@ def test_hard_negatives_equal_brute_force(spark, monkeypatch, blocks):
     assert hard_negatives.mine(none, "vec_id % 10 = 0").count() == 0
 
 
+def test_hard_negatives_send_a_round_of_anchors_at_a_time(spark, monkeypatch):
+    """However many blocks of rows there are, no table is broadcast and each anchor goes to the executors once."""
+    monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(hard_negatives, "BLOCK_ANCHORS", 60)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 12)).round(3)
+    data = [(i, v.tolist(), int(rng.integers(3))) for i, v in enumerate(x)]
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or send(value))
+    frame = spark.createDataFrame([(*r, "a", "b", 1) for r in data], VECTORS).repartition(3)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "256k")
+    try:
+        got = hard_negatives.mine(frame, "vec_id % 10 = 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert sorted(tuple(r) for r in got) == mined([(i, [math.floor(256 * c) for c in v], label) for i, v, label in data], lambda i: i % 10 == 0)
+    anchors = [v[0].tolist() for v in sent if len(v) == 3]
+    assert sorted(sum(anchors, [])) == list(range(0, 1500, 10)) and len(anchors) == 3
+    assert all(len(v[0]) <= 5 * 100 for v in sent)
+
+
+def test_blocks_of_a_task():
+    part = lambda a, n: pa.RecordBatch.from_arrays([pa.array(range(a, a + n), pa.int64()), pa.array([1] * n, pa.int64()), binary_rows(np.arange(a, a + n)[:, None] * np.array([1, 10]))], ["vec_id", "label", "x"])
+    found = list(hard_negatives.blocks(iter([part(0, 3), part(3, 0), part(3, 9), part(12, 1)]), 4, 2, np.array([1, 0])))
+    assert [len(b.ids) for b in found] == [4, 4, 4, 1] and np.concatenate([b.ids for b in found]).tolist() == list(range(13))
+    assert (np.vstack([b.x for b in found]) == np.arange(13)[:, None] * np.array([10, 1])).all() and not list(hard_negatives.blocks(iter([]), 4, 2, np.array([0, 1])))
+
+
 def test_pairs_reaching_threshold():
     rng = np.random.default_rng(2)
     x, q = (np.rint(rng.standard_normal((n, 30)) * np.geomspace(100, 1, 30)) for n in (500, 40))

@@ -4,10 +4,12 @@ Scores are integer inner products. Dimensions are ordered by their energy over a
 dimension by dimension, in strips of STRIP dimensions; from the strip on where the norm of what is left of a row, times
 the longest such rest of an anchor, stays under the lowest threshold asked for, the row is not indexed. Partial scores are
 accumulated strip by strip, rows whose remaining norm cannot lift any anchor over its threshold are dropped, and only
-pairs that can still reach it are completed. Thresholds start high and are lowered for those anchors whose windows are not yet full,
+pairs that can still reach it are completed. A task keeps the best rows of each window: once there are enough of them, the
+last one's score is the threshold. Before, thresholds start high and are lowered for those windows that are not yet full,
 down to the window's own lower end; so what is left out is never wanted.
 
-Anchors are a stated query set and meet all rows in blocks: each pair of blocks gives at most the rows that a window takes.
+Anchors are a stated query set. They are taken in rounds of bounded size: a round's anchors are sent to all executors, each
+task reads its rows once for the positives and once for the negatives, and gives at most the rows that the windows take.
 """
 
 from __future__ import annotations
@@ -17,14 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ragged_take, shared_path
 from .vectors import binary_rows, matrix, part, rows_of, width
 
-#: Rows and anchors of a block, dimensions of a strip, anchors accumulated at once.
-BLOCK_ROWS, BLOCK_ANCHORS, STRIP, ANCHORS_AT_ONCE = 8192, 2048, 8, 256
-#: Thresholds as shares of the highest score that norms allow.
+#: Rows of a block, anchors of a round, dimensions of a strip, anchors and rows accumulated at once.
+BLOCK_ROWS, BLOCK_ANCHORS, STRIP, ANCHORS_AT_ONCE, ROWS_AT_ONCE = 8192, 16384, 8, 256, 2048
+#: A round has fewer anchors if their components would be larger than this.
+ROUND_BYTES = 16 << 20
+#: A round's rows are read by at most so many tasks a core, or LEAST_TASKS; each gives the windows' best rows once.
+TASKS_PER_CORE, LEAST_TASKS = 2, 24
+#: Thresholds as shares of the highest score that norms and the window's upper end allow.
 LEVELS = (0.6, 0.4, 0.25, 0.15)
-NO_SCORE = -(1 << 62)
+NO_SCORE, ANY_SCORE = -(1 << 62), 1 << 62
+PAIRS = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
 
 def suffix_norms(x: np.ndarray) -> np.ndarray:
@@ -80,74 +87,119 @@ def first_of_group(group: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int
 
 
 class Block:
-    def __init__(self, blob, dim: int):
-        data = np.frombuffer(blob, np.int64).reshape(-1, dim + 2)
-        self.ids, self.labels, self.x = data[:, 0], data[:, 1], data[:, 2:].astype(float)
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, x: np.ndarray):
+        self.ids, self.labels, self.x = ids, labels, x.astype(float)
         self.rest = suffix_norms(self.x)
 
 
-def positives(rows: Block, anchors: Block, k: int):
-    """(anchor, row, score) places: of each anchor the ``k`` best other rows of its label in the block."""
-    out = []
-    for label in np.unique(anchors.labels):
-        mine, todo = np.flatnonzero(rows.labels == label), np.flatnonzero(anchors.labels == label)
-        if not len(mine):
-            continue
-        x, rest = rows.x[mine], rows.rest[mine]
-        for share in (*LEVELS, None):
-            left = []
-            for a in range(0, len(todo), ANCHORS_AT_ONCE):
-                at = todo[a : a + ANCHORS_AT_ONCE]
-                q, q_rest = anchors.x[at], anchors.rest[at]
-                theta = np.full(len(at), -np.inf) if share is None else share * q_rest[:, 0] * rest[:, 0].max()
-                i, j, score = pairs_reaching(x, rest, q, q_rest, theta)
-                other = rows.ids[mine[i]] != anchors.ids[at[j]]
-                i, j, score = i[other], j[other], score[other]
-                best = first_of_group(j, rows.ids[mine[i]], score, k)
-                full = np.bincount(j[best], minlength=len(at)) >= (0 if share is None else k)
-                best = best[full[j[best]]]
-                out.append((at[j[best]], mine[i[best]], score[best]))
-                left.append(at[~full])
-            todo = np.concatenate(left)
-            if not len(todo):
-                break
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-
-
-def negatives(rows: Block, anchors: Block, window: list[np.ndarray], low: int, high: int, k: int):
-    """(place in windows, row, score): the ``k`` best rows of other labels with low * positive <= 100 * score <= high * positive.
-
-    ``window`` holds an anchor's place and a positive's score, each pair once.
+def blocks(batches, most: int, dim: int, order: np.ndarray):
+    """A task's rows in blocks of ``most`` (the last one may be smaller), their dimensions in the given order."""
+
+    def block() -> Block:
+        t = pa.Table.from_batches(held)
+        return Block(t["vec_id"].to_numpy(), t["label"].to_numpy(), rows_of(t["x"], np.int64, dim)[:, order])
+
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            held.append(batch.slice(0, most - n))
+            n += held[-1].num_rows
+            batch = batch.slice(held[-1].num_rows)
+            if n == most:
+                yield block()
+                held, n = [], 0
+    if n:
+        yield block()
+
+
+class Best:
+    """The ``k`` best rows so far of each of ``n`` windows: highest score, then smallest id; NO_SCORE fills what is left."""
+
+    def __init__(self, n: int, k: int):
+        self.ids, self.score = np.zeros((n, k), np.int64), np.full((n, k), NO_SCORE)
+
+    def joined(self, window: np.ndarray, ids: np.ndarray, score: np.ndarray):
+        """The windows that occur, and their ids and scores with these rows."""
+        held, into = np.unique(window, return_inverse=True)
+        k = self.ids.shape[1]
+        group = np.concatenate([np.repeat(np.arange(len(held)), k), into])
+        ids, score = np.concatenate([self.ids[held].ravel(), ids]), np.concatenate([self.score[held].ravel(), score])
+        best = first_of_group(group, ids, score, k)
+        return held, ids[best].reshape(-1, k), score[best].reshape(-1, k)
+
+    def rows(self):
+        """(window, id, score) of all that were found, some windows at a time."""
+        for a in range(0, len(self.ids), 4096):
+            window, c = np.nonzero(self.score[a : a + 4096] > NO_SCORE)
+            yield a + window, self.ids[a + window, c], self.score[a + window, c]
+
+
+def search(ids, x, rest, q, q_rest, wanted, best: Best, window, anchor, least, most):
+    """Puts rows of ``x`` with least <= score <= most into ``best``; ``anchor``: the places in ``q`` of the windows.
+
+    ``wanted(i, j)``: which pairs of a row and an anchor count.
     """
-    anchor, positive = window
-    least, most = -((-low * positive) // 100), (high * positive) // 100  # least > most for positives below 0: none
-    todo, out = np.flatnonzero(least <= most), []
+    k = best.ids.shape[1]
+    top = np.minimum(most, q_rest[anchor, 0] * rest[:, 0].max())
     for share in (*LEVELS, None):
-        left = []
+        kth = best.score[window, -1]
+        floor = np.maximum(least, kth)  # lower scores are not wanted
+        who, at = np.unique(anchor, return_inverse=True)
+        theta = np.full(len(who), np.inf)
+        np.minimum.at(theta, at, floor if share is None else np.where(kth > NO_SCORE, floor, np.maximum(floor, share * top)))
+        i, j, score = pairs_reaching(x, rest, q[who], q_rest[who], theta)
+        counts = wanted(i, who[j])
+        i, j, score = i[counts], j[counts], score[counts]
+        by = np.lexsort((ids[i], -score, j))
+        i, j, score = i[by], j[by], score[by]
+        steps = np.unique(score)
+        step = at * (len(steps) + 1) + len(steps)
+        key = j * (len(steps) + 1) + len(steps) - 1 - np.searchsorted(steps, score)  # ascends: an anchor's highest score first
+        first, last = np.searchsorted(key, step - np.searchsorted(steps, most, "right")), np.searchsorted(key, step - np.searchsorted(steps, floor))
+        n = np.clip(last - first, 0, k)
+        hit = ragged_take(np.arange(len(key)), first, n)
+        held, its_ids, its_score = best.joined(np.repeat(window, n), ids[i[hit]], score[hit])
+        done = theta[at] <= floor
+        place = np.searchsorted(window, held)
+        done[place] |= its_score[:, -1] >= theta[at[place]]
+        put = done[place]
+        best.ids[held[put]], best.score[held[put]] = its_ids[put], its_score[put]
+        window, anchor, least, most, top = (a[~done] for a in (window, anchor, least, most, top))
+        if not len(window):
+            return
+
+
+def positives(rows: Block, anchors: Block, best: Best) -> None:
+    """Puts into ``best``, whose windows are the anchors, other rows of an anchor's label."""
+    for label in np.intersect1d(rows.labels, anchors.labels):
+        mine, todo = np.flatnonzero(rows.labels == label), np.flatnonzero(anchors.labels == label)
+        ids, x, rest = rows.ids[mine], rows.x[mine], rows.rest[mine]
         for a in range(0, len(todo), ANCHORS_AT_ONCE):
             at = todo[a : a + ANCHORS_AT_ONCE]
-            who, where = np.unique(anchor[at], return_inverse=True)
-            q, q_rest = anchors.x[who], anchors.rest[who]
-            floor = np.full(len(who), np.inf)
-            np.minimum.at(floor, where, least[at])
-            theta = floor if share is None else np.maximum(floor, share * q_rest[:, 0] * rows.rest[:, 0].max())
-            i, j, score = pairs_reaching(rows.x, rows.rest, q, q_rest, theta)
-            other = rows.labels[i] != anchors.labels[who[j]]
-            i, j, score = i[other], j[other], score[other]
-            by = np.argsort(j, kind="stable")
-            i, j, score = i[by], j[by], score[by]
-            first, last = np.searchsorted(j, where, "left"), np.searchsorted(j, where, "right")
-            for place, f, e, t in zip(at.tolist(), first.tolist(), last.tolist(), theta[where].tolist(), strict=True):
-                inside = np.flatnonzero((score[f:e] >= least[place]) & (score[f:e] <= most[place])) + f
-                best = inside[np.lexsort((rows.ids[i[inside]], -score[inside]))[:k]]
-                if len(best) == k or t <= least[place]:
-                    out.append((np.full(len(best), place), i[best], score[best]))
-                else:
-                    left.append(place)
-        todo = np.array(left, np.int64)
-        if not len(todo):
-            break
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+            q, q_rest, q_ids, all_of = anchors.x[at], anchors.rest[at], anchors.ids[at], np.ones(len(at), np.int64)
+            for r in range(0, len(mine), ROWS_AT_ONCE):
+                s = slice(r, r + ROWS_AT_ONCE)
+                other = lambda i, j, some=ids[s], q_ids=q_ids: some[i] != q_ids[j]
+                search(ids[s], x[s], rest[s], q, q_rest, other, best, at, np.arange(len(at)), NO_SCORE * all_of, ANY_SCORE * all_of)
+
+
+def negatives(rows: Block, anchors: Block, best: Best, anchor: np.ndarray, positive: np.ndarray, low: int, high: int) -> None:
+    """Puts into ``best`` rows of other labels with low * positive <= 100 * score <= high * positive.
+
+    ``anchor`` (ascending) and ``positive`` hold the place of a window's anchor and its positive's score.
+    """
+    least, most = -((-low * positive) // 100), (high * positive) // 100  # least > most for positives below 0: none
+    todo = np.flatnonzero(least <= most)
+    edges = np.searchsorted(anchor[todo], np.arange(0, len(anchors.ids) + ANCHORS_AT_ONCE, ANCHORS_AT_ONCE))
+    for a, (first, last) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        window, at = todo[first:last], slice(a * ANCHORS_AT_ONCE, (a + 1) * ANCHORS_AT_ONCE)
+        if not len(window):
+            continue
+        q, q_rest, q_labels = anchors.x[at], anchors.rest[at], anchors.labels[at]
+        for r in range(0, len(rows.ids), ROWS_AT_ONCE):
+            s = slice(r, r + ROWS_AT_ONCE)
+            other = lambda i, j, some=rows.labels[s], q_labels=q_labels: some[i] != q_labels[j]
+            search(rows.ids[s], rows.x[s], rows.rest[s], q, q_rest, other, best, window, anchor[window] - a * ANCHORS_AT_ONCE, least[window], most[window])
 
 
 def mine(vectors: DataFrame, anchors, k_positives: int = 5, k_negatives: int = 10, low: int = 30, high: int = 90, scale: int = 256) -> DataFrame:
@@ -183,62 +235,59 @@ def mine(vectors: DataFrame, anchors, k_positives: int = 5, k_negatives: int = 1
             total += (rows_of(batch.column("x"), np.int64, dim).astype(float) ** 2).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim, dtype=np.int32)), pa.array(total)], ["d", "e"])
 
+    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.mapInArrow(encode, "vec_id long, label long, x binary")
     rows = cut(rows.groupBy("vec_id").agg(F.min(F.struct("label", "x")).alias("r")).select("vec_id", "r.*"), "mine-rows")
     asked = rows.filter(anchors)
-    n_rows, n_asked = rows.count(), asked.count()
+    n_asked = asked.count()
     if not n_asked:
-        return vectors.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
+        return spark.createDataFrame([], PAIRS)
     total = rows.select("x").mapInArrow(energy, "d int, e double").groupBy("d").agg(F.sum("e").alias("e")).collect()
     order = np.array([r.d for r in sorted(total, key=lambda r: (-r.e, r.d))])
-    row_blocks, anchor_blocks = -(-n_rows // BLOCK_ROWS), -(-n_asked // BLOCK_ANCHORS)
-
-    def pack(name: str):
-        def run(table: pa.Table) -> pa.Table:
-            x = rows_of(table["x"], np.int64, dim)[:, order]
-            ids, labels = table["vec_id"].to_numpy(), table["label"].to_numpy()
-            by = np.argsort(ids, kind="stable")
-            blob = np.hstack([ids[by, None], labels[by, None], x[by]]).astype(np.int64).tobytes()
-            return pa.table({name: table[name].combine_chunks()[:1], "blob": pa.array([blob], pa.binary())})
-
-        return run
-
-    spread = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    data = cut(rows.withColumn("rb", part("vec_id", row_blocks)).groupBy("rb").applyInArrow(pack("rb"), "rb int, blob binary"), "mine-blocks")
-    query = cut(asked.withColumn("ab", part("vec_id", anchor_blocks)).groupBy("ab").applyInArrow(pack("ab"), "ab int, blob binary"), "mine-anchors")
-    data = data.select("rb", F.col("blob").alias("rows"), spread("ab", anchor_blocks))
-    query = query.select("ab", F.col("blob").alias("anchors"), spread("rb", row_blocks))
-
-    def find_positives(batches):
-        for batch in batches:
-            for r, q in zip(batch.column("rows"), batch.column("anchors"), strict=True):
-                r, q = Block(r.as_buffer(), dim), Block(q.as_buffer(), dim)
-                a, i, score = positives(r, q, k_positives)
-                yield pa.RecordBatch.from_arrays([pa.array(q.ids[a]), pa.array(r.ids[i]), pa.array(score)], ["anchor_id", "positive_id", "positive_score"])
-
-    both = data.join(query, ["rb", "ab"])
-    found = both.select("rows", "anchors").mapInArrow(find_positives, "anchor_id long, positive_id long, positive_score long")
-    nearest = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
-    chosen = cut(found.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k_positives).drop("r"), "mine-positives")
-
-    # the windows of an anchor block, for each block of rows
-    asked_windows = chosen.select("anchor_id", "positive_score").distinct().withColumn("ab", part("anchor_id", anchor_blocks))
-    asked_windows = asked_windows.groupBy("ab").agg(F.collect_list(F.struct("anchor_id", "positive_score")).alias("windows"))
-    windows = asked_windows.select("ab", F.col("windows.anchor_id").alias("wa"), F.col("windows.positive_score").alias("wp"))
-
-    def find_negatives(batches):
-        for batch in batches:
-            for r, q, wa, wp in zip(*[batch.column(c) for c in ("rows", "anchors", "wa", "wp")], strict=True):
-                r, q = Block(r.as_buffer(), dim), Block(q.as_buffer(), dim)
-                wa, wp = wa.values.to_numpy(), wp.values.to_numpy()
-                place = np.searchsorted(q.ids, wa)
-                w, i, score = negatives(r, q, [place, wp], low, high, k_negatives)
-                yield pa.RecordBatch.from_arrays([pa.array(wa[w]), pa.array(wp[w]), pa.array(r.ids[i]), pa.array(score)], ["anchor_id", "positive_score", "negative_id", "negative_score"])
-
-    found = data.join(query.join(windows, "ab"), ["rb", "ab"]).select("rows", "anchors", "wa", "wp")
-    found = found.mapInArrow(find_negatives, "anchor_id long, positive_score long, negative_id long, negative_score long")
-    best = Window.partitionBy("anchor_id", "positive_score").orderBy(F.desc("negative_score"), "negative_id")
-    found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k_negatives)
-    out = chosen.join(found, ["anchor_id", "positive_score"])
-    return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    rounds = -(-n_asked // max(1, min(BLOCK_ANCHORS, ROUND_BYTES // (8 * dim))))
+    read = rows.coalesce(max(LEAST_TASKS, TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    most_rows, out = BLOCK_ROWS, shared_path(spark, "mine-pairs")
+
+    def one_round(some: DataFrame) -> None:
+        """Writes the rows of these anchors. Only they and their windows come to the driver and go to the executors."""
+        table = some.toArrow().sort_by("vec_id")
+        if not table.num_rows:
+            return
+        ids = table["vec_id"].to_numpy()
+        query = spark.sparkContext.broadcast((ids, table["label"].to_numpy(), rows_of(table["x"], np.int64, dim)[:, order].astype(np.int32)))
+
+        def find_positives(batches):
+            q = Block(*query.value)
+            best = Best(len(q.ids), k_positives)
+            for block in blocks(batches, most_rows, dim, order):
+                positives(block, q, best)
+            for a, i, score in best.rows():
+                yield pa.RecordBatch.from_arrays([pa.array(q.ids[a]), pa.array(i), pa.array(score)], ["anchor_id", "positive_id", "positive_score"])
+
+        found = read.mapInArrow(find_positives, "anchor_id long, positive_id long, positive_score long")
+        nearest = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
+        chosen = cut(found.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k_positives).drop("r"), "mine-positives")
+        table = chosen.select("anchor_id", "positive_score").distinct().toArrow().sort_by([("anchor_id", "ascending"), ("positive_score", "ascending")])
+        windows = spark.sparkContext.broadcast((np.searchsorted(ids, table["anchor_id"].to_numpy()), table["positive_score"].to_numpy()))
+
+        def find_negatives(batches):
+            q, (anchor, positive) = Block(*query.value), windows.value
+            best = Best(len(anchor), k_negatives)
+            for block in blocks(batches, most_rows, dim, order):
+                negatives(block, q, best, anchor, positive, low, high)
+            for w, i, score in best.rows():
+                columns = [pa.array(q.ids[anchor[w]]), pa.array(positive[w]), pa.array(i), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor_id", "positive_score", "negative_id", "negative_score"])
+
+        found = read.mapInArrow(find_negatives, "anchor_id long, positive_score long, negative_id long, negative_score long")
+        best = Window.partitionBy("anchor_id", "positive_score").orderBy(F.desc("negative_score"), "negative_id")
+        found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k_negatives)
+        pairs = found.join(chosen.hint("merge"), ["anchor_id", "positive_score"])
+        pairs.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").write.mode("append").option("compression", "zstd").parquet(out)
+        query.destroy()
+        windows.destroy()
+
+    for r in range(rounds):
+        one_round(asked.filter(part("vec_id", rounds) == r))
+    return spark.read.schema(PAIRS).parquet(out)
